@@ -39,7 +39,10 @@ def indexed_counts(transitions: DataFrame, space: DataFrame, keys: Sequence[str]
                    weight: Column | None = None, cur: str = "cur", nxt: str = "nxt") -> DataFrame:
     """E1/E2 with state indices: (keys..., cur_idx, nxt_idx, v). States outside
     the space drop (inner joins with the space, C5)."""
-    v = F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight).cast("double")
+    if weight is not None:
+        # Project first: a scalar subquery may not sit inside an aggregate.
+        transitions = transitions.withColumn("_w", weight)
+    v = F.count(F.lit(1)).cast("double") if weight is None else F.sum("_w").cast("double")
     c = transitions.groupBy(*keys, F.col(cur).alias("cur"), F.col(nxt).alias("nxt")).agg(v.alias("v"))
     return (c.join(_idx(space, "cur", "cur_idx"), "cur")
              .join(_idx(space, "nxt", "nxt_idx"), "nxt")
@@ -228,7 +231,8 @@ def history_prior(transitions: DataFrame, space: DataFrame, *, entity: str = "pe
     entities x states table."""
     n = n_states(space)
     wgt = F.exp(F.lit(decay) * (F.col("yr") - max_year(transitions)))
-    uw = (transitions.groupBy(entity, F.col("cur").alias("state")).agg(F.sum(wgt).alias("w"))
+    uw = (transitions.withColumn("_w", wgt)
+                     .groupBy(entity, F.col("cur").alias("state")).agg(F.sum("_w").alias("w"))
                      .join(_idx(space, "state", "state_idx"), "state"))
     tot = F.sum("w").over(Window.partitionBy(entity))
     out = uw.withColumn("total", tot).filter(F.col("total") >= min_weight)

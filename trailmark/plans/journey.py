@@ -15,8 +15,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import os
+
 from trailmark.operators import clean, drift, labels, markov, transitions
-from trailmark.sources import tables
+from trailmark.session import stage_root
+from trailmark.sources import stages, tables
+
+FIXTURE_TABLES = ("lineitem", "orders", "part", "customer")
 
 _CONTEXTS: dict = {}
 
@@ -60,11 +65,20 @@ class JourneyContext:
     def raw(self) -> DataFrame:
         return tables.job_events(self.spark, self.sf_dir)
 
+    @cached_property
+    def fingerprint(self) -> str:
+        return stages.input_signature(
+            self.spark, [os.path.join(self.sf_dir, f"{t}.parquet") for t in FIXTURE_TABLES])
+
+    def _stage(self, name: str, build) -> DataFrame:
+        path = os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)
+        return stages.stage(self.spark, path, build, self.fingerprint, name)
+
     @cached_property
     def events(self) -> DataFrame:
-        """Cleaned and labelled events (B1-B8), all rows."""
-        e = clean.clean_events(self.raw, order=tables.JOB_EVENT_ORDER)
-        return self._keep(labels.assign_labels(e))
+        """Cleaned and labelled events (B1-B8), all rows; a stage table."""
+        return self._stage("events", lambda: labels.assign_labels(
+            clean.clean_events(self.raw, order=tables.JOB_EVENT_ORDER)))
 
     @cached_property
     def coded_events(self) -> DataFrame:
@@ -77,8 +91,9 @@ class JourneyContext:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        t = transitions.build_transitions(self.coded_events)
-        return self._keep(transitions.attach_flag(t, self.univ_flags))
+        """Transitions of the coded events with the entity flag; a stage table."""
+        return self._stage("transitions", lambda: transitions.attach_flag(
+            transitions.build_transitions(self.coded_events), self.univ_flags))
 
     # --- model pieces over all transitions --------------------------------
     @cached_property
