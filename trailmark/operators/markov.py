@@ -216,10 +216,10 @@ def second_order(transitions: DataFrame, space: DataFrame, rates: DataFrame | No
     vec = F.transform(F.sequence(F.lit(0), n - 1),
                       lambda i: (F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)) + base)
                       * F.when(i == F.col("cur_idx"), mult).otherwise(F.lit(1.0)))
-    tot = F.aggregate(F.col("_vec"), F.lit(0.0), lambda acc, v: acc + v)
     return (rows.withColumn("_vec", vec)
+                .withColumn("_tot", F.aggregate(F.col("_vec"), F.lit(0.0), lambda acc, v: acc + v))
                 .select("prev_idx", "cur_idx", F.col("n_context").cast("bigint").alias("n_context"),
-                        F.transform("_vec", lambda x: x / tot).alias("p")))
+                        F.transform("_vec", lambda x: x / F.col("_tot")).alias("p")))
 
 
 def history_prior(transitions: DataFrame, space: DataFrame, *, entity: str = "person_id",

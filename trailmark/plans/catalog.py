@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trailmark.functions.exprs import major_group, round_to
 from trailmark.operators import clean, drift, labels, markov, reports, rules, segments, transitions
 from trailmark.plans.journey import context
-from trailmark.plans.oracle import R, sql
+from trailmark.plans.oracle import R, sql, sql_with
 from trailmark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,3 +380,203 @@ def q_topn_per_group(spark, sf):
 def q_transition_heatmap(spark, sf):
     h = reports.heatmap_cells(context(spark, sf).transitions)
     return h.withColumn("log_n", r6("log_n"))
+
+
+# --------------------------------------------------------------- phase 4: split, components
+
+from trailmark.operators import ensemble  # noqa: E402
+
+
+def _long(ctx, df, keys=()):
+    return markov.long_form(df, ctx.space, keys)
+
+
+@query("stratified_split", sql("select person_id, dominant, split from spl", "spl"))
+def q_stratified_split(spark, sf):
+    return context(spark, sf).split
+
+
+@query("split_counts", sql("""select split, count(distinct person_id) as users, count(*) as transitions
+    from trs group by split""", "trs"))
+def q_split_counts(spark, sf):
+    t = context(spark, sf).transitions
+    s = context(spark, sf).split
+    parts = [t.join(s.filter(F.col("split") == nm).select("person_id"), "person_id", "left_semi")
+             .withColumn("split", F.lit(nm)) for nm in ("train", "val", "test")]   # C4
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return u.groupBy("split").agg(F.countDistinct("person_id").alias("users"),
+                                  F.count(F.lit(1)).alias("transitions"))
+
+
+@query("capped_sample", sql("""select person_id, pos, cur from (
+      select *, row_number() over (partition by cur order by md5(cast(person_id as varchar) || '|' || cast(pos as varchar) || '|42'),
+                                   person_id, pos) - 1 as rk from trs where split = 'val') where rk < 100""", "trs"))
+def q_capped_sample(spark, sf):
+    v = context(spark, sf).part("val")
+    return ensemble.capped_sample(v, "cur", 100, 42, ["person_id", "pos"]).select("person_id", "pos", "cur")
+
+
+@query("recency_matrix", sql(f"select cur, nxt, {R('p', 9)} as p from rect", "rect"))
+def q_recency_matrix(spark, sf):
+    ctx = context(spark, sf)
+    return _long(ctx, ctx.components.rec).select("cur", "nxt", round_to("p", 9).alias("p"))
+
+
+@query("year_windows", sql("select win, win_label, start_year, end_year from wins", "wins"))
+def q_year_windows(spark, sf):
+    return context(spark, sf).components.windows
+
+
+@query("year_window_join", sql("select person_id, pos, yr, win_key from ann where split = 'val'", "ann"))
+def q_year_window_join(spark, sf):
+    ctx = context(spark, sf)
+    return markov.assign_window(ctx.part("val"), ctx.components.windows).select("person_id", "pos", "yr", "win_key")
+
+
+@query("window_matrices", sql(f"""select w.win_label, m.cur, m.nxt, {R('m.p', 9)} as p
+    from wmt m join wins w on w.win = m.win""", "wmt", "wins"))
+def q_window_matrices(spark, sf):
+    ctx = context(spark, sf)
+    c = ctx.components
+    lf = _long(ctx, c.wm, ["win"]).join(c.windows.select("win", "win_label"), "win")
+    return lf.select("win_label", "cur", "nxt", round_to("p", 9).alias("p"))
+
+
+@query("market_drift", sql(f"""select w.win_label, {R('sqrt(sum((a.p - b.p) * (a.p - b.p)))')} as drift
+    from wmt a join wmt b on a.win = b.win + 1 and a.cur = b.cur and a.nxt = b.nxt
+    join wins w on w.win = a.win group by w.win_label""", "wmt", "wins"))
+def q_market_drift(spark, sf):
+    m = context(spark, sf).components.market
+    return m.select("win_label", r6("drift").alias("drift"))
+
+
+@query("second_order", sql(f"select prev, cur, nxt, n_context, {R('p', 9)} as p from so2", "so2"))
+def q_second_order(spark, sf):
+    ctx = context(spark, sf)
+    so = ctx.components.so
+    lf = _long(ctx, so, ["prev_idx", "n_context"]).join(
+        ctx.space.select(F.col("idx").alias("prev_idx"), F.col("state").alias("prev")), "prev_idx")
+    return lf.select("prev", "cur", "nxt", "n_context", round_to("p", 9).alias("p"))
+
+
+@query("history_prior", sql(f"select person_id, state, {R('p', 9)} as p, {R('p_default', 9)} as p_default from pri", "pri"))
+def q_history_prior(spark, sf):
+    ctx = context(spark, sf)
+    pr = ctx.components.prior.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx")
+    return pr.select("person_id", "state", round_to("p", 9).alias("p"), round_to("p_default", 9).alias("p_default"))
+
+
+@query("attribute_boost", sql(f"select flag_value, state, {R('boost', 9)} as boost from bst", "bst"))
+def q_attribute_boost(spark, sf):
+    ctx = context(spark, sf)
+    b = ctx.components.boost.select("flag_value", F.posexplode("p").alias("idx", "boost"))
+    return b.join(ctx.space, "idx").select("flag_value", "state", round_to("boost", 9).alias("boost"))
+
+
+@query("archetype_rules", sql(f"""select cluster, n_users, {R('mean_drift')} as mean_drift, {R('mean_len')} as mean_len,
+      {R('mean_loop')} as mean_loop, archetype from csum""", "csum"))
+def q_archetype_rules(spark, sf):
+    s = context(spark, sf).components.cluster_summary
+    return s.select("cluster", "n_users", r6("mean_drift").alias("mean_drift"), r6("mean_len").alias("mean_len"),
+                    r6("mean_loop").alias("mean_loop"), "archetype")
+
+
+@query("segment_matrices", sql(f"select archetype, cur, nxt, {R('p', 9)} as p from segm", "segm"))
+def q_segment_matrices(spark, sf):
+    ctx = context(spark, sf)
+    return _long(ctx, ctx.components.seg, ["archetype"]).select("archetype", "cur", "nxt", round_to("p", 9).alias("p"))
+
+
+@query("annotate_split", sql("select person_id, pos, split, archetype, univ_flag, win_key from ann", "ann"))
+def q_annotate_split(spark, sf):
+    ctx = context(spark, sf)
+    a = ctx.annotated("val").unionByName(ctx.annotated("test"))
+    return a.select("person_id", "pos", "split", "archetype", "univ_flag", "win_key")
+
+
+@query("backoff_lookup", sql(f"""select a.person_id, a.pos, {R('coalesce(s.p, g.p)', 9)} as p,
+      case when s.p is null then 'global' else 'second_order' end as source
+    from ann a join gmt g on g.cur = a.cur and g.nxt = a.nxt
+    left join so2 s on s.prev = a.prev and s.cur = a.cur and s.nxt = a.nxt where a.split = 'val'""", "ann", "gmt", "so2"))
+def q_backoff_lookup(spark, sf):
+    ctx = context(spark, sf)
+    c = ctx.components
+    a = ctx.annotated("val")
+    g = c.glob.select("cur_idx", F.col("p").alias("_g"))
+    s = c.so.select("prev_idx", "cur_idx", F.col("p").alias("_s"))
+    j = a.join(g, "cur_idx").join(s, ["prev_idx", "cur_idx"], "left")
+    ps = F.get(F.col("_s"), F.col("nxt_idx"))
+    pg = F.get(F.col("_g"), F.col("nxt_idx"))
+    return j.select("person_id", "pos", round_to(F.coalesce(ps, pg), 9).alias("p"),
+                    F.when(F.col("_s").isNull(), F.lit("global")).otherwise(F.lit("second_order")).alias("source"))
+
+
+# --------------------------------------------------------------- phase 6: ensemble
+
+_GRID_SQL = "(values " + ", ".join(f"({c}, {wh!r}e0, {ws!r}e0, {wa!r}e0, {wr!r}e0)" for c, wh, ws, wa, wr in
+                                   ensemble.weight_grid()) + ") gw(combo, wh, ws, wa, wr)"
+
+KEYS = "cur_idx, win, archetype, univ_flag, prev_idx, prior_entity"
+JOIN_KEYS = " and ".join(f"{{a}}.{k} is not distinct from {{b}}.{k}" for k in KEYS.split(", "))
+
+TUNE_BODY = f"""select cur_idx, w_hist, w_so, w_arch, tuned, hits, n_rows from (
+    select sr.idx as cur_idx,
+      coalesce(b.wh, case when sr.self_rate > 0.25 then 0.30e0 when sr.self_rate < 0.10 then 0.20e0 else 0.20e0 end) as w_hist,
+      coalesce(b.ws, case when sr.self_rate > 0.25 then 0.10e0 when sr.self_rate < 0.10 then 0.30e0 else 0.20e0 end) as w_so,
+      coalesce(b.wa, 0.10e0) as w_arch, b.wh is not null as tuned,
+      cast(coalesce(b.hits, 0) as bigint) as hits, cast(coalesce(b.n_rows, 0) as bigint) as n_rows
+    from sr left join (
+      select cur_idx, wh, ws, wa, hits, n_rows from (
+        select h.*, row_number() over (partition by cur_idx order by hits desc, combo) as rk from (
+          select t.cur_idx, t.combo, t.wh, t.ws, t.wa, sum(case when t.top = v.nxt_idx then v.c else 0 end) as hits
+          from (select {KEYS}, combo, wh, ws, wa, j as top from (
+                  select *, row_number() over (partition by {KEYS}, combo order by {R('sc', 12)} desc, j) as r2
+                  from (select c.*, gw.*, gw.wr * ((0.6e0 * c.r + 0.4e0 * c.d) * c.b) + gw.wa * (c.a * c.b)
+                                 + gw.ws * (c.s * c.b) + gw.wh * (c.h * c.b) as sc
+                        from cells c cross join {_GRID_SQL} where c.split = 'val'))
+                where r2 = 1) t
+          join (select {KEYS}, nxt_idx, count(*) as c from annp where split = 'val' group by all) v
+            on {JOIN_KEYS.format(a='v', b='t')}
+          group by t.cur_idx, t.combo, t.wh, t.ws, t.wa) h) hb
+        join (select cur_idx, count(*) as n_rows from annp where split = 'val' group by cur_idx having count(*) >= 15) n
+          using (cur_idx)
+      where rk = 1) b on b.cur_idx = sr.idx)"""
+
+TUNE_SQL = sql(TUNE_BODY, "cells", "sr", "annp")
+
+# test-context ensemble vectors under the tuned weights
+SCORED_CTES = f"""tw as ({TUNE_BODY}),
+    scored as (select c.*, raw / sum(raw) over (partition by {KEYS}) as p
+      from (select c.*, (greatest(0.05e0, 1.0e0 - w.w_hist - w.w_so - w.w_arch) * (0.6e0 * c.r + 0.4e0 * c.d)
+                  + w.w_arch * c.a + w.w_so * c.s + w.w_hist * c.h) * c.b as raw
+            from cells c join tw w on w.cur_idx = c.cur_idx where c.split = 'test') c),
+    ranked as (select *, row_number() over (partition by {KEYS} order by {R('p', 12)} desc, j) as rk from scored)"""
+
+
+@query("tune_weights", TUNE_SQL)
+def q_tune_weights(spark, sf):
+    return context(spark, sf).weights
+
+
+@query("ensemble_topk", sql_with(SCORED_CTES, """select cur_idx, win, univ_flag, prev_idx, n_rows,
+      string_agg(cast(j as varchar), ',' order by rk) as top5
+    from ranked where rk <= 5 group by cur_idx, win, archetype, univ_flag, prev_idx, prior_entity, n_rows""",
+                                  "cells", "sr", "annp"))
+def q_ensemble_topk(spark, sf):
+    ctx = context(spark, sf)
+    sc = ensemble.scored_contexts(ctx.annotated("test"), ctx.components, ctx.weights, 5)
+    return sc.select("cur_idx", "win", "univ_flag", "prev_idx", F.col("n_rows").cast("bigint").alias("n_rows"),
+                     F.concat_ws(",", F.transform("topk", lambda i: i.cast("string"))).alias("top5"))
+
+
+@query("ensemble_eval", sql_with(SCORED_CTES, f"""select count(*) as n_rows,
+      {R('avg(case when a.cur = a.nxt then 1.0e0 else 0.0e0 end)')} as persistence_top1,
+      {R('avg(case when r.rk <= 1 then 1.0e0 else 0.0e0 end)')} as top_1,
+      {R('avg(case when r.rk <= 3 then 1.0e0 else 0.0e0 end)')} as top_3,
+      {R('avg(case when r.rk <= 5 then 1.0e0 else 0.0e0 end)')} as top_5
+    from annp a join ranked r on {JOIN_KEYS.format(a='a', b='r')} and r.j = a.nxt_idx
+    where a.split = 'test'""", "cells", "sr", "annp"))
+def q_ensemble_eval(spark, sf):
+    ctx = context(spark, sf)
+    e = ensemble.evaluate(ctx.annotated("test"), ctx.components, ctx.weights)
+    return e.select("n_rows", *[r6(c).alias(c) for c in ["persistence_top1", "top_1", "top_3", "top_5"]])

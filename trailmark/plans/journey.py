@@ -98,11 +98,11 @@ class JourneyContext:
     # --- model pieces over all transitions --------------------------------
     @cached_property
     def space(self) -> DataFrame:
-        return transitions.state_space(self.transitions)
+        return self._stage("space", lambda: transitions.state_space(self.transitions))
 
     @cached_property
     def rates(self) -> DataFrame:
-        return transitions.self_rates(self.transitions, self.space)
+        return self._stage("rates", lambda: transitions.self_rates(self.transitions, self.space))
 
     @cached_property
     def global_matrix(self) -> DataFrame:
@@ -115,3 +115,38 @@ class JourneyContext:
     @cached_property
     def risk(self) -> DataFrame:
         return drift.drift_scores(self.logprob, self.coded_events)
+
+    # --- split and ensemble (train-only components) ----------------------
+    window_size = 2      # the fixture spans 7 years
+    seed = 42
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """(person_id, dominant, split); a stage table."""
+        from trailmark.operators import ensemble
+        return self._stage("split", lambda: ensemble.stratified_split(self.coded_events, self.seed))
+
+    @cached_property
+    def split_transitions(self) -> DataFrame:
+        return self.transitions.join(self.split.select("person_id", "split"), "person_id")
+
+    def part(self, name: str) -> DataFrame:
+        return self.split_transitions.filter(F.col("split") == name)
+
+    @cached_property
+    def components(self):
+        from trailmark.operators import ensemble
+        tag = f"ens-w{self.window_size}-s{self.seed}"
+        return ensemble.build_components(
+            self.part("train"), self.space, self.rates, window_size=self.window_size, seed=self.seed,
+            keep=lambda name, df: self._stage(f"{tag}/{name}", lambda: df))
+
+    def annotated(self, name: str) -> DataFrame:
+        from trailmark.operators import ensemble
+        return ensemble.annotate(self.part(name), self.components)
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        from trailmark.operators import ensemble
+        return self._stage(f"ens-w{self.window_size}-s{self.seed}/weights", lambda: ensemble.tune_weights(
+            self.annotated("val"), self.components, self.rates, self.seed))

@@ -84,6 +84,124 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         left join (select person_id, count(*) as seq_length from ce group by person_id) l
           on l.person_id = r.person_id
         left join dom d on d.person_id = r.person_id"""),
+
+    # ---- split and training components (window size 2, seed 42)
+    "spl": (("dom",), """select person_id, dominant_sector as dominant,
+        case when rk < floor(n * 0.64) then 'train' when rk < floor(n * 0.80) then 'val' else 'test' end as split
+        from (select *, row_number() over (partition by dominant_sector
+                 order by md5(cast(person_id as varchar) || '|42'), person_id) - 1 as rk,
+                 count(*) over (partition by dominant_sector) as n from dom)"""),
+    "trs": (("tr", "spl"), "select t.*, s.split from tr t join spl s on s.person_id = t.person_id"),
+    "trn": (("trs",), "select * from trs where split = 'train'"),
+    "mxy": (("trn",), "select max(yr) as maxyr from trn"),
+    "gmt": (("grid", "trn", "sr", "nn"), """select cur, nxt, cur_idx, nxt_idx, (v + sv) / (row_sum + n * sv) as p
+        from (select *, case when row_sum < 10 then 0.5e0 when row_sum < 100 then 0.1e0 else 0.01e0 end as sv
+              from (select *, sum(v) over (partition by cur) as row_sum
+                    from (select g.*, coalesce(c.v, 0) * case when g.cur = g.nxt then s.mult else 1.0e0 end as v
+                          from grid g
+                          left join (select cur, nxt, count(*) * 1.0e0 as v from trn group by cur, nxt) c
+                            on c.cur = g.cur and c.nxt = g.nxt
+                          join sr s on s.state = g.cur))), nn"""),
+    "rect": (("grid", "trn", "sr", "nn", "mxy"), """select cur, nxt, cur_idx, nxt_idx, (v + sv) / (row_sum + n * sv) as p
+        from (select *, case when row_sum < 10 then 0.5e0 when row_sum < 100 then 0.1e0 else 0.01e0 end as sv
+              from (select *, sum(v) over (partition by cur) as row_sum
+                    from (select g.*, coalesce(c.v, 0) * case when g.cur = g.nxt then s.mult else 1.0e0 end as v
+                          from grid g
+                          left join (select cur, nxt, sum(exp(0.12e0 * (yr - maxyr))) as v from trn, mxy group by cur, nxt) c
+                            on c.cur = g.cur and c.nxt = g.nxt
+                          join sr s on s.state = g.cur))), nn"""),
+    "wins": (("trn",), """select win, cast(min(y) as varchar) || '-' || cast(max(y) as varchar) as win_label,
+          min(y) as start_year, max(y) as end_year
+        from (select y, cast(floor((dense_rank() over (order by y) - 1) / 2) as integer) as win
+              from (select distinct yr as y from trn)) group by win"""),
+    "trw": (("trn", "wins"), """select t.*, w.win from trn t join wins w on t.yr between w.start_year and w.end_year"""),
+    "wmt": (("grid", "trw", "sr", "nn", "wins"), """select win, cur, nxt, cur_idx, nxt_idx, (v + sv) / (row_sum + n * sv) as p
+        from (select *, case when zs > 0.70 then 0.5e0 when zs > 0.30 then 0.1e0 else 0.01e0 end as sv
+              from (select *, sum(v) over (partition by win, cur) as row_sum,
+                           1.0e0 - count_if(v > 0) over (partition by win) / (n * n * 1.0e0) as zs
+                    from (select w.win, g.*, coalesce(c.v, 0) * case when g.cur = g.nxt then s.mult else 1.0e0 end as v
+                          from wins w cross join grid g
+                          left join (select win, cur, nxt, count(*) * 1.0e0 as v from trw group by win, cur, nxt) c
+                            on c.win = w.win and c.cur = g.cur and c.nxt = g.nxt
+                          join sr s on s.state = g.cur), nn))"""),
+    "so2": (("grid", "trn", "sr", "sp"), """select prev, cur, nxt, cur_idx, nxt_idx, n_context, vec / sum(vec) over (partition by prev, cur) as p
+        from (select c.prev, c.n_context, g.*, (coalesce(t.n, 0) + 0.01e0) * case when g.nxt = g.cur then s.mult else 1.0e0 end as vec
+              from (select prev, cur, count(*) as n_context from trn where prev in (select state from sp)
+                    group by prev, cur having count(*) >= 5) c
+              join grid g on g.cur = c.cur
+              join sr s on s.state = g.cur
+              left join (select prev, cur, nxt, count(*) * 1.0e0 as n from trn group by prev, cur, nxt) t
+                on t.prev = c.prev and t.cur = c.cur and t.nxt = g.nxt)"""),
+    "pri": (("trn", "sp", "nn", "mxy"), """select person_id, state, idx as state_idx, w, total,
+          (0.01e0 + w) / (0.01e0 * n + total) as p, 0.01e0 / (0.01e0 * n + total) as p_default
+        from (select *, sum(w) over (partition by person_id) as total
+              from (select person_id, cur as state, sum(exp(0.15e0 * (yr - maxyr))) as w from trn, mxy
+                    group by person_id, cur) u) x join sp using (state), nn where total >= 2"""),
+    "bst": (("trn", "sp", "nn"), """select flag_value, state, idx, case when flag_value then bt else bf end as boost from (
+        select sp.state, sp.idx,
+          case when tt > 0 then least(greatest(((coalesce(n_t, 0) + 0.01e0) / (tt + n * 0.01e0)) / ((coalesce(n_all, 0) + 0.01e0) / (ta + n * 0.01e0)), 0.5e0), 2.0e0) else 1.0e0 end as bt,
+          case when tt > 0 then least(greatest(((coalesce(n_f, 0) + 0.01e0) / (tf + n * 0.01e0)) / ((coalesce(n_all, 0) + 0.01e0) / (ta + n * 0.01e0)), 0.5e0), 2.0e0) else 1.0e0 end as bf
+        from sp left join (select nxt, count(*) as n_all, count_if(univ_flag) as n_t, count_if(not univ_flag) as n_f
+                           from trn group by nxt) c on c.nxt = sp.state,
+             (select count(*) as ta, count_if(univ_flag) as tt, count_if(not univ_flag) as tf from trn), nn)
+        cross join (values (true), (false)) f(flag_value)"""),
+    "rskt": (("trn", "gmt"), """select person_id, -avg(ln(greatest(coalesce(g.p, 0), 1e-9))) as drift_score, count(*) as seq_length,
+          avg(case when t.cur = t.nxt then 1.0e0 else 0.0e0 end) as self_loop_rate
+        from trn t left join gmt g on g.cur = t.cur and g.nxt = t.nxt group by person_id having count(*) >= 2"""),
+    "clu": (("rskt",), """select r.*, cast((drift_score > q0)::int + (drift_score > q1)::int + (drift_score > q2)::int
+          + (drift_score > q3)::int as integer) as cluster
+        from rskt r, (select quantile_cont(drift_score, 0.2) as q0, quantile_cont(drift_score, 0.4) as q1,
+                             quantile_cont(drift_score, 0.6) as q2, quantile_cont(drift_score, 0.8) as q3 from rskt)"""),
+    "csum": (("clu",), """select s.*, case when mean_drift > q80 and mean_loop < 0.3 then 'Career Switcher'
+          when mean_drift < q20 and mean_loop > 0.5 then 'Sector Loyalist'
+          when mean_len > q75 then 'Career Veteran'
+          when mean_drift > q50 then 'Gradual Mover' else 'Stable Specialist' end as archetype
+        from (select cluster, count(*) as n_users, avg(drift_score) as mean_drift, avg(seq_length) as mean_len,
+                     avg(self_loop_rate) as mean_loop from clu group by cluster) s,
+             (select quantile_cont(mean_drift, 0.8) as q80, quantile_cont(mean_drift, 0.2) as q20,
+                     quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
+              from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len from clu group by cluster))"""),
+    "smap": (("clu", "csum"), "select c.person_id, s.archetype from clu c join csum s on s.cluster = c.cluster"),
+    "tra": (("trn", "smap", "csum"), """select t.*, coalesce(m.archetype, 'Stable Specialist') as archetype
+        from trn t left join smap m on m.person_id = t.person_id
+        where coalesce(m.archetype, 'Stable Specialist') in (select archetype from csum)"""),
+    "segm": (("grid", "tra", "sr", "nn", "gmt"), """select archetype, cur, nxt, cur_idx, nxt_idx, (v + sv) / (row_sum + n * sv) as p
+        from (select *, case when row_sum < 10 then 0.5e0 when row_sum < 100 then 0.1e0 else 0.01e0 end as sv
+              from (select *, sum(v) over (partition by archetype, cur) as row_sum
+                    from (select a.archetype, g.*, coalesce(c.v, 0) * case when g.cur = g.nxt then s.mult else 1.0e0 end as v
+                          from (select archetype from tra group by archetype having count(*) >= 50) a cross join grid g
+                          left join (select archetype, cur, nxt, count(*) * 1.0e0 as v from tra group by archetype, cur, nxt) c
+                            on c.archetype = a.archetype and c.cur = g.cur and c.nxt = g.nxt
+                          join sr s on s.state = g.cur))), nn
+        union all
+        select a.archetype, g.cur, g.nxt, g.cur_idx, g.nxt_idx, g.p
+        from (select archetype from tra group by archetype having count(*) < 50) a cross join gmt g"""),
+    # annotated evaluation rows (validation and test)
+    "ann": (("trs", "smap", "wins", "sp"), """select t.person_id, t.pos, t.split, t.yr, t.cur, t.nxt, t.prev, t.univ_flag,
+          coalesce(m.archetype, 'Stable Specialist') as archetype, coalesce(w.win, -1) as win,
+          coalesce(w.win_label, 'global') as win_key, c.idx as cur_idx, n.idx as nxt_idx, p.idx as prev_idx
+        from trs t left join smap m on m.person_id = t.person_id
+        left join wins w on t.yr between w.start_year and w.end_year
+        join sp c on c.state = t.cur join sp n on n.state = t.nxt left join sp p on p.state = t.prev
+        where t.split in ('val', 'test')"""),
+    "annp": (("ann", "pri"), """select a.*, case when a.person_id in (select person_id from pri) then a.person_id end
+        as prior_entity from ann a"""),
+    # component cells for every evaluation context (back-off to global)
+    "cells": (("annp", "gmt", "rect", "wmt", "segm", "so2", "pri", "bst"), """select x.*, g.nxt_idx as j,
+          g.p as g, r.p as r, coalesce(w.p, g.p) as d, coalesce(a.p, g.p) as a, coalesce(s.p, g.p) as s,
+          coalesce(h.p, hd.p_default, g.p) as h, b.boost as b
+        from (select split, cur_idx, win, archetype, univ_flag, prev_idx, prior_entity, count(*) as n_rows
+              from annp
+              group by split, cur_idx, win, archetype, univ_flag, prev_idx, prior_entity) x
+        join gmt g on g.cur_idx = x.cur_idx
+        join rect r on r.cur_idx = x.cur_idx and r.nxt_idx = g.nxt_idx
+        left join wmt w on w.win = x.win and w.cur_idx = x.cur_idx and w.nxt_idx = g.nxt_idx
+        left join segm a on a.archetype = x.archetype and a.cur_idx = x.cur_idx and a.nxt_idx = g.nxt_idx
+        left join (select p2.idx as prev_idx, so2.* from so2 join sp p2 on p2.state = so2.prev) s
+          on s.prev_idx = x.prev_idx and s.cur_idx = x.cur_idx and s.nxt_idx = g.nxt_idx
+        left join pri h on h.person_id = x.prior_entity and h.state_idx = g.nxt_idx
+        left join (select distinct person_id, p_default from pri) hd on hd.person_id = x.prior_entity
+        left join bst b on b.flag_value = x.univ_flag and b.idx = g.nxt_idx"""),
 }
 
 
@@ -105,6 +223,12 @@ def sql(final: str, *needs: str) -> str:
     return "with " + ",\n".join(f"{n} as ({CTES[n][1]})" for n in order) + "\n" + final
 
 
+def sql_with(extra: str, final: str, *needs: str) -> str:
+    """Like ``sql`` with further CTE definitions (``extra``) after the needed ones."""
+    base = sql("", *needs).rstrip()
+    return base + ",\n" + extra + "\n" + final
+
+
 def R(x: str, d: int = 6) -> str:
     """Same half-up rounding as ``round_to`` on the Spark side."""
     return f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
