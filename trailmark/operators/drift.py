@@ -91,10 +91,11 @@ def archetype_names(summary: DataFrame) -> DataFrame:
     """H4: ordered rules on the cluster means against quantiles (linear
     interpolation) of the cluster means; the first rule that holds names the
     cluster. The quantiles are scalar subqueries over the (k-row) summary."""
-    q80 = summary.agg(F.percentile("mean_drift", 0.8)).scalar()
-    q20 = summary.agg(F.percentile("mean_drift", 0.2)).scalar()
-    q50 = summary.agg(F.percentile("mean_drift", 0.5)).scalar()
-    q75 = summary.agg(F.percentile("mean_len", 0.75)).scalar()
+    q = summary.agg(F.struct(F.percentile("mean_drift", 0.8).alias("q80"),
+                             F.percentile("mean_drift", 0.2).alias("q20"),
+                             F.percentile("mean_drift", 0.5).alias("q50"),
+                             F.percentile("mean_len", 0.75).alias("q75"))).scalar()
+    q80, q20, q50, q75 = q["q80"], q["q20"], q["q50"], q["q75"]
     d, loop, ln = F.col("mean_drift"), F.col("mean_loop"), F.col("mean_len")
     name = (F.when((d > q80) & (loop < 0.3), F.lit("Career Switcher"))
              .when((d < q20) & (loop > 0.5), F.lit("Sector Loyalist"))

@@ -105,7 +105,7 @@ class Components:
 
 
 def train_segments(train: DataFrame, space: DataFrame, glob: DataFrame, method: str = "quantile",
-                   seed: int = 42, entity: str = "person_id"):
+                   seed: int = 42, entity: str = "person_id", keep=None):
     """Segments of training entities from their drift under the training
     matrix (H1, H2 with length = transitions), then named by H4. ``quantile``
     segments are deterministic; ``kmeans`` runs H3."""
@@ -119,6 +119,8 @@ def train_segments(train: DataFrame, space: DataFrame, glob: DataFrame, method:
         clustered = drift.cluster_drift(risk, k=5, seeds=(seed, seed + 1, seed + 2))
     else:
         clustered = segments.quantile_segments(risk)
+    if keep is not None:
+        clustered = keep("clustered", clustered)
     summary = drift.archetype_names(drift.cluster_summary(clustered))
     seg_map = clustered.join(summary.select("cluster", "archetype"), "cluster").select(entity, "archetype")
     return seg_map, summary
@@ -139,7 +141,7 @@ def build_components(train: DataFrame, space: DataFrame, rates: DataFrame, *, wi
     so = keep("so", markov.second_order(train, space, rates))
     prior = keep("prior", markov.history_prior(train, space, entity=entity))
     boost = keep("boost", markov.attribute_boost(train, space))
-    seg_map, summary = train_segments(train, space, glob, segment_method, seed, entity)
+    seg_map, summary = train_segments(train, space, glob, segment_method, seed, entity, keep)
     seg_map = keep("seg_map", seg_map)
     summary = keep("seg_summary", summary)
     named = summary.select("archetype").distinct()
@@ -256,26 +258,14 @@ def tune_weights(val_annotated: DataFrame, comp: Components, rates: DataFrame, s
     rows = val_annotated.join(eligible, "cur_idx", "left_semi")
     rows = capped_sample(rows, "cur_idx", cap, seed, [entity, "pos"])
     ctx = with_component_rows(contexts(rows, comp, entity), comp, entity)
-    grid = F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(wh).alias("wh"), F.lit(ws).alias("ws"),
-                              F.lit(wa).alias("wa"), F.lit(wr).alias("wr"))
-                     for c, wh, ws, wa, wr in weight_grid()])
-    # The weight-free parts, boosted, once per context; the argmax ignores the
-    # positive normalising factor, so each combination is 4 products per cell.
-    mr, md = BASE_MIX
-    boosted = (ctx.withColumn("_bb", F.transform(F.sequence(F.lit(0), F.size("r") - 1), lambda i: F.struct(
-                  ((F.lit(mr) * F.get("r", i) + F.lit(md) * F.get("d", i)) * F.get("b", i)).alias("B"),
-                  (F.get("a", i) * F.get("b", i)).alias("A"), (F.get("s", i) * F.get("b", i)).alias("S"),
-                  (F.get("h", i) * F.get("b", i)).alias("H"))))
-                  .select("cur_idx", "nxt_counts", "_bb"))
-    x = boosted.select("cur_idx", "nxt_counts", "_bb", F.explode(grid).alias("w"))
-    x = x.withColumn("_sc", F.transform("_bb", lambda e: F.col("w.wr") * e["B"] + F.col("w.wa") * e["A"]
-                                        + F.col("w.ws") * e["S"] + F.col("w.wh") * e["H"]))
-    x = with_argmax_rounded(x, "_sc", "top").select("cur_idx", "w", "top", "nxt_counts")
-    hit = F.coalesce(F.try_element_at(F.col("nxt_counts"), F.col("top")), F.lit(0))
-    per = x.groupBy("cur_idx", "w").agg(F.sum(hit).alias("hits"))
+    per = grid_hits(ctx)
+    grid = {c: (wh, ws, wa) for c, wh, ws, wa, _ in weight_grid()}
+    gdf = ctx.sparkSession.createDataFrame(
+        [(c, wh, ws, wa) for c, (wh, ws, wa) in grid.items()], "combo int, wh double, ws double, wa double")
     best = per.groupBy("cur_idx").agg(
-        F.min_by(F.col("w"), F.struct((-F.col("hits")).alias("h"), F.col("w.combo").alias("c"))).alias("bw"),
-        F.max("hits").alias("hits"))
+        F.min_by(F.col("combo"), F.struct((-F.col("hits")).alias("h"), F.col("combo").alias("c"))).alias("combo"),
+        F.max("hits").alias("hits")).join(F.broadcast(gdf), "combo")   # 59 fixed rows
+    best = best.select("cur_idx", "hits", F.struct("wh", "ws", "wa").alias("bw"))
     n_rows = rows.groupBy("cur_idx").agg(F.count(F.lit(1)).alias("n_rows"))
     tuned = best.join(n_rows, "cur_idx").select(
         "cur_idx", F.col("bw.wh").alias("w_hist"), F.col("bw.ws").alias("w_so"),
@@ -292,6 +282,44 @@ def tune_weights(val_annotated: DataFrame, comp: Components, rates: DataFrame, s
                     F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"))
 
 
+def _grid_kernel(batches):
+    """Per Arrow batch of contexts: the boosted weight-free parts as a
+    (contexts, 4, n) tensor times the (59, 4) weight grid, rounded like the
+    SQL side, argmax over states (ties to the lowest index), hit counts
+    looked up in each context's next-state counts."""
+    import numpy as np
+    import pandas as pd
+
+    grid = np.array([[wr, wa, ws, wh] for _, wh, ws, wa, wr in weight_grid()])      # (C, 4)
+    combos = np.array([c for c, *_ in weight_grid()], dtype=np.int32)
+    mr, md = BASE_MIX
+    scale = 10.0 ** RANK_DIGITS
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        st = lambda c: np.stack(pdf[c].to_numpy())                                   # noqa: E731
+        r, d, a, s, h, b = (st(c) for c in ("r", "d", "a", "s", "h", "b"))
+        parts = np.stack([(mr * r + md * d) * b, a * b, s * b, h * b], axis=1)       # (m, 4, n)
+        sc = np.einsum("ck,mkn->mcn", grid, parts)                                   # (m, C, n)
+        top = np.argmax(np.floor(sc * scale + 0.5) / scale, axis=2)                  # (m, C)
+        m = len(pdf)
+        hits = np.zeros((m, len(combos)), dtype=np.int64)
+        for row, counts in enumerate(pdf["nxt_counts"]):
+            cnt = np.zeros(r.shape[1], dtype=np.int64)
+            for k, v in (counts.items() if isinstance(counts, dict) else counts):
+                cnt[k] = v
+            hits[row] = cnt[top[row]]
+        yield pd.DataFrame({"cur_idx": np.repeat(pdf["cur_idx"].to_numpy(), len(combos)),
+                            "combo": np.tile(combos, m), "hits": hits.reshape(-1)})
+
+
+def grid_hits(ctx: DataFrame) -> DataFrame:
+    """Hits per (current state, grid combination) over scoring contexts."""
+    x = ctx.select("cur_idx", "nxt_counts", "r", "d", "a", "s", "h", "b")
+    out = x.mapInPandas(_grid_kernel, "cur_idx int, combo int, hits long")
+    return out.groupBy("cur_idx", "combo").agg(F.sum("hits").alias("hits"))
+
+
 def scored_contexts(annotated: DataFrame, comp: Components, weights: DataFrame, k: int = max(TOP_K),
                     entity: str = "person_id") -> DataFrame:
     """Contexts with their ensemble vector ``p`` under the per-state weights

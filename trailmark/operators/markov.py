@@ -28,7 +28,17 @@ BOOST_CLIP = (0.5, 2.0)
 
 
 def n_states(space: DataFrame) -> Column:
-    return space.agg(F.count(F.lit(1)).cast("int")).scalar()
+    """Size of the state space as a literal. The space is a small dimension
+    (one row per state), so counting it once is one tiny job and lets every
+    plan fold ``n`` as a constant instead of re-running a subquery."""
+    n = getattr(space, "_trailmark_n", None)
+    if n is None:
+        n = space.count()
+        try:
+            space._trailmark_n = n
+        except AttributeError:
+            pass
+    return F.lit(int(n))
 
 
 def _idx(space: DataFrame, name: str, idx_name: str) -> DataFrame:

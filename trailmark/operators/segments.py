@@ -16,6 +16,8 @@ def quantile_segments(risk: DataFrame, col: str = "drift_score",
     """Segment = number of the ``qs`` quantiles (exact, linear interpolation)
     that lie strictly below the value: 0 .. len(qs)."""
     names = [f"q{i}" for i in range(len(qs))]
-    q = exact_quantiles(risk, col, qs, names)
-    seg = sum((F.col(col) > q.select(nm).scalar()).cast("int") for nm in names)
+    # One struct-valued scalar subquery: every use below is the same
+    # subquery, which Spark executes once.
+    q = exact_quantiles(risk, col, qs, names).select(F.struct(*names).alias("q")).scalar()
+    seg = sum((F.col(col) > q[nm]).cast("int") for nm in names)
     return risk.withColumn(out, seg.cast("int"))
