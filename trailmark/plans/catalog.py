@@ -580,3 +580,75 @@ def q_ensemble_eval(spark, sf):
     ctx = context(spark, sf)
     e = ensemble.evaluate(ctx.annotated("test"), ctx.components, ctx.weights)
     return e.select("n_rows", *[r6(c).alias(c) for c in ["persistence_top1", "top_1", "top_3", "top_5"]])
+
+
+# --------------------------------------------------------------- phase 10: rule labelling
+
+from trailmark.operators import rulesets  # noqa: E402
+
+
+def _case_sql(text: str, rules, default: str | None = rulesets.DEFAULT_LABEL) -> str:
+    def cond(p):
+        ps = p if isinstance(p, (list, tuple)) else [p]
+        return " and ".join("regexp_matches({}, '{}')".format(text, q.replace("'", "''")) for q in ps)
+    body = " ".join(f"when {cond(p)} then '{lbl}'" for lbl, p in rules)
+    return f"case {body} else {'null' if default is None else repr(default)} end"
+
+
+DOC_TEXT = "lower(text)"
+
+
+@query("regex_first_match", sql(f"""select doc_id, {_case_sql(DOC_TEXT, rulesets.CONTENT_RULES)} as label
+    from documents"""))
+def q_regex_first_match(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    return d.select("doc_id", rulesets.first_match(F.lower("text"), rulesets.CONTENT_RULES).alias("label"))
+
+
+@query("regex_compound_rules", sql(f"""select label, count(*) as n from (
+    select {_case_sql(DOC_TEXT, rulesets.BROAD_RULES)} as label from documents) group by label"""))
+def q_regex_compound(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    return d.select(rulesets.first_match(F.lower("text"), rulesets.BROAD_RULES).alias("label")) \
+            .groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TITLE = "lower(split_part(text, chr(10), 1))"
+
+
+@query("regex_cascade", sql(f"""select doc_id, label, pass from (
+    select doc_id, coalesce(t1, t2, t3, t4) as label,
+      case when t1 is not null then 1 when t2 is not null then 2 when t3 is not null then 3
+           when t4 is not null then 4 end as pass
+    from (select doc_id, {_case_sql(_TITLE, rulesets.CONTENT_RULES, None)} as t1,
+                 {_case_sql(DOC_TEXT, rulesets.CONTENT_RULES, None)} as t2,
+                 {_case_sql(_TITLE, rulesets.BROAD_RULES, None)} as t3,
+                 {_case_sql(DOC_TEXT, rulesets.BROAD_RULES, None)} as t4 from documents))
+    where label is not null"""))
+def q_regex_cascade(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    title = F.lower(F.substring_index("text", "\n", 1))
+    out = rulesets.cascade(d, title, F.lower("text"), rulesets.CONTENT_RULES, rulesets.BROAD_RULES)
+    return out.select("doc_id", "label", "pass")
+
+
+_GUESS = _case_sql(DOC_TEXT, rulesets.LANG_RULES, None)
+
+
+@query("label_agreement", sql(f"""select count(*) as n_rows,
+      {R('avg(case when guess is not distinct from lang then 1.0e0 else 0.0e0 end)')} as agreement
+    from (select lang, {_GUESS} as guess from documents)"""))
+def q_label_agreement(spark, sf):
+    d = tables.table(spark, sf, "documents").withColumn(
+        "guess", rulesets.first_match(F.lower("text"), rulesets.LANG_RULES, None))
+    a = rulesets.agreement(d, "guess", "lang")
+    return a.select("n_rows", r6("agreement").alias("agreement"))
+
+
+@query("label_disagreements", sql(f"""select lang, guess, count(*) as n from (
+    select lang, {_GUESS} as guess from documents) where not (guess is not distinct from lang)
+    group by lang, guess order by n desc, lang, guess limit 10"""))
+def q_label_disagreements(spark, sf):
+    d = tables.table(spark, sf, "documents").withColumn(
+        "guess", rulesets.first_match(F.lower("text"), rulesets.LANG_RULES, None))
+    return rulesets.top_disagreements(d, "lang", "guess", 10)
