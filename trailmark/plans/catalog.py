@@ -652,3 +652,171 @@ def q_label_disagreements(spark, sf):
     d = tables.table(spark, sf, "documents").withColumn(
         "guess", rulesets.first_match(F.lower("text"), rulesets.LANG_RULES, None))
     return rulesets.top_disagreements(d, "lang", "guess", 10)
+
+
+# --------------------------------------------------------------- phase 7: rerank data path
+
+from trailmark.operators import rerank  # noqa: E402
+
+_FEATURE_SQL = {
+    "f_cos": "coalesce(list_dot_product(ce.e, ke.e) / (ce.nrm * ke.nrm), 0.0e0)",
+    "f_log_global": "ln(c.g + 1e-9)",
+    "f_log_recency": "ln(c.r + 1e-9)",
+    "f_log_second": "ln(c.s + 1e-9)",
+    "f_hist": "c.h",
+    "f_ysf": "least(coalesce(t.ysf, 0.0e0), 40.0e0) / 40.0e0",
+    "f_span": "least(coalesce(t.span, 0.0e0), 40.0e0) / 40.0e0",
+    "f_npt": "ln(1.0e0 + coalesce(t.npt, 0.0e0))",
+    "f_vel": "least(coalesce(least(greatest(t.npt / greatest(t.span, 1.0e0), 0.0e0), 10.0e0), 0.0e0), 10.0e0) / 10.0e0",
+    "f_same_l1": "cast(substring(cs.state, 1, 1) = substring(ks.state, 1, 1) as double)",
+    "f_same_l2": "cast(substring(cs.state, 1, 2) = substring(ks.state, 1, 2) as double)",
+    "f_direction": """coalesce((try_cast(substring(ks.state, 1, 1) as integer)
+                       - try_cast(substring(cs.state, 1, 1) as integer)) / 9.0e0, 0.0e0)""",
+    "f_self": "cast(c.cur_idx = c.cand_idx as double)",
+    "f_log_incoming": "ln(i.pin + 1e-9)",
+    "f_ensemble": "c.p",
+}
+assert list(_FEATURE_SQL) == rerank.FEATURES
+
+
+def _score_sql(zero=()) -> str:
+    terms = [f"{float(w)!r}e0 * {f}" for i, (w, f) in
+             enumerate(zip(rerank.FIXED_WEIGHTS, rerank.FEATURES)) if i not in zero and w != 0.0]
+    return R(" + ".join(terms), rerank.SCORE_DIGITS)
+
+
+RR_CTES = SCORED_CTES + f""",
+    tmp as (select person_id, pos, cast(least(greatest(yr - fy, 0), 50) as double) as ysf,
+              cast(least(greatest(ly - fy, 0), 50) as double) as span, cast(pos as double) as npt
+            from (select *, min(yr) over (partition by person_id) as fy,
+                         max(yr) over (partition by person_id) as ly from tr)),
+    semb as (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
+               sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
+             from embeddings),
+    inc as (select nxt_idx as cand_idx, avg(p) as pin from gmt group by nxt_idx),
+    cand as (select a.person_id, a.pos, a.cur_idx, a.nxt_idx, r.j as cand_idx, cast(r.rk - 1 as integer) as rank,
+               r.g, r.r, r.s, r.h, r.p
+             from annp a join ranked r on {JOIN_KEYS.format(a='a', b='r')}
+             where a.split = 'test' and r.rk <= {rerank.TOP_K}),
+    feats as (select c.person_id, c.pos, c.cur_idx, c.nxt_idx,
+        coalesce(max(case when c.cand_idx = c.nxt_idx then c.rank end) over (partition by c.person_id, c.pos), -1)
+          as true_pos, c.rank, c.cand_idx,
+        {", ".join(f"{v} as {k}" for k, v in _FEATURE_SQL.items())}
+      from cand c join sp cs on cs.idx = c.cur_idx join sp ks on ks.idx = c.cand_idx
+      join inc i on i.cand_idx = c.cand_idx
+      left join semb ce on ce.state_idx = c.cur_idx left join semb ke on ke.state_idx = c.cand_idx
+      left join tmp t on t.person_id = c.person_id and t.pos = c.pos),
+    rr as (select *, cast(row_number() over (partition by person_id, pos order by score desc, rank) - 1 as integer)
+             as new_rank
+           from (select *, {_score_sql()} as score from feats))"""
+
+_RR_NEEDS = ("cells", "sr", "annp", "tr", "gmt", "sp")
+
+
+def _rr_sql(final: str) -> str:
+    return sql_with(RR_CTES, final, *_RR_NEEDS)
+
+
+def _test_feats(spark, sf):
+    return context(spark, sf).candidate_features("test")
+
+
+@query("pairwise_cosine", sql("""select c.state as cur, n.state as nxt,
+      """ + R("coalesce(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 0.0e0)") + """ as cosine
+    from (select distinct cur, nxt from tr) p join sp c on c.state = p.cur join sp n on n.state = p.nxt
+    left join (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
+                 sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
+               from embeddings) a on a.state_idx = c.idx
+    left join (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
+                 sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
+               from embeddings) b on b.state_idx = n.idx""", "tr", "sp"))
+def q_pairwise_cosine(spark, sf):
+    """J2 on observed state pairs: cosine of the two state embeddings."""
+    ctx = context(spark, sf)
+    sp = ctx.space.select("state", "idx")
+    pairs = ctx.transitions.select("cur", "nxt").distinct()
+    e = ctx.state_embeddings
+    j = (pairs.join(sp.select(F.col("state").alias("cur"), F.col("idx").alias("ci")), "cur")
+              .join(sp.select(F.col("state").alias("nxt"), F.col("idx").alias("ni")), "nxt")
+              .join(e.select(F.col("state_idx").alias("ci"), F.col("emb").alias("_a")), "ci", "left")
+              .join(e.select(F.col("state_idx").alias("ni"), F.col("emb").alias("_b")), "ni", "left"))
+    return j.select("cur", "nxt", r6(F.coalesce(rerank.dot("_a", "_b"), F.lit(0.0))).alias("cosine"))
+
+
+@query("candidate_lists", _rr_sql("""select person_id, pos, nxt_idx, true_pos,
+      string_agg(cast(cand_idx as varchar), ',' order by rank) as cands
+    from feats group by person_id, pos, nxt_idx, true_pos"""))
+def q_candidate_lists(spark, sf):
+    f = _test_feats(spark, sf)
+    return f.groupBy("person_id", "pos", "nxt_idx", "true_pos").agg(
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand_idx"))),
+                                     lambda s: s["cand_idx"].cast("string"))).alias("cands"))
+
+
+@query("candidate_features", _rr_sql(f"""select person_id, pos, cur_idx, nxt_idx, true_pos, rank, cand_idx,
+      {", ".join(f"{R(k)} as {k}" for k in rerank.FEATURES)} from feats"""))
+def q_candidate_features(spark, sf):
+    f = _test_feats(spark, sf)
+    return f.select("person_id", "pos", "cur_idx", "nxt_idx", "true_pos", "rank", "cand_idx",
+                    *[r6(k).alias(k) for k in rerank.FEATURES])
+
+
+@query("rerank", _rr_sql("select person_id, pos, cand_idx, rank, new_rank, score from rr"))
+def q_rerank(spark, sf):
+    r = rerank.rerank(_test_feats(spark, sf), rerank.linear_score())
+    return r.select("person_id", "pos", "cand_idx", "rank", "new_rank", "score")
+
+
+_EVAL_COLS = ["top_1", "top_3", "top_5", "candidate_recall"]
+
+
+@query("rerank_eval", _rr_sql(f"""select ranking, {", ".join(f"{R(c)} as {c}" for c in _EVAL_COLS)} from (
+      select 'ensemble' as ranking, count_if(rank < 1) / n as top_1, count_if(rank < 3) / n as top_3,
+             count_if(rank < 5) / n as top_5, count(*) / n as candidate_recall
+      from rr, (select count(*) * 1.0e0 as n from (select distinct person_id, pos from rr)) where cand_idx = nxt_idx
+      group by n
+      union all
+      select 'rerank', count_if(new_rank < 1) / n, count_if(new_rank < 3) / n, count_if(new_rank < 5) / n, count(*) / n
+      from rr, (select count(*) * 1.0e0 as n from (select distinct person_id, pos from rr)) where cand_idx = nxt_idx
+      group by n)"""))
+def q_rerank_eval(spark, sf):
+    e = rerank.rerank_eval(rerank.rerank(_test_feats(spark, sf), rerank.linear_score()))
+    return e.select("ranking", *[r6(c).alias(c) for c in _EVAL_COLS])
+
+
+_GROUPS = list(rerank.FEATURE_GROUPS.items())
+_ABL_COLS = ["top1_with_all", "top1_zeroed_out", "top1_drop"]
+
+
+@query("rerank_ablation", _rr_sql(f"""select feature_group, {R('h_all / n')} as top1_with_all,
+      {R('h / n')} as top1_zeroed_out, {R('(h_all - h) / n')} as top1_drop
+    from (select count(*) * 1.0e0 as n, sum(t_all) as h_all,
+                 {", ".join(f"sum(t{gi}) as h{gi}" for gi in range(len(_GROUPS)))}
+          from (select person_id, pos,
+                  max(case when r_all = 1 and cand_idx = nxt_idx then 1 else 0 end) as t_all,
+                  {", ".join(f"max(case when r{gi} = 1 and cand_idx = nxt_idx then 1 else 0 end) as t{gi}"
+                             for gi in range(len(_GROUPS)))}
+                from (select *, row_number() over (partition by person_id, pos order by s_all desc, rank) as r_all,
+                        {", ".join(f"row_number() over (partition by person_id, pos order by s{gi} desc, rank) as r{gi}"
+                                   for gi in range(len(_GROUPS)))}
+                      from (select *, {_score_sql()} as s_all,
+                              {", ".join(f"{_score_sql(set(idx))} as s{gi}" for gi, (_, idx) in enumerate(_GROUPS))}
+                            from feats))
+                group by person_id, pos))
+    cross join (values {", ".join(f"('{name}', {gi})" for gi, (name, _) in enumerate(_GROUPS))}) g(feature_group, gi)
+    cross join lateral (select case gi {" ".join(f"when {gi} then h{gi}" for gi in range(len(_GROUPS)))} end as h)"""))
+def q_rerank_ablation(spark, sf):
+    a = rerank.ablation(_test_feats(spark, sf))
+    return a.select("feature_group", *[r6(c).alias(c) for c in _ABL_COLS])
+
+
+@query("win_margin", _rr_sql(f"""select person_id, pos, {R('win_prob')} as win_prob,
+      {R('win_prob - coalesce(second_prob, 0.0e0)')} as margin
+    from (select person_id, pos, max(case when new_rank = 0 then sp_ end) as win_prob,
+                 max(case when new_rank = 1 then sp_ end) as second_prob
+          from (select *, ex / sum(ex) over (partition by person_id, pos) as sp_
+                from (select *, exp(score - max(score) over (partition by person_id, pos)) as ex from rr))
+          group by person_id, pos)"""))
+def q_win_margin(spark, sf):
+    w = rerank.win_margin(rerank.rerank(_test_feats(spark, sf), rerank.linear_score()))
+    return w.select("person_id", "pos", r6("win_prob").alias("win_prob"), r6("margin").alias("margin"))

@@ -150,3 +150,24 @@ class JourneyContext:
         from trailmark.operators import ensemble
         return self._stage(f"ens-w{self.window_size}-s{self.seed}/weights", lambda: ensemble.tune_weights(
             self.annotated("val"), self.components, self.rates, self.seed))
+
+    # --- rerank data path (J2-J13) ----------------------------------------
+    @cached_property
+    def state_embeddings(self) -> DataFrame:
+        """Unit-length embedding per state index (embeddings.vec_id = index)."""
+        from trailmark.operators import rerank
+        return rerank.state_embeddings_from_table(self.space, tables.table(self.spark, self.sf_dir, "embeddings"))
+
+    def candidate_features(self, name: str) -> DataFrame:
+        """(row, candidate) features of one split; a stage table. Training
+        rows get the true next forced into the list, evaluation rows do not."""
+        from trailmark.operators import rerank
+        emb_sig = stages.input_signature(self.spark, [os.path.join(self.sf_dir, "embeddings.parquet")])
+        tag = f"ens-w{self.window_size}-s{self.seed}/cand-{name}-{emb_sig}"
+
+        def build():
+            c = rerank.candidate_lists(self.annotated(name), self.components, self.weights,
+                                       force_true=(name == "train"))
+            return rerank.candidate_features(c, self.components, self.state_embeddings,
+                                             transitions.temporal_features(self.transitions))
+        return self._stage(tag, build)
