@@ -820,3 +820,96 @@ def q_rerank_ablation(spark, sf):
 def q_win_margin(spark, sf):
     w = rerank.win_margin(rerank.rerank(_test_feats(spark, sf), rerank.linear_score()))
     return w.select("person_id", "pos", r6("win_prob").alias("win_prob"), r6("margin").alias("margin"))
+
+
+# --------------------------------------------------------------- phase 8: classification metrics, model pieces
+
+from trailmark.operators import classify  # noqa: E402
+from trailmark.sources import stages  # noqa: E402
+
+_GUESS_COL = f"coalesce({_GUESS}, 'none')"
+
+
+def _docs_with_guess(spark, sf):
+    d = tables.table(spark, sf, "documents")
+    return d.withColumn("guess", F.coalesce(rulesets.first_match(F.lower("text"), rulesets.LANG_RULES, None),
+                                            F.lit("none")))
+
+
+@query("class_split", sql("""select doc_id, lang,
+      case when rk < floor(n * 0.70) then 'train' when rk < floor(n * 0.85) then 'val' else 'test' end as split
+    from (select doc_id, lang, row_number() over (partition by lang order by md5(cast(doc_id as varchar) || '|42'), doc_id) - 1 as rk,
+                 count(*) over (partition by lang) as n from documents)"""))
+def q_class_split(spark, sf):
+    d = tables.table(spark, sf, "documents").select("doc_id", "lang")
+    return classify.class_split(d, "lang", ["doc_id"], 42)
+
+
+@query("class_weights", sql(f"""select lang, count(*) as n_c,
+      {R('sum(count(*)) over () / (count(*) over () * count(*))')} as weight from documents group by lang"""))
+def q_class_weights(spark, sf):
+    w = classify.class_weights(tables.table(spark, sf, "documents"), "lang")
+    return w.select("lang", "n_c", r6("weight").alias("weight"))
+
+
+@query("confusion_matrix", sql(f"""select lang, guess, count(*) as n
+    from (select lang, {_GUESS_COL} as guess from documents) group by lang, guess"""))
+def q_confusion_matrix(spark, sf):
+    return classify.confusion_matrix(_docs_with_guess(spark, sf), "lang", "guess")
+
+
+@query("class_report", sql(f"""with d as (select lang, {_GUESS_COL} as guess from documents),
+    cm as (select lang, guess, count(*) as n from d group by lang, guess),
+    lb as (select lang as label from cm union select guess from cm),
+    per as (select lb.label,
+        coalesce((select sum(n) from cm where cm.lang = lb.label and cm.guess = lb.label), 0) as tp,
+        coalesce((select sum(n) from cm where cm.lang = lb.label), 0) as support,
+        coalesce((select sum(n) from cm where cm.guess = lb.label), 0) as n_pred from lb),
+    pr as (select label, tp, support,
+        case when n_pred > 0 then tp * 1.0e0 / n_pred else 0.0e0 end as precision,
+        case when support > 0 then tp * 1.0e0 / support else 0.0e0 end as recall from per),
+    f as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0e0 end as f1
+          from pr)
+    select label, {R('precision')} as precision, {R('recall')} as recall, {R('f1')} as f1, cast(support as bigint) as support
+    from f
+    union all
+    select 'weighted avg', {R('sum(precision * support) / sum(support)')}, {R('sum(recall * support) / sum(support)')},
+           {R('sum(f1 * support) / sum(support)')}, cast(sum(support) as bigint) from f
+    union all
+    select 'accuracy', null, null, {R('sum(tp) * 1.0e0 / sum(support)')}, cast(sum(support) as bigint) from f"""))
+def q_class_report(spark, sf):
+    r = classify.class_report(_docs_with_guess(spark, sf), "lang", "guess")
+    return r.select("label", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("dataset_fingerprint", sql("""select substring(sha256(cast(n_rows as varchar) || '|' || cast(hash_sum as varchar)), 1, 16)
+      as fingerprint, n_rows, hash_sum
+    from (select count(*) as n_rows,
+                 cast(sum(cast(('0x' || substring(md5(coalesce(combined_text, '')), 1, 15)) as bigint)) as decimal(38, 0))
+                   as hash_sum from ev)""", "ev"))
+def q_dataset_fingerprint(spark, sf):
+    return stages.dataset_fingerprint(context(spark, sf).events, ["combined_text"])
+
+
+@query("ensemble_prob", sql_with(SCORED_CTES, f"""select cur_idx, win, archetype, univ_flag, prev_idx,
+      j as state_idx, {R('p', 9)} as p from scored""", "cells", "sr", "annp"))
+def q_ensemble_prob(spark, sf):
+    ctx = context(spark, sf)
+    sc = ensemble.scored_contexts(ctx.annotated("test"), ctx.components, ctx.weights, 5)
+    x = sc.select("cur_idx", "win", "archetype", "univ_flag", "prev_idx", F.posexplode("p").alias("state_idx", "p"))
+    return x.select("cur_idx", "win", "archetype", "univ_flag", "prev_idx", "state_idx", round_to("p", 9).alias("p"))
+
+
+@query("segment_breakdown", sql("""select archetype, dominant_sector, n_users, rank from (
+      select archetype, dominant_sector, n_users,
+             cast(row_number() over (partition by archetype order by n_users desc, dominant_sector) as integer) as rank
+      from (select m.archetype, d.dominant_sector, count(*) as n_users
+            from smap m join dom d on d.person_id = m.person_id group by m.archetype, d.dominant_sector))
+    where rank <= 3""", "smap", "dom"))
+def q_segment_breakdown(spark, sf):
+    ctx = context(spark, sf)
+    dom = drift.dominant_state(ctx.coded_events)
+    c = ctx.components.seg_map.join(dom, "person_id").groupBy("archetype", "dominant_sector") \
+        .agg(F.count(F.lit(1)).alias("n_users"))
+    return reports.top_n_per_group(c, ["archetype"], "n_users", ["dominant_sector"], 3) \
+        .select("archetype", "dominant_sector", "n_users", "rank")
