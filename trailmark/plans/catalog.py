@@ -913,3 +913,113 @@ def q_segment_breakdown(spark, sf):
         .agg(F.count(F.lit(1)).alias("n_users"))
     return reports.top_n_per_group(c, ["archetype"], "n_users", ["dominant_sector"], 3) \
         .select("archetype", "dominant_sector", "n_users", "rank")
+
+
+# learned parts (MLlib): ids, signs and fitted values are not engine-portable,
+# so these are rows-only checks plus the invariants in tests/.
+
+from trailmark.operators import profiles  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def _model(spark, sf, name, build):
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
+@query("drift_clusters")
+def q_drift_clusters(spark, sf):
+    """H3 + E13: k-means (k=5) over standardised drift, length and self-loop
+    rate of the drift table, then the per-cluster summary."""
+    clustered = drift.cluster_drift(context(spark, sf).risk, k=5)
+    return drift.cluster_summary(clustered)
+
+
+@query("pca_explained")
+def q_pca_explained(spark, sf):
+    ctx = context(spark, sf)
+    return _model(spark, sf, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[0]
+
+
+@query("pca_coordinates")
+def q_pca_coordinates(spark, sf):
+    ctx = context(spark, sf)
+    return _model(spark, sf, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[1]
+
+
+def _doc_split(spark, sf):
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return classify.class_split(d, "lang", ["doc_id"], 42)
+
+
+def _doc_model(spark, sf):
+    """I3 + I4: balanced class weights, classifier fitted on the train split."""
+    def build():
+        s = _doc_split(spark, sf)
+        w = classify.class_weights(s.filter("split = 'train'"), "lang").select("lang", "weight")
+        train = s.filter("split = 'train'").join(F.broadcast(w), "lang")   # one row per class
+        return classify.train_classifier(train, "text", "lang", weight="weight")
+    return _model(spark, sf, "doc_classifier", build)
+
+
+def _doc_scores(spark, sf):
+    return classify.score(_doc_model(spark, sf), _doc_split(spark, sf).filter("split = 'test'"))
+
+
+@query("doc_embeddings")
+def q_doc_embeddings(spark, sf):
+    """One unit-length vector per document."""
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
+    return classify.hashed_embedding(d, "text").select("doc_id", "embedding")
+
+
+@query("classifier_report")
+def q_classifier_report(spark, sf):
+    """I5 + I8: scores on the held-out split and the class report."""
+    return classify.class_report(_doc_scores(spark, sf), "lang", "predicted")
+
+
+@query("confidence_hist")
+def q_confidence_hist(spark, sf):
+    """I7."""
+    return classify.confidence_hist(_doc_scores(spark, sf))
+
+
+@query("final_labels")
+def q_final_labels(spark, sf):
+    """I6 + D1: labelled rows keep their label; held-out rows get the model's
+    label when its probability passes the gate, others drop."""
+    s = _doc_split(spark, sf)
+    coded = s.filter("split <> 'test'").select("doc_id", F.col("lang").alias("label"), F.lit("code").alias("source"))
+    gated = classify.confidence_gate(_doc_scores(spark, sf)).select(
+        "doc_id", F.col("predicted").alias("label"), F.lit("model").alias("source"))
+    return coded.unionByName(gated)
+
+
+def _learned(spark, sf):
+    """Logistic scorer on the training rows' candidates (true next
+    forced in), regularisation chosen on validation top-1."""
+    ctx = context(spark, sf)
+    return _model(spark, sf, "rerank_scorer", lambda: rerank.train_scorer(
+        ctx.candidate_features("train"), ctx.candidate_features("val")))
+
+
+@query("rerank_learned_eval")
+def q_rerank_learned_eval(spark, sf):
+    """J9 + J11: ensemble, fixed linear and learned rankings on test."""
+    _, coef, _ = _learned(spark, sf)
+    f = _test_feats(spark, sf)
+    fixed = rerank.rerank_eval(rerank.rerank(f, rerank.linear_score()))
+    learned = rerank.rerank_eval(rerank.rerank(f, rerank.linear_score(coef))).filter("ranking = 'rerank'") \
+        .withColumn("ranking", F.lit("learned"))
+    return fixed.unionByName(learned)
+
+
+@query("rerank_importance")
+def q_rerank_importance(spark, sf):
+    """Feature-group importance of the learned scorer, sums to 1."""
+    _, coef, _ = _learned(spark, sf)
+    return spark.createDataFrame(rerank.group_importance(coef), "feature_group string, importance double")
