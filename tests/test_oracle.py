@@ -61,3 +61,9 @@ def test_flagship_plan_stays_in_the_jvm(spark):
     plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan
+
+
+def test_window_lookup_is_a_hash_join(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["annotate_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -173,13 +173,15 @@ def year_windows(transitions: DataFrame, size: int = WINDOW_SIZE, yr: str = "yr"
 
 def assign_window(df: DataFrame, windows: DataFrame, yr: str = "yr") -> DataFrame:
     """Year -> window with start <= year <= end, else 'global' (win -1).
-    Range join against the window dimension (at most 75 rows: years were
-    filtered to 1950..2024), broadcast."""
-    w = F.broadcast(windows.select("win", "win_label", "start_year", "end_year"))
-    j = df.join(w, F.col(yr).between(F.col("start_year"), F.col("end_year")), "left")
+    Windows do not overlap, so the range lookup becomes an equi-join on a
+    year -> window table (one row per year inside a window: at most 75, as
+    years were filtered to 1950..2024), broadcast: one hash probe per row
+    instead of a nested-loop check against every window."""
+    years = windows.select("win", "win_label", F.explode(F.sequence("start_year", "end_year")).alias("_wy"))
+    j = df.join(F.broadcast(years), F.col(yr) == F.col("_wy"), "left")
     return (j.withColumn("win_key", F.coalesce(F.col("win_label"), F.lit("global")))
              .withColumn("win", F.coalesce(F.col("win"), F.lit(-1)))
-             .drop("win_label", "start_year", "end_year"))
+             .drop("win_label", "_wy"))
 
 
 def window_matrices(transitions: DataFrame, space: DataFrame, rates: DataFrame | None,
