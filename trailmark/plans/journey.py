@@ -67,8 +67,9 @@ class JourneyContext:
 
     @cached_property
     def fingerprint(self) -> str:
-        return stages.input_signature(
+        data = stages.input_signature(
             self.spark, [os.path.join(self.sf_dir, f"{t}.parquet") for t in FIXTURE_TABLES])
+        return f"{data}-{stages.code_signature()}"
 
     def _stage(self, name: str, build) -> DataFrame:
         path = os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)

@@ -41,6 +41,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def code_signature() -> str:
+    """Hash of the package's source files: a stage written by other code is
+    not fresh, even on the same input."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha256()
+    for dirpath, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode() + b"\0" + fh.read())
+    return h.hexdigest()[:16]
+
+
 def input_signature(spark: SparkSession, paths: Iterable[str]) -> str:
     """Cheap fingerprint of input files from their listing (name, length,
     modification time): no data pass, so it can guard every stage."""
