@@ -58,3 +58,11 @@ def test_win_margin_is_softmax(spark):
 def test_group_importance_sums_to_one():
     imp = rerank.group_importance([float(i + 1) for i in range(len(rerank.FEATURES))])
     assert abs(sum(v for _, v in imp) - 1.0) < 1e-12 and len(imp) == 10
+
+
+def test_capped_rows_exact_and_deterministic(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("person_id"), F.col("id").alias("pos"))
+    a = rerank.capped_rows(df, 30)
+    b = rerank.capped_rows(df.repartition(5), 30)
+    assert a.count() == 30 and sorted(a.collect()) == sorted(b.collect())
+    assert rerank.capped_rows(df, 1000).count() == 100

@@ -41,6 +41,16 @@ FEATURE_GROUPS = {
 FIXED_WEIGHTS = [0.5, 1.0, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.0, 0.2, 0.1, 5.0]
 SCORE_DIGITS = 9
 ROW = ["person_id", "pos"]
+# Rows the learned scorer trains and selects on (test rows are
+# never capped).
+TRAIN_CAP = 150_000
+VAL_CAP = max(20_000, TRAIN_CAP // 5)
+
+
+def capped_rows(rows: DataFrame, cap: int, seed: int = 42) -> DataFrame:
+    """G13 with one group: at most ``cap`` rows by md5 rank of (entity, pos)."""
+    one = rows.withColumn("_all", F.lit(0))
+    return ensemble.capped_sample(one, "_all", cap, seed, ROW).drop("_all")
 
 
 def _key_join(a: DataFrame, b: DataFrame, keys) -> DataFrame:

@@ -167,8 +167,10 @@ class JourneyContext:
         tag = f"ens-w{self.window_size}-s{self.seed}/cand-{name}-{emb_sig}"
 
         def build():
-            c = rerank.candidate_lists(self.annotated(name), self.components, self.weights,
-                                       force_true=(name == "train"))
+            rows = self.annotated(name)
+            if name in ("train", "val"):
+                rows = rerank.capped_rows(rows, rerank.TRAIN_CAP if name == "train" else rerank.VAL_CAP, self.seed)
+            c = rerank.candidate_lists(rows, self.components, self.weights, force_true=(name == "train"))
             return rerank.candidate_features(c, self.components, self.state_embeddings,
                                              transitions.temporal_features(self.transitions))
         return self._stage(tag, build)
