@@ -91,30 +91,44 @@ def state_embeddings_from_table(space: DataFrame, emb: DataFrame, id_col: str =
 
 
 def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: DataFrame) -> DataFrame:
-    """C10 + J2-J7: one row per (row, candidate) with the 15 features."""
-    x = cands.select(*ROW, "cur_idx", "nxt_idx", "true_pos", "g", "r", "s", "h", "p",
-                     F.posexplode("cands").alias("rank", "cand_idx"))
+    """C10 + J2-J7: one row per (row, candidate) with the 15 features.
+
+    Everything per row (temporal features, current state) is joined before
+    the explode, on rows, not on rows x K; the candidate's component values
+    are taken out of the n-long arrays inside the row (``transform``), so no
+    array travels with the exploded rows; the cosine is computed once per
+    distinct (current, candidate) state pair, at most n x n rows, and joined
+    back as one number."""
     sp = comp.space.select("state", "idx")
+    rows = (cands.join(temporal.select(*ROW, "rr_years_since_first", "rr_career_span", "rr_n_prior_trans",
+                                       "rr_transition_velocity"), ROW, "left")
+                 .join(sp.select(F.col("idx").alias("cur_idx"), F.col("state").alias("_cs")), "cur_idx"))
+    per_cand = F.transform("cands", lambda c: F.struct(
+        c.alias("cand_idx"), F.get(F.col("g"), c).alias("_g"), F.get(F.col("r"), c).alias("_r"),
+        F.get(F.col("s"), c).alias("_sv"), F.get(F.col("h"), c).alias("_h"), F.get(F.col("p"), c).alias("_p")))
+    x = rows.select(*ROW, "cur_idx", "nxt_idx", "true_pos", "_cs", "rr_years_since_first", "rr_career_span",
+                    "rr_n_prior_trans", "rr_transition_velocity", F.posexplode(per_cand).alias("rank", "_c"))
+    x = x.select("*", "_c.*").drop("_c")
     incoming = comp.glob.select(F.posexplode("p").alias("cand_idx", "_p")) \
         .groupBy("cand_idx").agg(F.avg("_p").alias("_in"))
+    pairs = cands.select("cur_idx", F.explode("cands").alias("cand_idx")).distinct()
     ce = state_emb.select(F.col("state_idx").alias("cur_idx"), F.col("emb").alias("_ce"))
     ke = state_emb.select(F.col("state_idx").alias("cand_idx"), F.col("emb").alias("_ke"))
-    x = (x.join(sp.select(F.col("idx").alias("cur_idx"), F.col("state").alias("_cs")), "cur_idx")
-          .join(sp.select(F.col("idx").alias("cand_idx"), F.col("state").alias("_ks")), "cand_idx")
-          .join(incoming, "cand_idx").join(ce, "cur_idx", "left").join(ke, "cand_idx", "left")
-          .join(temporal.select(*ROW, "rr_years_since_first", "rr_career_span", "rr_n_prior_trans",
-                                "rr_transition_velocity"), ROW, "left"))
+    cos = (pairs.join(ce, "cur_idx", "left").join(ke, "cand_idx", "left")
+                .select("cur_idx", "cand_idx", dot("_ce", "_ke").alias("_cos")))
+    x = (x.join(sp.select(F.col("idx").alias("cand_idx"), F.col("state").alias("_ks")), "cand_idx")
+          .join(incoming, "cand_idx").join(cos, ["cur_idx", "cand_idx"], "left"))
     c = F.col("cand_idx")
 
     def lg(v):
         return F.ln(v + F.lit(LOG_FLOOR))
     l1c, l1k = F.substring("_cs", 1, 1), F.substring("_ks", 1, 1)
     feats = {
-        "f_cos": F.coalesce(dot("_ce", "_ke"), F.lit(0.0)),
-        "f_log_global": lg(F.get("g", c)),
-        "f_log_recency": lg(F.get("r", c)),
-        "f_log_second": lg(F.get("s", c)),
-        "f_hist": F.get("h", c),
+        "f_cos": F.coalesce(F.col("_cos"), F.lit(0.0)),
+        "f_log_global": lg(F.col("_g")),
+        "f_log_recency": lg(F.col("_r")),
+        "f_log_second": lg(F.col("_sv")),
+        "f_hist": F.col("_h"),
         "f_ysf": F.least(F.coalesce("rr_years_since_first", F.lit(0.0)), F.lit(40.0)) / 40.0,
         "f_span": F.least(F.coalesce("rr_career_span", F.lit(0.0)), F.lit(40.0)) / 40.0,
         "f_npt": F.log1p(F.coalesce("rr_n_prior_trans", F.lit(0.0))),
@@ -124,7 +138,7 @@ def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: D
         "f_direction": F.coalesce((l1k.try_cast("int") - l1c.try_cast("int")) / 9.0, F.lit(0.0)),
         "f_self": (F.col("cur_idx") == c).cast("double"),
         "f_log_incoming": lg(F.col("_in")),
-        "f_ensemble": F.get("p", c),
+        "f_ensemble": F.col("_p"),
     }
     return x.select(*ROW, "cur_idx", "nxt_idx", "true_pos", "rank", "cand_idx",
                     *[v.alias(k) for k, v in feats.items()])

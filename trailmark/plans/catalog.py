@@ -46,12 +46,16 @@ SRC = list(tables.JOB_EVENT_ORDER)
       union all select 'validation', * from fx where person_id % 10 in (6, 7)
       union all select 'test', * from fx where person_id % 10 >= 8) group by split""", "fx"))
 def q_scan_union(spark, sf):
-    fx = tables.job_events(spark, sf)
+    """A1 + D1: the fixture written as three split files (stage tables), then
+    scanned back: existing files only, stacked by column name."""
+    ctx = context(spark, sf)
     m = F.col("person_id") % 10
-    parts = [fx.filter(m < 6).withColumn("split", F.lit("train")),
-             fx.filter(m.isin(6, 7)).withColumn("split", F.lit("validation")),
-             fx.filter(m >= 8).withColumn("split", F.lit("test"))]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    cuts = {"train": m < 6, "validation": m.isin(6, 7), "test": m >= 8}
+    paths = []
+    for name, cond in cuts.items():
+        ctx._stage(f"splits/{name}", lambda c=cond, n=name: ctx.raw.filter(c).withColumn("split", F.lit(n)))
+        paths.append(ctx.stage_path(f"splits/{name}"))
+    u = tables.load_splits(spark, paths)
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.countDistinct("person_id").alias("n_persons"))
 

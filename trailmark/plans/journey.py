@@ -71,9 +71,11 @@ class JourneyContext:
             self.spark, [os.path.join(self.sf_dir, f"{t}.parquet") for t in FIXTURE_TABLES])
         return f"{data}-{stages.code_signature()}"
 
+    def stage_path(self, name: str) -> str:
+        return os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)
+
     def _stage(self, name: str, build) -> DataFrame:
-        path = os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)
-        return stages.stage(self.spark, path, build, self.fingerprint, name)
+        return stages.stage(self.spark, self.stage_path(name), build, self.fingerprint, name)
 
     @cached_property
     def events(self) -> DataFrame:
