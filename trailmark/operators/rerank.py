@@ -61,8 +61,9 @@ def _key_join(a: DataFrame, b: DataFrame, keys) -> DataFrame:
 def candidate_lists(rows: DataFrame, comp, weights: DataFrame, k: int = TOP_K,
                     force_true: bool = False, entity: str = "person_id") -> DataFrame:
     """Per row the K best states of its context (``cands``), the true
-    next's 0-based position (-1 when absent) and the context arrays needed by
-    the features (g, r, s, h and the ensemble vector p)."""
+    next's 0-based position (-1 when absent) and, per candidate, the values
+    the features need (``cv``: global, recency, second order, history and
+    ensemble probability)."""
     sc = ensemble.scored_contexts(rows, comp, weights, k, entity) \
         .select(*ensemble.CONTEXT_KEYS, "g", "r", "s", "h", "p", "topk")
     with_prior = comp.prior.select(entity).distinct().withColumn("_hp", F.lit(True))
@@ -74,9 +75,15 @@ def candidate_lists(rows: DataFrame, comp, weights: DataFrame, k: int = TOP_K,
     if force_true:
         cands = F.when(F.array_contains("topk", t), F.col("topk")) \
                  .otherwise(F.concat(F.slice("topk", 1, k - 1), F.array(t)))
+    # Keep only the candidates' component values (K per row), not the n-long
+    # context arrays: the lists are written as a stage table.
+    cv = F.transform("cands", lambda c: F.struct(
+        c.alias("cand_idx"), F.get(F.col("g"), c).alias("_g"), F.get(F.col("r"), c).alias("_r"),
+        F.get(F.col("s"), c).alias("_sv"), F.get(F.col("h"), c).alias("_h"), F.get(F.col("p"), c).alias("_p")))
     return (j.withColumn("cands", cands)
              .withColumn("true_pos", (F.array_position("cands", t) - 1).cast("int"))
-             .drop("topk"))
+             .withColumn("cv", cv)
+             .drop("topk", "g", "r", "s", "h", "p"))
 
 
 def state_embeddings_from_table(space: DataFrame, emb: DataFrame, id_col: str = "vec_id",
@@ -95,19 +102,16 @@ def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: D
 
     Everything per row (temporal features, current state) is joined before
     the explode, on rows, not on rows x K; the candidate's component values
-    are taken out of the n-long arrays inside the row (``transform``), so no
-    array travels with the exploded rows; the cosine is computed once per
+    come with the list (``cv``), so no n-long array travels with the
+    exploded rows; the cosine is computed once per
     distinct (current, candidate) state pair, at most n x n rows, and joined
     back as one number."""
     sp = comp.space.select("state", "idx")
     rows = (cands.join(temporal.select(*ROW, "rr_years_since_first", "rr_career_span", "rr_n_prior_trans",
                                        "rr_transition_velocity"), ROW, "left")
                  .join(sp.select(F.col("idx").alias("cur_idx"), F.col("state").alias("_cs")), "cur_idx"))
-    per_cand = F.transform("cands", lambda c: F.struct(
-        c.alias("cand_idx"), F.get(F.col("g"), c).alias("_g"), F.get(F.col("r"), c).alias("_r"),
-        F.get(F.col("s"), c).alias("_sv"), F.get(F.col("h"), c).alias("_h"), F.get(F.col("p"), c).alias("_p")))
     x = rows.select(*ROW, "cur_idx", "nxt_idx", "true_pos", "_cs", "rr_years_since_first", "rr_career_span",
-                    "rr_n_prior_trans", "rr_transition_velocity", F.posexplode(per_cand).alias("rank", "_c"))
+                    "rr_n_prior_trans", "rr_transition_velocity", F.posexplode("cv").alias("rank", "_c"))
     x = x.select("*", "_c.*").drop("_c")
     incoming = comp.glob.select(F.posexplode("p").alias("cand_idx", "_p")) \
         .groupBy("cand_idx").agg(F.avg("_p").alias("_in"))

@@ -169,10 +169,17 @@ class JourneyContext:
         tag = f"ens-w{self.window_size}-s{self.seed}/cand-{name}-{emb_sig}"
 
         def build():
-            rows = self.annotated(name)
-            if name in ("train", "val"):
-                rows = rerank.capped_rows(rows, rerank.TRAIN_CAP if name == "train" else rerank.VAL_CAP, self.seed)
-            c = rerank.candidate_lists(rows, self.components, self.weights, force_true=(name == "train"))
-            return rerank.candidate_features(c, self.components, self.state_embeddings,
+            return rerank.candidate_features(lists(), self.components, self.state_embeddings,
                                              transitions.temporal_features(self.transitions))
+
+        def lists():
+            # Written once: the feature plan reads the lists in two branches
+            # (rows and state pairs) and would score the contexts again.
+            def build_lists():
+                rows = self.annotated(name)
+                if name in ("train", "val"):
+                    cap = rerank.TRAIN_CAP if name == "train" else rerank.VAL_CAP
+                    rows = rerank.capped_rows(rows, cap, self.seed)
+                return rerank.candidate_lists(rows, self.components, self.weights, force_true=(name == "train"))
+            return self._stage(f"{tag}-lists", build_lists)
         return self._stage(tag, build)
