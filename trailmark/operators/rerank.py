@@ -97,6 +97,15 @@ def state_embeddings_from_table(space: DataFrame, emb: DataFrame, id_col: str =
     return e.join(space.select(F.col("idx").alias("state_idx")), "state_idx", "left_semi")
 
 
+def state_embeddings_from_text(names: DataFrame, encode, state: str = "state", name: str = "name",
+                               idx: str = "idx") -> DataFrame:
+    """One unit vector per state from its canonical text
+    ``state [SEP] name``; ``encode(df, text_col)`` adds ``embedding``."""
+    t = names.select(F.col(idx).cast("int").alias("state_idx"),
+                     F.concat_ws(" [SEP] ", F.col(state), F.col(name)).alias("_text"))
+    return encode(t, "_text").select("state_idx", F.col("embedding").alias("emb"))
+
+
 def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: DataFrame) -> DataFrame:
     """C10 + J2-J7: one row per (row, candidate) with the 15 features.
 

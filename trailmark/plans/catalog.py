@@ -1027,3 +1027,14 @@ def q_rerank_importance(spark, sf):
     """Feature-group importance of the learned scorer, sums to 1."""
     _, coef, _ = _learned(spark, sf)
     return spark.createDataFrame(rerank.group_importance(coef), "feature_group string, importance double")
+
+
+@query("state_text_embeddings")
+def q_state_text_embeddings(spark, sf):
+    """Embedding per state from ``state [SEP] display name`` (hashing
+    encoder, unit length)."""
+    ctx = context(spark, sf)
+    names = ctx.space.select("state", "idx", F.concat_ws(" ", "state", major_group("state")).alias("name"))
+    e = rerank.state_embeddings_from_text(names, lambda df, col: classify.hashed_embedding(df, col))
+    return e.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx") \
+            .select("state", "state_idx", "emb")
