@@ -74,8 +74,9 @@ class JourneyContext:
     def stage_path(self, name: str) -> str:
         return os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)
 
-    def _stage(self, name: str, build) -> DataFrame:
-        return stages.stage(self.spark, self.stage_path(name), build, self.fingerprint, name)
+    def _stage(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+        return stages.stage(self.spark, self.stage_path(name), build, self.fingerprint, name,
+                            partition_by=partition_by)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -131,7 +132,11 @@ class JourneyContext:
 
     @cached_property
     def split_transitions(self) -> DataFrame:
-        return self.transitions.join(self.split.select("person_id", "split"), "person_id")
+        """Transitions with their entity's split, joined once and written
+        partitioned by split: every model piece and scoring pass then reads
+        its split as a pruned scan instead of joining again."""
+        return self._stage("split_transitions", lambda: self.transitions.join(
+            self.split.select("person_id", "split"), "person_id"), partition_by=["split"])
 
     def part(self, name: str) -> DataFrame:
         return self.split_transitions.filter(F.col("split") == name)
