@@ -1038,3 +1038,29 @@ def q_state_text_embeddings(spark, sf):
     e = rerank.state_embeddings_from_text(names, lambda df, col: classify.hashed_embedding(df, col))
     return e.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx") \
             .select("state", "state_idx", "emb")
+
+
+def _scatter(spark, sf):
+    ctx = context(spark, sf)
+    return ensemble.annotate_segment(ctx.risk, ctx.components.seg_map)
+
+
+_SCATTER_SQL = """select r.person_id, r.drift_score, r.seq_length, coalesce(m.archetype, 'Stable Specialist') as archetype
+    from risk r left join smap m on m.person_id = r.person_id"""
+
+
+@query("user_scatter", sql(f"""select person_id, {R('drift_score')} as drift_score, seq_length, archetype
+    from ({_SCATTER_SQL})""", "risk", "smap"))
+def q_user_scatter(spark, sf):
+    """K7: drift x sequence length per entity with its segment (default
+    segment for entities outside the training segments)."""
+    return _scatter(spark, sf).select("person_id", r6("drift_score").alias("drift_score"), "seq_length", "archetype")
+
+
+@query("segment_centroids", sql(f"""select archetype, count(*) as n_users, {R('avg(drift_score)')} as mean_drift,
+      {R('avg(seq_length)')} as mean_length from ({_SCATTER_SQL}) group by archetype""", "risk", "smap"))
+def q_segment_centroids(spark, sf):
+    """K7: centroid per segment."""
+    return _scatter(spark, sf).groupBy("archetype").agg(
+        F.count(F.lit(1)).alias("n_users"), r6(F.avg("drift_score")).alias("mean_drift"),
+        r6(F.avg("seq_length")).alias("mean_length"))
