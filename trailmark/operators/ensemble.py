@@ -36,6 +36,7 @@ TUNE_CAP = 2000
 SPLIT_CUTS = (0.64, 0.80)
 TOP_K = (1, 3, 5)
 RANK_DIGITS = 12
+KERNEL_CHUNK = 512               # contexts per tensor product in the tuning kernel
 
 
 def default_weights(rate: Column) -> Column:
@@ -300,9 +301,12 @@ def _grid_kernel(batches):
         st = lambda c: np.stack(pdf[c].to_numpy())                                   # noqa: E731
         r, d, a, s, h, b = (st(c) for c in ("r", "d", "a", "s", "h", "b"))
         parts = np.stack([(mr * r + md * d) * b, a * b, s * b, h * b], axis=1)       # (m, 4, n)
-        sc = np.einsum("ck,mkn->mcn", grid, parts)                                   # (m, C, n)
-        top = np.argmax(np.floor(sc * scale + 0.5) / scale, axis=2)                  # (m, C)
         m = len(pdf)
+        top = np.empty((m, len(combos)), dtype=np.int64)
+        # (chunk, C, n) at a time: memory stays bounded for any batch size and n
+        for lo in range(0, m, KERNEL_CHUNK):
+            sc = np.einsum("ck,mkn->mcn", grid, parts[lo:lo + KERNEL_CHUNK])
+            top[lo:lo + KERNEL_CHUNK] = np.argmax(np.floor(sc * scale + 0.5) / scale, axis=2)
         hits = np.zeros((m, len(combos)), dtype=np.int64)
         for row, counts in enumerate(pdf["nxt_counts"]):
             cnt = np.zeros(r.shape[1], dtype=np.int64)
