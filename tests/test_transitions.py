@@ -84,3 +84,13 @@ def test_permutation_and_repartition_do_not_change_transitions(spark):
     a = transitions.build_transitions(ev).select("person_id", "pos", "cur", "nxt").collect()
     b = transitions.build_transitions(ev.repartition(3, F.rand(7))).select("person_id", "pos", "cur", "nxt")
     assert sorted(a) == sorted(b.collect())
+
+
+def test_break_on_gap_removes_bridged_transitions(spark):
+    rows = [(5, "111", 2001, "2001", "a", None), (5, None, 2002, "2002", "b", None), (5, "333", 2003, "2003", "c", None),
+            (5, "333", 2004, "2004", "d", None)]
+    ev = spark.createDataFrame(rows, EV)
+    default = transitions.build_transitions(ev.filter("state is not null"))
+    assert sorted((r.cur, r.nxt) for r in default.collect()) == [("111", "333"), ("333", "333")]
+    gap = transitions.build_transitions(ev, break_on_gap=True)
+    assert [(r.cur, r.nxt, r.pos) for r in gap.collect()] == [("333", "333", 2)]

@@ -15,14 +15,21 @@ EVENT_ORDER = ("yr", "start_date", "matched_label")
 
 
 def build_transitions(events: DataFrame, *, entity: str = "person_id", state: str = "state",
-                      order: Sequence[str] = EVENT_ORDER, hot_rows: int | None = None) -> DataFrame:
+                      order: Sequence[str] = EVENT_ORDER, hot_rows: int | None = None,
+                      break_on_gap: bool = False) -> DataFrame:
     """every event with the entity's next state (``nxt``), previous state
     (``prev``) and 0-based position (``pos``); rows without a next state are
-    dropped. ``cur`` is the event's own state."""
+    dropped. ``cur`` is the event's own state.
+
+    By default ``events`` holds only labelled rows, so a dropped row between A
+    and C yields A -> C (as the batch program does). With ``break_on_gap``
+    pass all events, unlabelled ones with a null state: the sequence runs over
+    every event and transitions that touch an unlabelled one are removed."""
     seq = ordered_sequence(events.withColumn("cur", F.col(state)), [entity], list(order),
                            lead={"nxt": "cur"}, lag={"prev": "cur"}, position="pos",
                            hot_rows=hot_rows)
-    return seq.filter(F.col("nxt").isNotNull())
+    out = seq.filter(F.col("nxt").isNotNull())
+    return out.filter(F.col("cur").isNotNull()) if break_on_gap else out
 
 
 def majority_flag(events: DataFrame, *, entity: str = "person_id", flag: str = "university_studies",
