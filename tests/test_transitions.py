@@ -94,3 +94,11 @@ def test_break_on_gap_removes_bridged_transitions(spark):
     assert sorted((r.cur, r.nxt) for r in default.collect()) == [("111", "333"), ("333", "333")]
     gap = transitions.build_transitions(ev, break_on_gap=True)
     assert [(r.cur, r.nxt, r.pos) for r in gap.collect()] == [("333", "333", 2)]
+
+
+def test_as_of_span_does_not_see_the_future(spark):
+    t = transitions.build_transitions(_events(spark))
+    f = {(r.person_id, r.pos): r for r in transitions.temporal_features(t, as_of=True).collect()}
+    assert f[(1, 0)].rr_career_span == 0.0 and f[(1, 2)].rr_career_span == 2.0
+    full = {(r.person_id, r.pos): r for r in transitions.temporal_features(t).collect()}
+    assert full[(1, 0)].rr_career_span == 2.0

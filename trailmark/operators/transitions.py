@@ -72,13 +72,18 @@ def self_rates(transitions: DataFrame, space: DataFrame, default: float = 0.2,
 
 
 def temporal_features(transitions: DataFrame, *, entity: str = "person_id", yr: str = "yr",
-                      pos: str = "pos") -> DataFrame:
-    """years since the entity's first row, span (both clipped 0..50),
+                      pos: str = "pos", as_of: bool = False) -> DataFrame:
+    """years since the entity's first row, span (both clipped 0..50;
+    with ``as_of`` the span ends at the current event),
     position and velocity = position / max(span, 1) clipped 0..10. Min and max
     come from an aggregate joined back (the join splits a skewed entity under
     AQE; a window over the entity would not)."""
     mm = transitions.groupBy(entity).agg(F.min(yr).alias("_fy"), F.max(yr).alias("_ly"))
     out = transitions.join(mm, entity)
+    if as_of:
+        # Span up to the current event only: the order is led by the year, so
+        # the running maximum year is the event's own year (no look-ahead).
+        out = out.withColumn("_ly", F.col(yr))
     return (out.withColumn("rr_years_since_first", clip(F.col(yr) - F.col("_fy"), 0, 50).cast("double"))
                .withColumn("rr_career_span", clip(F.col("_ly") - F.col("_fy"), 0, 50).cast("double"))
                .withColumn("rr_n_prior_trans", F.col(pos).cast("double"))
