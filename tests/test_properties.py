@@ -48,3 +48,15 @@ def test_topk_monotone_and_drift_nonnegative(spark, ctx):
 def test_tuned_weights_leave_the_rest_floor(ctx):
     for r in ctx.weights.collect():
         assert r.w_hist + r.w_so + r.w_arch <= 1.0 - 0.05 + 1e-9 or not r.tuned
+
+
+def test_train_only_state_space(spark):
+    from trailmark.operators import ensemble
+    from trailmark.plans.journey import JourneyContext
+    c = JourneyContext(spark, SF, persist=False, space_from="train")
+    train_states = {r.cur for r in c.part("train").select("cur").distinct().collect()} | \
+        {r.nxt for r in c.part("train").select("nxt").distinct().collect()}
+    assert {r.state for r in c.model_space.collect()} == train_states
+    assert c.components.glob.count() == len(train_states)
+    e = ensemble.evaluate(c.annotated("test"), c.components, c.weights).first()
+    assert 0 <= e.top_1 <= e.top_3 <= e.top_5 <= 1

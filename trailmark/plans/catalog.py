@@ -392,7 +392,7 @@ from trailmark.operators import ensemble  # noqa: E402
 
 
 def _long(ctx, df, keys=()):
-    return markov.long_form(df, ctx.space, keys)
+    return markov.long_form(df, ctx.model_space, keys)
 
 
 @query("stratified_split", sql("select person_id, dominant, split from spl", "spl"))
@@ -459,14 +459,14 @@ def q_second_order(spark, sf):
     ctx = context(spark, sf)
     so = ctx.components.so
     lf = _long(ctx, so, ["prev_idx", "n_context"]).join(
-        ctx.space.select(F.col("idx").alias("prev_idx"), F.col("state").alias("prev")), "prev_idx")
+        ctx.model_space.select(F.col("idx").alias("prev_idx"), F.col("state").alias("prev")), "prev_idx")
     return lf.select("prev", "cur", "nxt", "n_context", round_to("p", 9).alias("p"))
 
 
 @query("history_prior", sql(f"select person_id, state, {R('p', 9)} as p, {R('p_default', 9)} as p_default from pri", "pri"))
 def q_history_prior(spark, sf):
     ctx = context(spark, sf)
-    pr = ctx.components.prior.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx")
+    pr = ctx.components.prior.join(ctx.model_space.select(F.col("idx").alias("state_idx"), "state"), "state_idx")
     return pr.select("person_id", "state", round_to("p", 9).alias("p"), round_to("p_default", 9).alias("p_default"))
 
 
@@ -474,7 +474,7 @@ def q_history_prior(spark, sf):
 def q_attribute_boost(spark, sf):
     ctx = context(spark, sf)
     b = ctx.components.boost.select("flag_value", F.posexplode("p").alias("idx", "boost"))
-    return b.join(ctx.space, "idx").select("flag_value", "state", round_to("boost", 9).alias("boost"))
+    return b.join(ctx.model_space, "idx").select("flag_value", "state", round_to("boost", 9).alias("boost"))
 
 
 @query("archetype_rules", sql(f"""select cluster, n_users, {R('mean_drift')} as mean_drift, {R('mean_len')} as mean_len,

@@ -43,7 +43,14 @@ def reset_contexts() -> None:
 class JourneyContext:
     """Stages of the job-journey fixture over the driver tables of one scale."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True, space_from: str = "all"):
+        """``space_from``: "all" builds the model's state space and self-loop
+        rates from every transition, test included, as the batch program does;
+        "train" uses the training transitions only (evaluation rows with a
+        state outside that space then drop, C5)."""
+        if space_from not in ("all", "train"):
+            raise ValueError("space_from must be 'all' or 'train'")
+        self.space_from = space_from
         self.spark = spark
         self.sf_dir = sf_dir
         self._persist = persist
@@ -141,12 +148,30 @@ class JourneyContext:
     def part(self, name: str) -> DataFrame:
         return self.split_transitions.filter(F.col("split") == name)
 
+    @property
+    def ens_tag(self) -> str:
+        base = f"ens-w{self.window_size}-s{self.seed}"
+        return base if self.space_from == "all" else f"{base}-trainspace"
+
+    @cached_property
+    def model_space(self) -> DataFrame:
+        if self.space_from == "all":
+            return self.space
+        return self._stage(f"{self.ens_tag}/space", lambda: transitions.state_space(self.part("train")))
+
+    @cached_property
+    def model_rates(self) -> DataFrame:
+        if self.space_from == "all":
+            return self.rates
+        return self._stage(f"{self.ens_tag}/rates",
+                           lambda: transitions.self_rates(self.part("train"), self.model_space))
+
     @cached_property
     def components(self):
         from trailmark.operators import ensemble
-        tag = f"ens-w{self.window_size}-s{self.seed}"
+        tag = self.ens_tag
         return ensemble.build_components(
-            self.part("train"), self.space, self.rates, window_size=self.window_size, seed=self.seed,
+            self.part("train"), self.model_space, self.model_rates, window_size=self.window_size, seed=self.seed,
             keep=lambda name, df: self._stage(f"{tag}/{name}", lambda: df))
 
     def annotated(self, name: str) -> DataFrame:
@@ -156,22 +181,23 @@ class JourneyContext:
     @cached_property
     def weights(self) -> DataFrame:
         from trailmark.operators import ensemble
-        return self._stage(f"ens-w{self.window_size}-s{self.seed}/weights", lambda: ensemble.tune_weights(
-            self.annotated("val"), self.components, self.rates, self.seed))
+        return self._stage(f"{self.ens_tag}/weights", lambda: ensemble.tune_weights(
+            self.annotated("val"), self.components, self.model_rates, self.seed))
 
     # --- rerank data path (J2-J13) ----------------------------------------
     @cached_property
     def state_embeddings(self) -> DataFrame:
         """Unit-length embedding per state index (embeddings.vec_id = index)."""
         from trailmark.operators import rerank
-        return rerank.state_embeddings_from_table(self.space, tables.table(self.spark, self.sf_dir, "embeddings"))
+        return rerank.state_embeddings_from_table(self.model_space,
+                                                  tables.table(self.spark, self.sf_dir, "embeddings"))
 
     def candidate_features(self, name: str) -> DataFrame:
         """(row, candidate) features of one split; a stage table. Training
         rows get the true next forced into the list, evaluation rows do not."""
         from trailmark.operators import rerank
         emb_sig = stages.input_signature(self.spark, [os.path.join(self.sf_dir, "embeddings.parquet")])
-        tag = f"ens-w{self.window_size}-s{self.seed}/cand-{name}-{emb_sig}"
+        tag = f"{self.ens_tag}/cand-{name}-{emb_sig}"
 
         def build():
             return rerank.candidate_features(lists(), self.components, self.state_embeddings,
