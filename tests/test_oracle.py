@@ -63,7 +63,9 @@ def test_flagship_plan_stays_in_the_jvm(spark):
     assert "CartesianProduct" not in plan
 
 
-def test_window_lookup_is_a_hash_join(spark):
+@pytest.mark.parametrize("name", ["annotate_split", "year_window_join", "backoff_lookup", "ensemble_topk",
+                                  "ensemble_eval", "ensemble_prob"])
+def test_window_lookup_is_a_hash_join(spark, name):
     import __spark_entry__ as E
-    plan = E.queries()["annotate_split"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
