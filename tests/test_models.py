@@ -63,3 +63,21 @@ def test_kmeans_labels_every_row(spark):
     cl = drift.cluster_drift(risk, k=3, seeds=(1,))
     assert cl.filter(F.col("cluster").isNull()).count() == 0 and cl.count() == 40
     assert cl.select("cluster").distinct().count() <= 3
+
+
+def test_confidence_gate_and_hist(spark):
+    df = spark.createDataFrame([(0.10,), (0.35,), (0.50,), (1.0,)], "confidence double")
+    assert classify.confidence_gate(df).count() == 3                       # >= 0.35 kept
+    h = {r.bin: r for r in classify.confidence_hist(df, bins=10).collect()}
+    assert h[9].n == 1 and h[1].n == 1 and h[3].n == 1 and h[5].n == 1     # 1.0 falls in the last bin
+    assert all(r.kept_share == 0.75 for r in h.values())
+
+
+def test_archetype_rules_first_match(spark):
+    rows = [(0, 10, 1.0, 2.0, 0.9), (1, 10, 2.0, 2.0, 0.4), (2, 10, 3.0, 9.0, 0.4),
+            (3, 10, 4.0, 2.0, 0.4), (4, 10, 5.0, 2.0, 0.1)]
+    s = spark.createDataFrame(rows, "cluster int, n_users long, mean_drift double, mean_len double, mean_loop double")
+    names = {r.cluster: r.archetype for r in drift.archetype_names(s).collect()}
+    # q80(drift)=4.2, q20=1.8, q50=3.0, q75(len)=2.0
+    assert names == {0: "Sector Loyalist", 1: "Stable Specialist", 2: "Career Veteran",
+                     3: "Gradual Mover", 4: "Career Switcher"}
