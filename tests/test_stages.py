@@ -17,7 +17,7 @@ def test_load_splits_skips_missing_and_raises_when_none(spark, scratch):
         out = tables.load_splits(spark, [a, os.path.join(scratch, "validation.parquet"), b])
     assert sorted(r.person_id for r in out.collect()) == [1, 2]
     assert "extra" in out.columns
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(FileNotFoundError), pytest.warns(UserWarning):
         tables.load_splits(spark, [os.path.join(scratch, "none.parquet")])
 
 
