@@ -17,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import language_id, mixing, packing, toxicity
+from trailmark.llm import language_id, mixing, near_text, packing, toxicity
 from trailmark.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,6 +38,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.keep_clean(_columns(docs), labels)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays."""
+    return near_text.keep_one(_columns(docs)).select(*COLUMNS)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mix of the sources: each row as often as it is taken, in mixing order."""
     return mixing.mixed_documents(_columns(docs))
@@ -51,6 +56,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", language_stage),
     ("toxicity", toxicity_stage),
+    ("minhash_near_dedup", near_dedup_stage),
     ("mixing", mixing_stage),
     ("packing", packing_stage),
 ]

@@ -249,3 +249,17 @@ def predict_languages(docs: DataFrame, **training) -> DataFrame:
     """Learn from the rows that are not held out, predict every row."""
     parser = train(docs.filter(~held_out(docs)), **training)
     return identify(docs, parser).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, **training) -> DataFrame:
+    """The rows (all columns) in whose text a language is found; learns like
+    ``predict_languages``."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(docs)), **training))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = WordCounts(shared.value)
+        for b in batches:
+            best, _ = verdicts(shared.value, *phrase_totals(b.column("text").to_pylist(), seen))
+            yield b.filter(pa.array(best >= 0))
+
+    return docs.mapInArrow(keep, docs.schema)
