@@ -12,12 +12,16 @@ are linked when 100 * |intersection| >= ``percent`` * |union| of the full sets.
    meet under a key. (At a Jaccard value of 0.8, 100 symbols differ in 20 on
    average with deviation 4; more than 39 is about 3 in a million.)
 3. Under each key the rows are met in order, in a stream, never as a group in
-   memory. A 64-bit sketch of the signature discards chance meetings.
-   First every row is paired with the key's first row only; these pairs are
-   confirmed on the full sets, and confirmed links merge classes. What
-   then remains under a key in different components is paired completely,
-   component against component, so no link between components is lost, and a
-   large group of copies is never expanded into all its pairs.
+   memory. First come ``ROUNDS`` rounds of stars: every row is compared with the
+   first row of its keys (by a 64-bit sketch of the signature), the nearest one is
+   confirmed on the full sets, and confirmed links merge components; a large group
+   of copies is one component then, with one pair a row. The rows that still share
+   a key with another component are completed exactly: of two sets that similar,
+   the rarest shingles of one (a prefix of its set in order of frequency) hold one
+   of the other's, at places that leave room for the needed intersection. Rows of
+   different components that meet so are confirmed on the full sets. So no link
+   between components is lost, and no group is expanded into all its pairs, nor is
+   a family of texts that merely share a long passage.
 4. Components run over confirmed links only.
 
 Defined cases: null or empty text, or text without words: empty set, linked
@@ -46,6 +50,9 @@ SYMBOLS = CHUNKS * CHUNK
 #: Sketch bits that may differ: at a Jaccard value of 0.8 they differ with chance
 #: 0.1 each, so more than 22 of 64 has a chance below one in ten million.
 SKETCH_ERRORS = 22
+ROUNDS = 3
+#: Shingle frequencies are counted in so many hash buckets (any order is exact, this one is selective).
+BUCKETS = 1 << 18
 #: Bytes of text worked on at once (memory only).
 SLICE_BYTES = 2_000_000
 
@@ -207,70 +214,107 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, id). Passes on the rows of keys that more than
-    one row has, each with the first row of its key; the last row of a batch
-    waits for the next one."""
-    held: tuple | None = None
+    """Rows come sorted by key. Passes on the rows of keys that more than one row
+    has; the last row of a batch waits for the next one."""
+    held = None
+    before = False  # whether the waiting row's key had a row before it
     for b in batches:
-        key, row, sketch = (b.column(c).to_numpy() for c in ("key", "id", "sketch"))
-        if not len(key):
+        if not b.num_rows:
             continue
-        if held is None:
-            # first (id, sketch) of the key, the row that waits, and whether its key had a row before
-            lead, carried = (row[0], sketch[0]), False
-        else:
-            key, row, sketch = (np.concatenate([h, c]) for h, c in zip(held[0], (key, row, sketch), strict=True))
-            lead, carried = held[1], held[2]
-        start = np.r_[True, key[1:] != key[:-1]]
-        run = np.cumsum(start) - 1
-        at = np.flatnonzero(start)
-        lead_id, lead_sketch = row[at].copy(), sketch[at].copy()
-        size = np.diff(np.r_[at, len(key)])
-        more = size > 1
-        if carried:
-            lead_id[0], lead_sketch[0] = lead
-            more[0] = True
-        # the last row waits: whether its key goes on is not known yet
-        out = more[run]
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        key = b.column("key").to_numpy()
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        more = np.diff(np.r_[at, len(key)]) > 1
+        more[0] |= before
+        out = np.repeat(more, np.diff(np.r_[at, len(key)]))
         out[-1] = False
-        held = ([key[-1:], row[-1:], sketch[-1:]], (lead_id[-1], lead_sketch[-1]), bool(more[-1]))
-        if out.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[out]), pa.array(row[out]), pa.array(sketch[out]), pa.array(lead_id[run][out]),
-                 pa.array(lead_sketch[run][out])], names=["key", "id", "sketch", "lead", "lead_sketch"])
-    if held is not None and held[2]:
-        (key, row, sketch), lead, _ = held
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(sketch), pa.array([lead[0]]),
-                                          pa.array([lead[1]])], names=["key", "id", "sketch", "lead", "lead_sketch"])
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, root). Pairs under one key that lie in different
-    components and whose sketches are near: a row meets the rows of the key's
-    earlier components only, so the work is that of the pairs across."""
-    key = root = None
-    met, own = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2  # (ids, sketches)
+        held, before = b.slice(b.num_rows - 1), bool(more[-1])
+        yield b.filter(pa.array(out))
+    if held is not None and before:
+        yield held
+
+
+def _to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, root, id). Each row against the first row of its
+    key, if that is of another component and the sketches are near."""
+    last = None
     for b in batches:
-        keys, rows, roots, sketches = (b.column(c).to_numpy() for c in ("key", "id", "root", "sketch"))
-        if not len(keys):
+        if not b.num_rows:
             continue
-        edges = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (roots[1:] != roots[:-1])])
-        a_out, b_out = [], []
-        for s, e in zip(edges, np.r_[edges[1:], len(keys)], strict=True):
-            if keys[s] != key:
-                key, root, met, own = keys[s], roots[s], [rows[:0]] * 2, [rows[:0]] * 2
-            elif roots[s] != root:
-                root, met, own = roots[s], [np.concatenate(x) for x in zip(met, own, strict=True)], [rows[:0]] * 2
-            step = max(1, 1_000_000 // max(1, len(met[0])))
-            for at in range(s, e, step) if len(met[0]) else ():
-                mine = sketches[at:min(e, at + step)].view(np.uint64)
-                near = np.bitwise_count(mine[:, None] ^ met[1].view(np.uint64)[None, :]) <= SKETCH_ERRORS
-                i, j = np.nonzero(near)
-                a_out.append(np.minimum(met[0][j], rows[at + i]))
-                b_out.append(np.maximum(met[0][j], rows[at + i]))
-            own = [np.concatenate(x) for x in zip(own, (rows[s:e], sketches[s:e]), strict=True)]
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+        key, row, root, sketch = (b.column(c).to_numpy() for c in ("key", "id", "root", "sketch"))
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = [x[at].copy() for x in (row, root, sketch)]
+        if last is not None and last[0] == key[0]:
+            for x, v in zip(first, last[1:], strict=True):
+                x[0] = v
+        run = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(key)]))
+        last = (key[-1], *[x[-1] for x in first])
+        apart = np.bitwise_count(sketch.view(np.uint64) ^ first[2][run].view(np.uint64))
+        near = (root != first[1][run]) & (apart <= SKETCH_ERRORS)
+        if near.any():
+            yield pa.RecordBatch.from_arrays([pa.array(row[near]), pa.array(first[0][run][near]),
+                                              pa.array(apart[near].astype(np.int32))], names=["id", "first", "apart"])
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for x in b.column("set"):
+            total += np.bincount((np.frombuffer(x.as_py(), np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _prefixes(percent: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rarest shingles of each set with their place (from 1)."""
+        frequency = counts.value
+        for b in batches:
+            cols = [[np.zeros(0, np.uint64)], [], [], [], []]
+            for row, root, x in zip(b.column("id").to_pylist(), b.column("root").to_pylist(), b.column("set"), strict=True):
+                x = np.frombuffer(x.as_py(), np.uint64)
+                n = len(x)
+                x = x[np.lexsort((x, frequency[(x & np.uint64(BUCKETS - 1)).astype(np.int64)]))][:n + 1 + (-percent * n // 100)]
+                for col, v in zip(cols, (x, *(np.full(len(x), v) for v in (row, root, n)), np.arange(1, len(x) + 1)), strict=True):
+                    col.append(v)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(cols[0]).view(np.int64)), *[pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in cols[1:]]],
+                names=["token", "id", "root", "n", "place"])
+    return run
+
+
+def _prefix_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (token, root). A row meets the rows of the token's
+        earlier components only, so the work is that of the pairs across."""
+        token = root = None
+        none = [np.zeros(0, np.int64)] * 3
+        met, own = none, none  # ids, sizes, places
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens, rows, roots, sizes, places = (b.column(c).to_numpy() for c in ("token", "id", "root", "n", "place"))
+            edges = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (roots[1:] != roots[:-1])])
+            a_out, b_out = [], []
+            for s, e in zip(edges, np.r_[edges[1:], len(tokens)], strict=True):
+                if tokens[s] != token:
+                    token, root, met, own = tokens[s], roots[s], none, none
+                elif roots[s] != root:
+                    root, met, own = roots[s], [np.concatenate(x) for x in zip(met, own, strict=True)], none
+                step = max(1, 500_000 // max(1, len(met[0])))
+                for at in range(s, e, step) if len(met[0]) else ():
+                    end = min(e, at + step)
+                    n, o = sizes[at:end, None], met[1][None, :]
+                    needed = -(-percent * (n + o) // (100 + percent))
+                    room = 1 + np.minimum(n - places[at:end, None], o - met[2][None, :])
+                    i, j = np.nonzero((room >= needed) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o)))
+                    a_out.append(np.minimum(met[0][j], rows[at + i]))
+                    b_out.append(np.maximum(met[0][j], rows[at + i]))
+                own = [np.concatenate(x) for x in zip(own, (rows[s:e], sizes[s:e], places[s:e]), strict=True)]
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,13 +342,16 @@ def _confirm(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets pass; ``texts`` has (id, text)."""
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(texts.join(need, "id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
+def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, set) of the given ids; ``texts`` has (id, text)."""
+    return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets pass."""
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+    return materialize(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -313,30 +360,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     described = materialize(docs.mapInArrow(_describe, "doc_id long, class binary, n_shingles long, sig binary"), "signatures")
     # one document per class of equal word sequences stands for it
     classes = described.filter("doc_id is not null and class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+        F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     classes = materialize(classes, "classes")
     postings = classes.select("id", "sig").mapInArrow(_post, "key long, id long, sketch long")
-    # key ranges of equal hash space need no sampling pass: keys are mixed bits
-    met = postings.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
-        _shared_keys, "key long, id long, sketch long, lead long, lead_sketch long")
-    met = materialize(met, "met")
+    met = materialize(postings.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _shared_keys, "key long, id long, sketch long"), "met")
     texts = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi") \
                 .select(F.col("doc_id").alias("id"), "text")
-    near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("lead_sketch"))) <= SKETCH_ERRORS
-    stars = materialize(met.filter((F.col("id") != F.col("lead")) & near).select(
-        F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = materialize(confirmed(stars, texts, percent), "confirmed")
-    roots = components(links)
-    # keys that still hold more than one component
-    rooted = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") \
-                .select("key", "id", "sketch", F.coalesce("root", "id").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = rooted.join(open_keys, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root", "id")
-    pairs = rest.mapInArrow(_across, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(materialize(pairs, "across"), texts, percent)
-    roots = components(links.unionByName(more))
-    roots = roots.select(F.col("node").alias("id"), F.col("root"))
+    # sets of the rows that meet any other, once: all confirmations read them
+    sets = full_sets(met.select("id").distinct(), texts)
+    links = tried = roots = None
+    for n in range(ROUNDS):
+        rows = _open_rows(met, roots)
+        stars = rows.repartition("key").sortWithinPartitions("key", "root", "id").mapInArrow(_to_first, "id long, first long, apart int")
+        stars = stars.groupBy("id", "first").agg(F.min("apart").alias("apart")).select(
+            "id", "apart", F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+        if tried is not None:
+            stars = stars.join(tried, ["a", "b"], "left_anti")
+        best = stars.groupBy("id").agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b").distinct()
+        best = materialize(best, "stars")
+        tried = best if tried is None else tried.unionByName(best)
+        found = confirmed(best, sets, percent)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    rest = materialize(_open_rows(met, roots).select("id", "root").distinct(), "rest")
+    left = sets.join(rest, "id")
+    counted = left.select("set").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(BUCKETS, np.int64)
+    frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(frequency)
+    rare = left.mapInArrow(_prefixes(percent, shared), "token long, id long, root long, n long, place long")
+    pairs = rare.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_prefix_pairs(percent), "a long, b long")
+    pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "across")
+    more = confirmed(pairs, sets, percent)
+    roots = components(links.unionByName(more)).select(F.col("node").alias("id"), F.col("root"))
     of_class = classes.select("class", "id").join(roots, "id", "left").select("class", F.coalesce("root", "id").alias("_root"))
     out = described.select("doc_id", "class", "n_shingles").join(of_class, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
@@ -344,6 +401,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _open_rows(met: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows with their component, of the keys that hold more than one component."""
+    if roots is None:
+        return met.withColumn("root", F.col("id"))
+    rooted = met.join(roots.select(F.col("node").alias("id"), "root"), "id", "left") \
+                .select("key", "id", "sketch", F.coalesce("root", "id").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return materialize(rooted.join(keys, "key", "left_semi"), "open")
+
+
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows (all columns) of one document of each group: its smallest
     doc_id, of repeated rows one; rows without doc_id stay."""
