@@ -25,7 +25,7 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     the lineage, and lost executors do not lose it."""
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark).rstrip("/"), "llm", f"{name}-{uuid.uuid4().hex}")
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

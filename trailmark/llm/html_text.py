@@ -254,6 +254,9 @@ def extract(pages: DataFrame) -> DataFrame:
     targets = array.filter("target").select("row", host, "block", "place", "key")
     places = targets.join(repeated.select("host", "key"), ["host", "key"]).groupBy("row").agg(
         F.collect_set(F.struct("block", "place")).alias("places"))
-    out = read.select("row", "page_id", "url", "kinds", "texts").join(places, "row", "left")
-    return out.select("page_id", "url", "kinds", "texts", "places").mapInArrow(
-        _choose, "page_id long, url string, text string, n_chars long")
+    # pages with an article container are decided by themselves; only the others meet the array
+    decided = F.array_contains("kinds", MAIN)
+    columns = ["page_id", "url", "kinds", "texts", "places"]
+    alone = read.filter(decided).withColumn("places", F.lit(None).cast(places.schema["places"].dataType)).select(*columns)
+    others = read.filter(~decided).join(places, "row", "left").select(*columns)
+    return alone.unionByName(others).mapInArrow(_choose, "page_id long, url string, text string, n_chars long")
