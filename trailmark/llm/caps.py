@@ -4,15 +4,15 @@ Vectors with equal labels are linked when their cosine (double precision) is at
 least ``threshold``. Filter directions come from a structured random product
 code: after a random rotation the dimensions are cut into two blocks with
 ``CODE`` random unit codewords each, and a filter is a pair of codewords, scored
-by the sum of the two block products. List decoding finds all filters whose cap
-holds a vector (score >= the cap height) from the two sorted lists of block
-products, without visiting the CODE * CODE filters. Vectors meet in the filters
-of their label, and a pair is verified in the first filter that it shares.
+by the sum of the two block products. A vector lies in the caps of all filters
+that reach its own height, the score of its K-th best filter. List decoding finds
+them from the two sorted lists of block products without visiting the CODE * CODE
+filters: a pair of ranks (i, j) can only be among the K best if i * j <= K.
+Vectors meet in the filters of their label, and pairs that meet are verified.
 
-The height is set so that a vector lies in about ``POSTINGS`` caps; a vector in
-fewer than ``LEAST`` lowers its own height to its ``LEAST`` best filters. Two
-vectors at cosine 0.93 share a given cap of one with chance above 0.5, so a pair
-escapes all of them with chance below one in a million.
+K comes from a simulation per dimension: the smallest of its steps at which all
+of ``PROBES`` random pairs at exactly the threshold share at least ``SHARED``
+caps (64 dimensions: K = 64, 33 shared on average, 8 at least).
 
 Under a filter the rows are met in order, in a stream. A sketch of 64 sign bits
 discards chance meetings (at cosine 0.93 a bit differs with chance 0.12; more
@@ -39,34 +39,27 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import components, materialize
 
 CODE = 192
-POSTINGS = 36
-LEAST = 28
+PROBES = 1000
+SHARED = 6
 SKETCH_ERRORS = 23
 #: Comparisons of sketches made at once (memory only).
 STEP = 1_000_000
 
 
-@lru_cache(maxsize=4)
-def product_code(dim: int, code: int = CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(rotation, codewords of block 1, of block 2, cap height) for a dimension.
-    The height is the quantile of scores of random unit vectors that leaves
-    POSTINGS filters to a vector on average."""
+@lru_cache(maxsize=8)
+def product_code(dim: int, code: int = CODE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotation, codewords of block 1, of block 2) of a dimension."""
     rng = np.random.default_rng(dim)
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-    half = dim // 2
     words = []
-    for n in (max(1, half), max(1, dim - half)):
+    for n in (max(1, dim // 2), max(1, dim - dim // 2)):
         w = rng.standard_normal((code, n))
         words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
-    probe = rng.standard_normal((200, dim))
-    probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-    a, b = _block_scores(probe, np.eye(dim), words[0], words[1])
-    scores = np.sort((a[:, :, None] + b[:, None, :]).ravel())
-    keep = min(len(scores), POSTINGS * len(probe))
-    return rotation, words[0], words[1], float(scores[-keep])
+    return rotation, words[0], words[1]
 
 
-def _block_scores(unit: np.ndarray, rotation: np.ndarray, first: np.ndarray, second: np.ndarray):
+def _block_scores(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rotation, first, second = product_code(unit.shape[1])
     turned = unit @ rotation
     half = turned.shape[1] // 2
     if half == 0:
@@ -74,29 +67,39 @@ def _block_scores(unit: np.ndarray, rotation: np.ndarray, first: np.ndarray, sec
     return turned[:, :half] @ first.T, turned[:, half:] @ second.T
 
 
-def list_decode(unit: np.ndarray) -> list[np.ndarray]:
-    """All filters (numbers, ascending) whose cap holds each vector, and at least
-    its LEAST best ones: the first block's words against the falling products of
-    the second block's, as deep as the height allows."""
-    rotation, first, second, height = product_code(unit.shape[1])
-    a, b = _block_scores(unit, rotation, first, second)
-    out = []
-    for x, y in zip(a, b, strict=True):
-        order = np.argsort(-y)
-        falling = y[order]
-        need = height
-        while True:
-            n = np.searchsorted(-falling, x - need, side="right")
-            if n.sum() >= min(LEAST, len(x) * len(y)):
+def list_decode(unit: np.ndarray, k: int) -> np.ndarray:
+    """The k best filters (numbers) of each vector, (vectors, k)."""
+    a, b = _block_scores(unit)
+    first, second = np.argsort(-a, axis=1, kind="stable"), np.argsort(-b, axis=1, kind="stable")
+    i, j = (x.ravel() for x in np.indices((a.shape[1], b.shape[1])))
+    i, j = i[(i + 1) * (j + 1) <= k], j[(i + 1) * (j + 1) <= k]
+    left, right = first[:, i], second[:, j]
+    scores = np.take_along_axis(a, left, axis=1) + np.take_along_axis(b, right, axis=1)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(left * b.shape[1] + right, best, axis=1)
+
+
+@lru_cache(maxsize=8)
+def postings(dim: int, threshold: float) -> int:
+    """K for a dimension and threshold."""
+    rng = np.random.default_rng(2000 + dim)
+    most = CODE * CODE
+    if dim < 2:
+        return 1  # two directions only
+    u, w = rng.standard_normal((2, PROBES, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = threshold * u + np.sqrt(1 - threshold ** 2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    k = 32
+    while k < most:
+        for at in range(0, PROBES, 50):
+            a, b = list_decode(u[at:at + 50], k), list_decode(v[at:at + 50], k)
+            if min(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)) < SHARED:
                 break
-            need -= 0.02
-        left = np.repeat(np.arange(len(x)), n)
-        right = order[np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)]
-        if need < height:
-            best = np.argsort(-(x[left] + y[right]), kind="stable")[:LEAST]
-            left, right = left[best], right[best]
-        out.append(np.sort(left * len(y) + right))
-    return out
+        else:
+            return k
+        k = min(most, k * 2 if k > 256 else k + 32)
+    return most
 
 
 @lru_cache(maxsize=4)
@@ -123,26 +126,29 @@ def vectors(rows: list, ids: list) -> tuple[list[int], np.ndarray]:
     return ok, out
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for at in range(0, big.num_rows, 1000):
-            b = big.slice(at, 1000)
-            ids, labels = b.column("vec_id").to_pylist(), b.column("label").to_pylist()
-            ok, vecs = vectors(b.column("embedding").to_pylist(), [k if lab is not None else None for k, lab in zip(ids, labels, strict=True)])
-            cols: list[list] = [[], [], [], [], [], []]
-            for dim in sorted({len(v) for v in vecs}):
-                mine = [j for j, v in enumerate(vecs) if len(v) == dim]
-                x = np.stack([vecs[j] for j in mine])
-                # scaled first: very large or small components neither overflow nor vanish
-                x = x / np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for j, unit, sketch, filters in zip(mine, x, sketches(x), list_decode(x), strict=True):
-                    for col, v in zip(cols, (ids[ok[j]], labels[ok[j]], dim, unit.tobytes(), sketch, filters.astype(np.int32)), strict=True):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()),
-                 pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int32()))],
-                names=["id", "label", "dim", "unit", "sketch", "filters"])
+def _post(threshold: float):
+    return lambda batches: (out for big in batches for out in _posted(big, threshold))
+
+
+def _posted(big: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+    for at in range(0, big.num_rows, 1000):
+        b = big.slice(at, 1000)
+        ids, labels = b.column("vec_id").to_pylist(), b.column("label").to_pylist()
+        ok, vecs = vectors(b.column("embedding").to_pylist(), [k if lab is not None else None for k, lab in zip(ids, labels, strict=True)])
+        cols: list[list] = [[], [], [], [], [], []]
+        for dim in sorted({len(v) for v in vecs}):
+            mine = [j for j, v in enumerate(vecs) if len(v) == dim]
+            x = np.stack([vecs[j] for j in mine])
+            # scaled first: very large or small components neither overflow nor vanish
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for j, unit, sketch, filters in zip(mine, x, sketches(x), list_decode(x, postings(dim, threshold)), strict=True):
+                for col, v in zip(cols, (ids[ok[j]], labels[ok[j]], dim, unit.tobytes(), sketch, filters.astype(np.int32)), strict=True):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()),
+             pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.int32()))],
+            names=["id", "label", "dim", "unit", "sketch", "filters"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def links(rows: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Distinct pairs (a, b), a < b, of linked vectors."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"),
                        F.col("embedding").alias("embedding"))
-    posted = materialize(rows.mapInArrow(_post, "id long, label string, dim int, unit binary, sketch long, filters array<int>"), "caps")
+    posted = materialize(rows.mapInArrow(_post(threshold), "id long, label string, dim int, unit binary, sketch long, filters array<int>"), "caps")
     cells = posted.select(F.explode("filters").alias("cell"), "label", "dim", "id", "sketch")
     cells = cells.select(F.xxhash64("label", "dim", "cell").alias("key"), "id", "sketch")
     pairs = cells.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").filter("a < b").distinct()

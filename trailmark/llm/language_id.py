@@ -25,14 +25,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import crc_mod, text_slices
+from trailmark.llm.common import crc_mod, materialize, text_slices
 
+#: Language counts of at most so many rows are broadcast.
+BROADCAST_ROWS = 10_000
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 64
 #: Distinct words whose counts a task remembers before it starts anew (memory only).
@@ -77,8 +80,16 @@ def suffix_automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=2)
+def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[np.ndarray]]:
+    """Alphabet (column 0: letters that no language knows) and one automaton per
+    text; built once in a Python worker, so that only the texts are shipped."""
+    alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
+    return alphabet, [suffix_automaton(t, alphabet) for t in texts]
+
+
 class CrossParser:
-    """The trained automata; ``counts(words)`` gives phrases per word and language."""
+    """The training texts; ``counts(words)`` gives phrases per word and language."""
 
     def __init__(self, words_by_lang: dict[str, list[tuple[str, int]]], max_chars: int):
         self.langs = sorted(words_by_lang, key=lambda s: s.encode())
@@ -94,10 +105,7 @@ class CrossParser:
                 text.append(w + " ")
                 held += len(w) + 1
             texts.append("".join(text))
-        # column 0 is every letter that no language knows
-        letters = sorted(set("".join(texts)))
-        self.alphabet = {c: i + 1 for i, c in enumerate(letters)}
-        self.tables = [suffix_automaton(t, self.alphabet) for t in texts]
+        self.texts = tuple(texts)
         self.bits = np.array([math.log2(max(2, len(t))) for t in texts])
 
     def counts(self, words: list[str]) -> np.ndarray:
@@ -108,14 +116,15 @@ class CrossParser:
         order = np.argsort(-lens, kind="stable")
         sorted_lens = lens[order]
         width = int(sorted_lens[0]) if len(words) else 0
-        get = self.alphabet.get
+        alphabet, tables = _automata(self.texts)
+        get = alphabet.get
         codes = np.zeros((len(words), width), dtype=np.int16)
         joined = "".join([" " + words[i] + " " for i in order])
         flat = np.fromiter([get(c, 0) for c in joined], np.int16, len(joined))
         codes[np.arange(width)[None, :] < sorted_lens[:, None]] = flat
         out = np.zeros((len(words), len(self.langs)), dtype=np.int32)
         live = [int(np.searchsorted(-sorted_lens, -j, side="left")) for j in range(width)]
-        for k, table in enumerate(self.tables):
+        for k, table in enumerate(tables):
             root = table[0]
             state = np.zeros(len(words), dtype=np.int32)
             phrases = np.zeros(len(words), dtype=np.int32)
@@ -208,13 +217,16 @@ def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 60_000, seed:
     rows = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"),
                        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    if counts.count() <= BROADCAST_ROWS:
+        # without the hint all texts would be shuffled by language first
+        counts = F.broadcast(counts)
     # hash threshold per language: about twice the rows wanted, then the lowest ones exactly
     at = F.col("_h") / F.lit(2.0 ** 64) + 0.5
     near = rows.join(counts, "lang").filter(at * F.col("_n") <= 2 * train_docs + 10)
     lowest = Window.partitionBy("lang").orderBy("_h", "text")
     picked = near.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= train_docs).select("lang", "text")
-    words = picked.mapInArrow(word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = materialize(picked, "language-sample").mapInArrow(word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     running = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, -1)
     kept = words.withColumn("_c", F.coalesce(F.sum(F.length("word") + 1).over(running), F.lit(0))) \
                 .filter(F.col("_c") < max_chars)

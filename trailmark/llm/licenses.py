@@ -86,9 +86,10 @@ _SPELLING_PARTS = ("licenc", "uthoris", "favour", "noninfr", "fulfil", "rganis",
 def canonical_line(line: Column) -> Column:
     """Canonical form of a lower-case line: words joined by one blank."""
     t = F.trim(F.regexp_replace(F.regexp_replace(line, LIST_MARK, ""), SEPARATORS, " "))
-    fixed = t
-    for old, new in SPELLINGS:
-        fixed = F.regexp_replace(fixed, rf"\b{old}\b", new)
+    fixed = F.concat(F.lit(" "), t, F.lit(" "))
+    for old, new in SPELLINGS * 2:  # neighbours share a blank: the second pass takes those
+        fixed = F.replace(fixed, F.lit(f" {old} "), F.lit(f" {new} "))
+    fixed = F.trim(fixed)
     some = F.lit(False)
     for part in _SPELLING_PARTS:
         some = some | line.contains(part)

@@ -67,7 +67,7 @@ def _queued(docs: DataFrame, keep: list[str], seed: str, slices: int, share: flo
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_id"),
                        F.col("source").alias("source"), n_words(F.col("text")).alias("size"), key.alias("_key"))
-    rows = rows.withColumn("_slice", F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") % slices)
+    rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
     # null-safe equality everywhere: a null source is a source
     rows = rows.withColumn("_src", F.struct("source"))
     sums = rows.groupBy("_src", "_slice").agg(F.sum("size").alias("_words"))

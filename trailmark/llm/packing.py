@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens (only longer documents
 are cut; their remainder comes first). What the planner sees is the histogram of
 piece lengths, at most ``capacity`` numbers whatever the corpus:
 
-1. lengths above ``small`` are ordered and cut into ``groups`` groups of equal
-   cardinality; within a group all are rounded up to its largest;
+1. lengths above ``small`` are ordered and cut into groups of equal cardinality;
+   within a group all are rounded up to its largest (several numbers of groups
+   are tried, and the plan with the fewest sequences is taken);
 2. with so few sizes, configurations (multisets of sizes that fill a sequence)
    are optimised: again and again the fullest configuration the stock allows
    (a knapsack over sizes) is used as often as the stock allows;
@@ -152,7 +153,17 @@ def _fullest(sizes: list[int], stock: list[int], capacity: int, first: int) -> l
     return [parts.count(i) for i in range(len(sizes))]
 
 
-def plan(hist: np.ndarray, capacity: int = CAPACITY, groups: int = 200, small: int | None = None) -> tuple[np.ndarray, int]:
+#: Numbers of groups that are tried; the plan with the fewest sequences is taken.
+GROUPS = (50, 100, 200, 400, 800)
+
+
+def plan(hist: np.ndarray, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> tuple[np.ndarray, int]:
+    """The best of the grouped plans by ``grouped_plan``: the histogram is all
+    they need, so trying several numbers of groups costs seconds at any scale."""
+    return min((grouped_plan(hist, capacity, g) for g in groups), key=lambda p: p[1])
+
+
+def grouped_plan(hist: np.ndarray, capacity: int, groups: int, small: int | None = None) -> tuple[np.ndarray, int]:
     """(rows, number of sequences) for a histogram of lengths 0..capacity. A row
     is (length, first rank, count, first sequence, per sequence, offset): ranks
     first..first+count-1 of the length go to consecutive sequences, ``per
@@ -220,14 +231,14 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY, groups: int = 200, small: i
     return out[np.lexsort((out[:, 1], out[:, 0]))], n_seq
 
 
-def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, groups: int = 200, chunks: int = 64,
+def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunks: int = 64,
          end_id: int = 0) -> DataFrame:
     """All pieces with sequence_id and offset."""
     pieces = materialize(tokenized_pieces(docs, vocab or vocabulary(), capacity, end_id), "pieces")
     return place(pieces, capacity, groups, chunks)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 200, chunks: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunks: int = 64) -> DataFrame:
     """Pack pieces (doc_id, piece, start, length, ids_crc32). Read three times: give a written table."""
     chunk = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")
     rows = pieces.withColumn("_chunk", chunk)
