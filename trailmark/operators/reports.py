@@ -26,13 +26,6 @@ def clipped_histogram(df: DataFrame, col: str, cap: int = 15) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def fixed_bins(df: DataFrame, col: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """Equal-width bins on [lo, hi], the last closed on the right."""
-    b = F.least(F.floor((F.col(col) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-    return df.filter(F.col(col).between(lo, hi)).groupBy(b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-
-
 def heatmap_cells(transitions: DataFrame, cur: str = "cur", nxt: str = "nxt") -> DataFrame:
     """E11/K4 long form: log(1 + n) per pair (full state names)."""
     return transitions.groupBy(cur, nxt).agg(F.count(F.lit(1)).alias("n")) \
@@ -52,23 +45,24 @@ def top_n(df: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], names: Sequence[str],
+                    hot_rows: int = 200_000) -> DataFrame:
     """E9 with linear interpolation, exact and without gathering the column in
-    one task: a range-partitioned global order gives every value its rank,
-    and only the two ranks around each (n - 1) * q are kept."""
+    one task: equal values are counted first (one value may hold most rows), the
+    distinct values get the running count as their first rank (the skew-safe
+    order), and only the values around each (n - 1) * q are kept."""
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ranked = ordered_sequence(v.withColumn("_g", F.lit(0)), ["_g"], ["_v"], position="_pos",
-                              hot_rows=0)
-    ranked = ranked.withColumn("_n", v.agg(F.count(F.lit(1))).scalar())
+    counted = v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.lit(0))
+    ranked = ordered_sequence(counted, ["_g"], ["_v"], position="_pos", weight="_c", hot_rows=hot_rows)
+    ranked = ranked.withColumn("_n", counted.agg(F.sum("_c")).scalar())
     keep = F.lit(False)
     aggs = []
     for q, name in zip(qs, names):
         h = (F.col("_n") - 1) * F.lit(float(q))
-        ranked = ranked.withColumn(f"_h{name}", h)
-        lo, hi = F.floor(F.col(f"_h{name}")), F.ceil(F.col(f"_h{name}"))
-        keep = keep | (F.col("_pos") == lo) | (F.col("_pos") == hi)
-        lo_v = F.max(F.when(F.col("_pos") == lo, F.col("_v")))
-        hi_v = F.max(F.when(F.col("_pos") == hi, F.col("_v")))
-        frac = F.max(F.col(f"_h{name}") - lo)
-        aggs.append((lo_v + frac * (hi_v - lo_v)).alias(name))
+        holds = lambda r: (F.col("_pos") <= r) & (r < F.col("_pos") + F.col("_c"))
+        lo, hi = F.floor(h), F.ceil(h)
+        keep = keep | holds(lo) | holds(hi)
+        lo_v = F.max(F.when(holds(lo), F.col("_v")))
+        hi_v = F.max(F.when(holds(hi), F.col("_v")))
+        aggs.append((lo_v + F.max(h - lo) * (hi_v - lo_v)).alias(name))
     return ranked.filter(keep).agg(*aggs)
