@@ -32,7 +32,7 @@ def test_class_report_by_hand(spark):
 
 def test_hashed_embedding_unit_norm(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, "bonjour le monde"), (3, "")], "id long, text string")
-    e = {r.id: r.embedding for r in classify.hashed_embedding(df, "text").collect()}
+    e = {r.id: r.embedding for r in classify.hashed_embedding(df, "text", "id").collect()}
     assert abs(math.sqrt(sum(x * x for x in e[1])) - 1.0) < 1e-9 and len(e[1]) == classify.EMBED_DIM
     assert sum(abs(x) for x in e[3]) == 0.0
 
@@ -81,3 +81,12 @@ def test_archetype_rules_first_match(spark):
     # q80(drift)=4.2, q20=1.8, q50=3.0, q75(len)=2.0
     assert names == {0: "Sector Loyalist", 1: "Stable Specialist", 2: "Career Veteran",
                      3: "Gradual Mover", 4: "Career Switcher"}
+
+
+def test_classifier_has_one_class_per_label(spark):
+    rows = [(i, "red apple" if i % 2 else "blue sky", "a" if i % 2 else "b") for i in range(40)] + [(99, "odd", None)]
+    df = spark.createDataFrame(rows, "id long, text string, y string")
+    m = classify.train_classifier(df, "text", "y", num_features=64, max_iter=5)
+    assert sorted(m.labels) == ["a", "b"] and m.pipeline.stages[-1].numClasses == 2
+    got = {r.id: r for r in classify.score(m, df.drop("y")).collect()}
+    assert got[1].predicted == "a" and got[2].predicted == "b" and 0.5 <= got[99].confidence <= 1.0

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_", "is_blank", "strip", "year_from_text", "has_valid_code", "code_prefix",
-    "combine_text", "clip", "round_to", "log_floor", "hex15_to_number",
-    "dot", "array_argmax", "major_group", "MAJOR_GROUPS", "LOG_FLOOR",
+    "combine_text", "clip", "round_to", "hex15_to_number",
+    "dot", "major_group", "MAJOR_GROUPS", "LOG_FLOOR",
 ]
 
 LOG_FLOOR = 1e-9
@@ -77,10 +77,6 @@ def round_to(c, digits: int) -> Column:
     return (F.floor(col_(c).cast("double") * s + 0.5) / s).cast("double")
 
 
-def log_floor(c, floor: float = LOG_FLOOR) -> Column:
-    return F.ln(F.greatest(F.coalesce(col_(c).cast("double"), F.lit(0.0)), F.lit(floor)))
-
-
 def hex15_to_number(c) -> Column:
     """First 15 hex digits of an md5 as a non-negative bigint."""
     return F.conv(F.substring(F.md5(col_(c)), 1, 15), 16, 10).cast("bigint")
@@ -92,12 +88,6 @@ def dot(a, b) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, v: acc + v)
 
 
-def array_argmax(a) -> Column:
-    """0-based index of the largest element; ties go to the lowest index."""
-    a = col_(a)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
-
-
 # Major occupation group by first digit of a code; any other
 # first character maps to 'Other'.
 MAJOR_GROUPS = {

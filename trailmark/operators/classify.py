@@ -10,10 +10,13 @@ and scoring (I5) that keeps the best class and its probability.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.sequence import ordered_sequence
+
 CLASS_CUTS = (0.70, 0.85)
 CONFIDENCE = 0.35
 EMBED_DIM = 384
@@ -22,16 +25,21 @@ EMBED_DIM = 384
 def class_split(df: DataFrame, label: str, key: Sequence[str], seed: int = 42,
                 cuts: tuple[float, float] = CLASS_CUTS) -> DataFrame:
     """Stratified row split 70/15/15 by class. Rows of a class are ranked
-    by md5(key|seed) (deterministic, no driver-side permutation); cuts at
+    by md5(key|seed) (deterministic, no driver-side permutation; ``key`` identifies
+    a row); cuts at
     floor(0.70 n) and floor(0.85 n) of that class."""
     h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    w = Window.partitionBy(label).orderBy(h, *key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    x = df.withColumn("_rk", F.row_number().over(w) - 1).withColumn("_n", n)
+    # narrow rows are ranked (a class holding most rows is split over tasks), then joined back
+    narrow = df.select(F.col(label).alias("_y"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], h.alias("_h"))
+    keys = [f"_k{i}" for i in range(len(key))]
+    ranked = ordered_sequence(narrow, ["_y"], ["_h", *keys], position="_rk")
+    sizes = narrow.groupBy(F.col("_y").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     a, b = cuts
-    return x.withColumn("split", F.when(F.col("_rk") < F.floor(F.col("_n") * a), F.lit("train"))
-                                  .when(F.col("_rk") < F.floor(F.col("_n") * b), F.lit("val"))
-                                  .otherwise(F.lit("test"))).drop("_rk", "_n")
+    cut = ranked.join(sizes, F.col("_y").eqNullSafe(F.col("_c"))).select(*keys, F.when(
+        F.col("_rk") < F.floor(F.col("_n") * a), F.lit("train")).when(
+        F.col("_rk") < F.floor(F.col("_n") * b), F.lit("val")).otherwise(F.lit("test")).alias("split"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    return df.join(cut, on).drop(*keys)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -95,57 +103,68 @@ def confidence_hist(scored: DataFrame, prob: str = "confidence", threshold: floa
 
 # ---------------------------------------------------------------- learned parts
 
-def hashed_embedding(df: DataFrame, text: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
-    """I1 stand-in encoder: word and character-trigram feature hashing into
-    ``dim`` buckets, L2-normalised. One vectorised pass per Arrow batch
-    (mapInPandas); Spark partitions the rows."""
-    from pyspark.sql import types as T
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
-
-    def enc(batches):
-        import numpy as np
-        import xxhash
-        for pdf in batches:
-            vecs = np.zeros((len(pdf), dim))
-            for i, t in enumerate(pdf[text].fillna("").str.lower()):
-                toks = t.split()
-                grams = [t[j:j + 3] for j in range(max(len(t) - 2, 0))]
-                for g in toks + grams:
-                    h = xxhash.xxh64_intdigest(g)
-                    vecs[i, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-            nrm = np.linalg.norm(vecs, axis=1, keepdims=True)
-            vecs = np.divide(vecs, nrm, out=np.zeros_like(vecs), where=nrm > 0)
-            pdf[out] = list(vecs)
-            yield pdf
-    return df.mapInPandas(enc, schema)
+@dataclass
+class TextClassifier:
+    """A fitted text pipeline and its labels in index order."""
+    labels: list
+    pipeline: object
+
+
+def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, n): words and character trigrams of the lower-cased text."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    grams = F.regexp_extract_all(low, F.lit(r"(?s)(?=(...))"), F.lit(1))
+    return df.select(F.col(key), F.explode(F.concat(words, grams)).alias("token")) \
+             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bucket_sums(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
+    """I1 encoder, long form: signed feature hashing of words and trigrams into
+    ``dim`` buckets. (key, bucket, w) with integer sums; native."""
+    h = F.md5(F.col("token"))
+    bucket = (F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dim).cast("int")
+    sign = F.when(F.substring(h, 8, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
+    return token_counts(df, key, text).groupBy(F.col(key), bucket.alias("bucket")) \
+        .agg(F.sum(sign * F.col("n")).alias("w")).filter("w <> 0")
+
+
+def hashed_embedding(df: DataFrame, text: str, key: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
+    """I1 stand-in encoder: ``bucket_sums`` as an L2-normalised array per
+    ``key`` (zeros for a text without tokens). (key, out)."""
+    g = bucket_sums(df, key, text, dim).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("_m"),
+        F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("_norm"))
+    x = df.select(key).join(g, key, "left")
+    cell = lambda i: F.coalesce(F.try_element_at(F.col("_m"), i) / F.col("_norm"), F.lit(0.0))
+    return x.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), cell).alias(out))
 
 
 def train_classifier(train: DataFrame, text: str, label: str, weight: str | None = None,
-                     num_features: int = 1 << 16, reg: float = 0.01, max_iter: int = 50):
+                     num_features: int = 1 << 16, reg: float = 0.01, max_iter: int = 50) -> TextClassifier:
     """I4: tokenizer -> hashing TF -> IDF -> multinomial logistic regression
-    (MLlib), labels indexed by frequency. Returns the fitted pipeline."""
+    (MLlib), labels indexed by frequency; rows without a label are left out, so
+    there are exactly as many classes as labels."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 
-    stages = [StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep"),
-              RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True),
+    known = train.filter(F.col(label).isNotNull())
+    indexer = StringIndexer(inputCol=label, outputCol="_y").fit(known)
+    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True),
               HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
               IDF(inputCol="_tf", outputCol="_x"),
               LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg, maxIter=max_iter,
                                  family="multinomial", **({"weightCol": weight} if weight else {}))]
-    return Pipeline(stages=stages).fit(train)
+    return TextClassifier(list(indexer.labels), Pipeline(stages=stages).fit(indexer.transform(known)))
 
 
-def score(model, df: DataFrame, label_out: str = "predicted", prob_out: str = "confidence") -> DataFrame:
+def score(model: TextClassifier, df: DataFrame, label_out: str = "predicted", prob_out: str = "confidence") -> DataFrame:
     """Best class and its probability per row."""
     from pyspark.ml.functions import vector_to_array
-    labels = model.stages[0].labels
-    out = model.transform(df)
-    arr = vector_to_array(F.col("probability"))
-    lab = F.array(*[F.lit(x) for x in labels])
-    out = out.withColumn("_pa", arr)
+    out = model.pipeline.transform(df).withColumn("_pa", vector_to_array(F.col("probability")))
+    lab = F.array(*[F.lit(x) for x in model.labels])
     best = F.array_position(out["_pa"], F.array_max(out["_pa"]))
     return (out.withColumn(prob_out, F.array_max("_pa"))
                .withColumn(label_out, F.element_at(lab, best.cast("int")))
-               .drop("_pa", "_y", "_tok", "_tf", "_x", "rawPrediction", "probability", "prediction"))
+               .drop("_pa", "_tok", "_tf", "_x", "rawPrediction", "probability", "prediction"))

@@ -7,24 +7,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.exprs import LOG_FLOOR
+from trailmark.operators import markov
 
 DEFAULT_ARCHETYPE = "Stable Specialist"
 
 
 def transition_logprob(transitions: DataFrame, matrix: DataFrame, space: DataFrame) -> DataFrame:
     """H1: log p(cur -> nxt) under a matrix, floored at 1e-9 (an unknown
-    state gets log 1e-9); ``is_self`` flag. The matrix side is one row per
-    state (AQE broadcasts it when small)."""
-    sp = space.select("state", "idx")
-    t = (transitions
-         .join(sp.select(F.col("state").alias("cur"), F.col("idx").alias("_ci")), "cur", "left")
-         .join(sp.select(F.col("state").alias("nxt"), F.col("idx").alias("_ni")), "nxt", "left")
-         .join(matrix.select(F.col("cur_idx").alias("_ci"), F.col("p").alias("_row")), "_ci", "left"))
-    p = F.when(F.col("_ni").isNotNull() & F.col("_row").isNotNull(),
-               F.try_element_at(F.col("_row"), F.col("_ni") + 1))
-    return (t.withColumn("log_prob", F.ln(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(LOG_FLOOR))))
+    state gets log 1e-9); ``is_self`` flag. The matrix is joined as cells
+    (states x states rows), so no row carries an array."""
+    cells = markov.long_form(matrix, space).select(
+        F.col("cur").alias("_c"), F.col("nxt").alias("_x"), F.col("p").alias("_p"))
+    t = transitions.join(cells, (F.col("cur") == F.col("_c")) & (F.col("nxt") == F.col("_x")), "left")
+    return (t.withColumn("log_prob", F.ln(F.greatest(F.coalesce("_p", F.lit(0.0)), F.lit(LOG_FLOOR))))
              .withColumn("is_self", F.col("cur") == F.col("nxt"))
-             .drop("_ci", "_ni", "_row"))
+             .drop("_c", "_x", "_p"))
 
 
 def dominant_state(events: DataFrame, entity: str = "person_id", state: str = "state",
@@ -95,6 +92,7 @@ def archetype_names(summary: DataFrame) -> DataFrame:
                              F.percentile("mean_drift", 0.2).alias("q20"),
                              F.percentile("mean_drift", 0.5).alias("q50"),
                              F.percentile("mean_len", 0.75).alias("q75"))).scalar()
+    # Archetype names and their cut-offs.
     q80, q20, q50, q75 = q["q80"], q["q20"], q["q50"], q["q75"]
     d, loop, ln = F.col("mean_drift"), F.col("mean_loop"), F.col("mean_len")
     name = (F.when((d > q80) & (loop < 0.3), F.lit("Career Switcher"))

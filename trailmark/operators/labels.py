@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,25 @@ def label_check(df: DataFrame, state: str = "state", group: str = "occupation_gr
 def pair_label(a, b, width: int = 25, sep: str = " -> "):
     """Truncated 'from -> to' label."""
     return F.concat(F.substring(F.col(a), 1, width), F.lit(sep), F.substring(F.col(b), 1, width))
+
+
+def merge_fallback(events: DataFrame, scored: DataFrame, key: Sequence[str], threshold: float,
+                   predicted: str = "predicted", confidence: str = "confidence") -> DataFrame:
+    """I6 + D1: coded events keep their code group as ``state``; events without a
+    code get the predicted group where its confidence reaches ``threshold``;
+    the others drop. ``scored`` has (key..., predicted, confidence) of uncoded
+    events. ``label_source`` says which."""
+    coded = events.filter(~F.col("needs_nlp")).withColumn("state", F.col("occupation_group")) \
+                  .withColumn("label_source", F.lit("code"))
+    gate = scored.filter(F.col(confidence) >= F.lit(threshold)).select(*key, F.col(predicted).alias("state"))
+    model = events.filter("needs_nlp").join(gate, list(key)).withColumn("label_source", F.lit("model"))
+    return coded.unionByName(model)
+
+
+def label_drops(events: DataFrame, scored: DataFrame, threshold: float, confidence: str = "confidence") -> DataFrame:
+    """A10, label step: coded rows, uncoded rows, those accepted and those
+    dropped below the threshold."""
+    n = events.agg(F.count_if(~F.col("needs_nlp")).alias("coded_rows"), F.count_if("needs_nlp").alias("uncoded_rows"))
+    ok = scored.agg(F.count_if(F.col(confidence) >= F.lit(threshold)).alias("accepted")).scalar()
+    return n.select("coded_rows", "uncoded_rows", ok.alias("accepted_rows"),
+                    (F.col("uncoded_rows") - ok).alias("dropped_low_confidence"))

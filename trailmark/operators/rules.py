@@ -29,8 +29,9 @@ def association_rules(transitions: DataFrame, cur: str = "cur", nxt: str = "nxt"
         F.col("pair_count").cast("bigint").alias("pair_count"))
 
 
-def top_rules(rules: DataFrame, n: int = 20, cross_only: bool = True) -> DataFrame:
-    """H6: rules between different states, top ``n`` by lift (ties by names).
+def top_rules(rules: DataFrame, n: int = 20, cross_only: bool = True, by: str = "lift") -> DataFrame:
+    """H6: rules between different states, top ``n`` by lift, confidence or
+    support (ties by names).
     TakeOrderedAndProject: each task keeps n rows, the driver merges them."""
     r = rules.filter(F.col("antecedent") != F.col("consequent")) if cross_only else rules
-    return r.orderBy(F.col("lift").desc(), F.col("antecedent"), F.col("consequent")).limit(n)
+    return r.orderBy(F.col(by).desc(), F.col("antecedent"), F.col("consequent")).limit(n)

@@ -1,9 +1,9 @@
 """Rule labelling (B14-B18): ordered regex rules, first match wins.
 
 Rules are data: a list of (label, pattern) or (label, [pattern, ...]) where a
-list means all patterns must match (a compound rule). Short rule sets become
-one ``CASE WHEN rlike ...`` chain (codegen, no UDF); long ones (> 100 rules)
-an array of (label, pattern) scanned with ``filter`` so the plan stays small.
+list means all patterns must match (a compound rule). A rule set of any length
+becomes one ``CASE WHEN rlike ...`` chain (literal patterns, stops at the first
+match, no UDF).
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_LABEL = "Other & Unclassified"
-CHAIN_LIMIT = 100
 
 
 def _cond(text: Column, pattern) -> Column:
@@ -28,11 +27,6 @@ def _cond(text: Column, pattern) -> Column:
 
 def first_match(text: Column, rules: Sequence[tuple], default: str | None = DEFAULT_LABEL) -> Column:
     """Label of the first rule whose pattern(s) match ``text``."""
-    if len(rules) > CHAIN_LIMIT and all(isinstance(p, str) for _, p in rules):
-        arr = F.array(*[F.struct(F.lit(lbl).alias("l"), F.lit(p).alias("p")) for lbl, p in rules])
-        hit = F.filter(arr, lambda r: text.rlike(r["p"]))
-        first = F.get(hit, 0)["l"]
-        return F.coalesce(first, F.lit(default)) if default is not None else first
     out = None
     for lbl, p in rules:
         out = (F.when(_cond(text, p), F.lit(lbl)) if out is None else out.when(_cond(text, p), F.lit(lbl)))
@@ -46,13 +40,14 @@ def cascade(df: DataFrame, title: Column, desc: Column, rules: Sequence[tuple],
     """Rules on the title, then on the description for rows still
     unmatched, then the broad rules on title and description; rows no pass
     labels drop. ``pass`` tells which pass matched (the rescue counts)."""
-    passes = [(1, first_match(title, rules, None)), (2, first_match(desc, rules, None)),
-              (3, first_match(title, broad, None)), (4, first_match(desc, broad, None))]
-    lab = F.coalesce(*[c for _, c in passes])
-    which = None
-    for k, c in passes:
-        which = F.when(c.isNotNull(), F.lit(k)) if which is None else which.when(c.isNotNull(), F.lit(k))
-    return df.withColumn(out, lab).withColumn(pass_col, which).filter(F.col(out).isNotNull())
+    passes = [first_match(title, rules, None), first_match(desc, rules, None),
+              first_match(title, broad, None), first_match(desc, broad, None)]
+    # each pass is a column of its own, so the label and the pass number share it
+    names = [f"_pass{k}" for k in range(1, 5)]
+    x = df.withColumns(dict(zip(names, passes)))
+    which = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(k)) for k, c in enumerate(names, 1)])
+    return x.withColumn(out, F.coalesce(*names)).withColumn(pass_col, which) \
+            .filter(F.col(out).isNotNull()).drop(*names)
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

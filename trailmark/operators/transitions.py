@@ -71,14 +71,19 @@ def self_rates(transitions: DataFrame, space: DataFrame, default: float = 0.2,
                  .withColumn("mult", F.lit(1.0) + F.lit(2.0) * F.col("self_rate")))
 
 
+def entity_years(transitions: DataFrame, entity: str = "person_id", yr: str = "yr") -> DataFrame:
+    """First and last year per entity."""
+    return transitions.groupBy(entity).agg(F.min(yr).alias("_fy"), F.max(yr).alias("_ly"))
+
+
 def temporal_features(transitions: DataFrame, *, entity: str = "person_id", yr: str = "yr",
-                      pos: str = "pos", as_of: bool = False) -> DataFrame:
+                      pos: str = "pos", as_of: bool = False, bounds: DataFrame | None = None) -> DataFrame:
     """years since the entity's first row, span (both clipped 0..50;
     with ``as_of`` the span ends at the current event),
     position and velocity = position / max(span, 1) clipped 0..10. Min and max
-    come from an aggregate joined back (the join splits a skewed entity under
+    come from an aggregate (``bounds``: that of a larger table) joined back (the join splits a skewed entity under
     AQE; a window over the entity would not)."""
-    mm = transitions.groupBy(entity).agg(F.min(yr).alias("_fy"), F.max(yr).alias("_ly"))
+    mm = entity_years(transitions, entity, yr) if bounds is None else bounds
     out = transitions.join(mm, entity)
     if as_of:
         # Span up to the current event only: the order is led by the year, so

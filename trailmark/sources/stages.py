@@ -55,18 +55,18 @@ def code_signature() -> str:
 
 
 def input_signature(spark: SparkSession, paths: Iterable[str]) -> str:
-    """Cheap fingerprint of input files from their listing (name, length,
-    modification time): no data pass, so it can guard every stage."""
+    """Cheap fingerprint of input files from their listing (path, length,
+    modification time), listed by Spark and summed as hashes: no data pass and
+    no driver loop over files, so it can guard every stage."""
     parts = []
     for path in paths:
-        p, fs = _fs(spark, path)
-        if not fs.exists(p):
+        if not path_exists(spark, path):
             parts.append(f"{path}:missing")
             continue
-        it = fs.listFiles(p, True)
-        while it.hasNext():
-            st = it.next()
-            parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        h = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        n, total = files.agg(F.count(F.lit(1)), F.sum(h)).first()
+        parts.append(f"{path}:{n}:{total}")
     return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()[:16]
 
 

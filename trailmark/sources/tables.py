@@ -98,7 +98,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .otherwise(F.substring(F.col("o_orderdate").cast("string"), 1, 10)))
     univ = (F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(None).cast("boolean"))
              .otherwise(F.col("c_mktsegment").isin("BUILDING", "HOUSEHOLD")))
-    return j.select(
+    out = j.select(
         F.col("o_custkey").alias("person_id"),
         label.alias("matched_label"),
         desc.alias("matched_description"),
@@ -110,22 +110,9 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("src_part"),
         F.col("l_suppkey").alias("src_supp"),
     )
+    return conform(out)
 
 
 # Input order of the fixture rows (Spark has no file order): the first row
 # of a duplicate group is the lowest of these.
 JOB_EVENT_ORDER = ("src_order", "src_line", "src_part", "src_supp")
-
-
-def click_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second journey: users moving between event types, ordered by time."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("person_id"), "ts", "event_id",
-        F.col("event_type").alias("state"))
-
-
-def order_journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Third journey: customers moving between order priorities."""
-    return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("person_id"), "o_orderdate", "o_orderkey",
-        F.col("o_orderpriority").alias("state"))
