@@ -13,7 +13,7 @@ before the hit sum.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +32,6 @@ W_ARCH = (0.05, 0.10, 0.20)
 BASE_MIX = (0.60, 0.40)          # recency, window
 REST_FLOOR = 0.05
 MIN_TUNE_ROWS = 15
-TUNE_CAP = 2000
 SPLIT_CUTS = (0.64, 0.80)
 TOP_K = (1, 3, 5)
 RANK_DIGITS = 12
@@ -89,22 +88,6 @@ def capped_sample(df: DataFrame, group: str, cap: int, seed: int, key: list[str]
     return ranked.filter(F.col("_rank") < cap).drop("_h", "_rank")
 
 
-@dataclass
-class Components:
-    space: DataFrame
-    glob: DataFrame          # (cur_idx, p)
-    rec: DataFrame           # (cur_idx, p)
-    windows: DataFrame       # (win, win_label, start_year, end_year)
-    wm: DataFrame            # (win, cur_idx, p)
-    so: DataFrame            # (prev_idx, cur_idx, n_context, p)
-    prior: DataFrame         # sparse (entity, state_idx, w, total, p, p_default)
-    boost: DataFrame         # (flag_value, p)
-    seg_map: DataFrame       # (entity, archetype)
-    seg: DataFrame           # (archetype, cur_idx, p)
-    cluster_summary: DataFrame
-    market: DataFrame        # (win, win_label, drift)
-
-
 def train_segments(train: DataFrame, space: DataFrame, glob: DataFrame, method: str = "quantile",
                    seed: int = 42, entity: str = "person_id", keep=None):
     """Segments of training entities from their drift under the training
@@ -127,29 +110,72 @@ def train_segments(train: DataFrame, space: DataFrame, glob: DataFrame, method:
     return seg_map, summary
 
 
-def build_components(train: DataFrame, space: DataFrame, rates: DataFrame, *, window_size: int = 10,
-                     segment_method: str = "quantile", seed: int = 42,
-                     entity: str = "person_id", keep=None) -> Components:
-    """All model pieces from the training transitions. ``keep(name, df)``
-    materialises a piece (a stage table or a checkpoint) so that the pieces
-    built on it, and the scoring plans, start from a small scan; every piece
-    is at most (keys x states) rows, except the sparse entity prior."""
-    keep = keep or (lambda name, df: df)
-    glob = keep("glob", markov.transition_matrix(train, space, rates))
-    rec = keep("rec", markov.recency_matrix(train, space, rates))
-    windows = keep("windows", markov.year_windows(train, window_size))
-    wm = keep("wm", markov.window_matrices(train, space, rates, windows))
-    so = keep("so", markov.second_order(train, space, rates))
-    prior = keep("prior", markov.history_prior(train, space, entity=entity))
-    boost = keep("boost", markov.attribute_boost(train, space))
-    seg_map, summary = train_segments(train, space, glob, segment_method, seed, entity, keep)
-    seg_map = keep("seg_map", seg_map)
-    summary = keep("seg_summary", summary)
-    named = summary.select("archetype").distinct()
-    annotated = annotate_segment(train, seg_map, entity).join(named, "archetype", "left_semi")
-    seg = keep("seg", markov.segment_matrices(annotated, space, rates, glob, "archetype"))
-    market = keep("market", markov.market_drift(wm, windows))
-    return Components(space, glob, rec, windows, wm, so, prior, boost, seg_map, seg, summary, market)
+class Components:
+    """All model pieces from the training transitions, each built when first
+    used. ``keep(name, df)`` materialises a piece (a stage table or a
+    checkpoint) so that the pieces built on it, and the scoring plans, start
+    from a small scan; every piece is at most (keys x states) rows, except the
+    sparse entity prior."""
+
+    def __init__(self, train: DataFrame, space: DataFrame, rates: DataFrame, *, window_size: int = 10,
+                 segment_method: str = "quantile", seed: int = 42, entity: str = "person_id", keep=None):
+        self.train, self.space, self.rates = train, space, rates
+        self.window_size, self.segment_method, self.seed, self.entity = window_size, segment_method, seed, entity
+        self._keep = keep or (lambda name, build: build())
+
+    @cached_property
+    def glob(self) -> DataFrame:          # (cur_idx, p)
+        return self._keep("glob", lambda: markov.transition_matrix(self.train, self.space, self.rates))
+
+    @cached_property
+    def rec(self) -> DataFrame:           # (cur_idx, p)
+        return self._keep("rec", lambda: markov.recency_matrix(self.train, self.space, self.rates))
+
+    @cached_property
+    def windows(self) -> DataFrame:       # (win, win_label, start_year, end_year)
+        return self._keep("windows", lambda: markov.year_windows(self.train, self.window_size))
+
+    @cached_property
+    def wm(self) -> DataFrame:            # (win, cur_idx, p)
+        return self._keep("wm", lambda: markov.window_matrices(self.train, self.space, self.rates, self.windows))
+
+    @cached_property
+    def so(self) -> DataFrame:            # (prev_idx, cur_idx, n_context, p)
+        return self._keep("so", lambda: markov.second_order(self.train, self.space, self.rates))
+
+    @cached_property
+    def prior(self) -> DataFrame:         # sparse (entity, state_idx, w, total, p, p_default)
+        return self._keep("prior", lambda: markov.history_prior(self.train, self.space, entity=self.entity))
+
+    @cached_property
+    def boost(self) -> DataFrame:         # (flag_value, p)
+        return self._keep("boost", lambda: markov.attribute_boost(self.train, self.space))
+
+    @cached_property
+    def _segments(self) -> tuple[DataFrame, DataFrame]:
+        seg_map, summary = train_segments(self.train, self.space, self.glob, self.segment_method, self.seed, self.entity,
+                                          lambda name, df: self._keep(name, lambda: df))
+        return self._keep("seg_map", lambda: seg_map), self._keep("seg_summary", lambda: summary)
+
+    @property
+    def seg_map(self) -> DataFrame:       # (entity, archetype)
+        return self._segments[0]
+
+    @property
+    def cluster_summary(self) -> DataFrame:
+        return self._segments[1]
+
+    @cached_property
+    def seg(self) -> DataFrame:           # (archetype, cur_idx, p)
+        def build():
+            named = self.cluster_summary.select("archetype").distinct()
+            rows = annotate_segment(self.train, self.seg_map, self.entity).join(named, "archetype", "left_semi")
+            return markov.segment_matrices(rows, self.space, self.rates, self.glob, "archetype")
+        return self._keep("seg", build)
+
+    @cached_property
+    def market(self) -> DataFrame:        # (win, win_label, drift)
+        return self._keep("market", lambda: markov.market_drift(self.wm, self.windows))
 
 
 def annotate_segment(df: DataFrame, seg_map: DataFrame, entity: str = "person_id") -> DataFrame:
@@ -198,13 +224,21 @@ def with_component_rows(ctx: DataFrame, comp: Components, entity: str = "person_
     d = comp.wm.select("win", "cur_idx", F.col("p").alias("d"))
     a = comp.seg.select("archetype", "cur_idx", F.col("p").alias("a"))
     s = comp.so.select("prev_idx", "cur_idx", F.col("p").alias("s"))
-    h = markov.history_arrays(comp.prior, comp.space, entity) \
-        .select(F.col(entity).alias("prior_entity"), F.col("p").alias("h"))
+    # dense priors only for the entities asked for (evaluation entities have none)
+    asked = ctx.filter(F.col("prior_entity").isNotNull()).select(F.col("prior_entity").alias(entity)).distinct()
+    h = markov.history_arrays(comp.prior.join(asked, entity, "left_semi"), comp.space, entity) \
+        .select(F.col(entity).alias("prior_entity"), F.col("p").alias("h"), F.lit(0).alias("_salt"))
+    # contexts without a prior of their own are spread over tasks, not met under the null key
+    ctx = ctx.withColumn("_salt", F.when(F.col("prior_entity").isNull(), 1 + F.pmod(F.xxhash64("cur_idx", "win", "prev_idx"), F.lit(1024)))
+                                   .otherwise(0).cast("int"))
+    spread = F.coalesce(F.col("prior_entity"), F.lit(0))
     b = comp.boost.select(F.col("flag_value").alias("univ_flag"), F.col("p").alias("b"))
     out = (ctx.join(g, "cur_idx").join(r, "cur_idx")
               .join(d, ["win", "cur_idx"], "left").join(a, ["archetype", "cur_idx"], "left")
-              .join(s, ["prev_idx", "cur_idx"], "left").join(h, "prior_entity", "left")
+              .join(s, ["prev_idx", "cur_idx"], "left")
               .join(b, "univ_flag", "left"))
+    h = h.select(F.col("prior_entity").alias("_pe"), "h", F.col("_salt").alias("_ps"))
+    out = out.join(h, (spread == F.col("_pe")) & (F.col("_salt") == F.col("_ps")), "left").drop("_pe", "_ps", "_salt")
     return (out.withColumn("d", F.coalesce("d", "g")).withColumn("a", F.coalesce("a", "g"))
                .withColumn("s", F.coalesce("s", "g")).withColumn("h", F.coalesce("h", "g")))
 
@@ -239,25 +273,16 @@ def ranked_indices(p: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(scored), 1, k), lambda e: e["i"])
 
 
-def with_argmax_rounded(df: DataFrame, p: str, out: str) -> DataFrame:
-    """F7 with the same rounding (ties to the lowest index)."""
-    return (df.withColumn("_q", F.transform(p, lambda x: round_to(x, RANK_DIGITS)))
-              .withColumn(out, (F.array_position("_q", F.array_max("_q")) - 1).cast("int"))
-              .drop("_q"))
-
-
-def tune_weights(val_annotated: DataFrame, comp: Components, rates: DataFrame, seed: int = 42,
-                 min_rows: int = MIN_TUNE_ROWS, cap: int = TUNE_CAP,
-                 entity: str = "person_id") -> DataFrame:
-    """Per current state with at least ``min_rows`` validation rows
-    (sampled down to ``cap`` by hash rank), the grid combination with the
-    best top-1 hits; the first combination in grid order wins ties. Other
+def tune_weights(val_annotated: DataFrame, comp: Components, rates: DataFrame,
+                 min_rows: int = MIN_TUNE_ROWS, entity: str = "person_id") -> DataFrame:
+    """Per current state with at least ``min_rows`` validation rows (all of
+    them: rows are grouped into contexts first, so the work is that of the
+    contexts), the grid combination with the best top-1 hits; the first combination in grid order wins ties. Other
     states keep the defaults from their self rate. Returns (cur_idx, w_hist,
     w_so, w_arch, tuned, hits, n_rows)."""
     sizes = val_annotated.groupBy("cur_idx").agg(F.count(F.lit(1)).alias("_rows"))
     eligible = sizes.filter(F.col("_rows") >= min_rows).select("cur_idx")
     rows = val_annotated.join(eligible, "cur_idx", "left_semi")
-    rows = capped_sample(rows, "cur_idx", cap, seed, [entity, "pos"])
     ctx = with_component_rows(contexts(rows, comp, entity), comp, entity)
     per = grid_hits(ctx)
     grid = {c: (wh, ws, wa) for c, wh, ws, wa, _ in weight_grid()}
@@ -308,18 +333,20 @@ def _grid_kernel(batches):
             sc = np.einsum("ck,mkn->mcn", grid, parts[lo:lo + KERNEL_CHUNK])
             top[lo:lo + KERNEL_CHUNK] = np.argmax(np.floor(sc * scale + 0.5) / scale, axis=2)
         hits = np.zeros((m, len(combos)), dtype=np.int64)
-        for row, counts in enumerate(pdf["nxt_counts"]):
-            cnt = np.zeros(r.shape[1], dtype=np.int64)
-            for k, v in (counts.items() if isinstance(counts, dict) else counts):
-                cnt[k] = v
-            hits[row] = cnt[top[row]]
+        # next-state counts as a (rows, n) table filled from the paired arrays
+        at, states = [pdf[c].to_numpy() for c in ("cnt", "nxt")]
+        rows = np.repeat(np.arange(m), [len(x) for x in states])
+        table = np.zeros((m, r.shape[1]), dtype=np.int64)
+        table[rows, np.concatenate(states)] = np.concatenate(at)
+        hits[:] = np.take_along_axis(table, top, axis=1)
         yield pd.DataFrame({"cur_idx": np.repeat(pdf["cur_idx"].to_numpy(), len(combos)),
                             "combo": np.tile(combos, m), "hits": hits.reshape(-1)})
 
 
 def grid_hits(ctx: DataFrame) -> DataFrame:
     """Hits per (current state, grid combination) over scoring contexts."""
-    x = ctx.select("cur_idx", "nxt_counts", "r", "d", "a", "s", "h", "b")
+    x = ctx.select("cur_idx", F.map_keys("nxt_counts").alias("nxt"), F.map_values("nxt_counts").alias("cnt"),
+                   "r", "d", "a", "s", "h", "b")
     out = x.mapInPandas(_grid_kernel, "cur_idx int, combo int, hits long")
     return out.groupBy("cur_idx", "combo").agg(F.sum("hits").alias("hits"))
 

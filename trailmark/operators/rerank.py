@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.exprs import LOG_FLOOR, dot, round_to
 from trailmark.operators import ensemble, transitions
+from trailmark.operators.reports import exact_quantiles
 
 TOP_K = 20
 FEATURES = ["f_cos", "f_log_global", "f_log_recency", "f_log_second", "f_hist", "f_ysf", "f_span",
@@ -41,16 +42,19 @@ FEATURE_GROUPS = {
 FIXED_WEIGHTS = [0.5, 1.0, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.0, 0.2, 0.1, 5.0]
 SCORE_DIGITS = 9
 ROW = ["person_id", "pos"]
-# Rows the learned scorer trains and selects on (test rows are
-# never capped).
-TRAIN_CAP = 150_000
-VAL_CAP = max(20_000, TRAIN_CAP // 5)
 
 
 def capped_rows(rows: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """G13 with one group: at most ``cap`` rows by md5 rank of (entity, pos)."""
-    one = rows.withColumn("_all", F.lit(0))
-    return ensemble.capped_sample(one, "_all", cap, seed, ROW).drop("_all")
+    """The bounded sample on which the learned scorer is fitted: the ``cap``
+    rows with the lowest md5 of (entity, pos). A hash threshold leaves about
+    twice as many, whose top-k is exact."""
+    n = rows.count()
+    if n <= cap:
+        return rows
+    h = ensemble.hash_rank_key(seed, *ROW)
+    part = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    near = rows.withColumn("_h", h).filter(part <= (2.0 * cap + 100) / n)
+    return near.orderBy("_h", *ROW).limit(cap).drop("_h")
 
 
 def _key_join(a: DataFrame, b: DataFrame, keys) -> DataFrame:
@@ -106,8 +110,9 @@ def state_embeddings_from_text(names: DataFrame, encode, state: str = "state", n
     return encode(t, "_text").select("state_idx", F.col("embedding").alias("emb"))
 
 
-def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: DataFrame) -> DataFrame:
+def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, years: DataFrame) -> DataFrame:
     """C10 + J2-J7: one row per (row, candidate) with the 15 features.
+    ``years`` has each entity's first and last year over all its transitions.
 
     Everything per row (temporal features, current state) is joined before
     the explode, on rows, not on rows x K; the candidate's component values
@@ -116,8 +121,7 @@ def candidate_features(cands: DataFrame, comp, state_emb: DataFrame, temporal: D
     distinct (current, candidate) state pair, at most n x n rows, and joined
     back as one number."""
     sp = comp.space.select("state", "idx")
-    rows = (cands.join(temporal.select(*ROW, "rr_years_since_first", "rr_career_span", "rr_n_prior_trans",
-                                       "rr_transition_velocity"), ROW, "left")
+    rows = (transitions.temporal_features(cands, bounds=years)
                  .join(sp.select(F.col("idx").alias("cur_idx"), F.col("state").alias("_cs")), "cur_idx"))
     x = rows.select(*ROW, "cur_idx", "nxt_idx", "true_pos", "_cs", "rr_years_since_first", "rr_career_span",
                     "rr_n_prior_trans", "rr_transition_velocity", F.posexplode("cv").alias("rank", "_c"))
@@ -252,5 +256,25 @@ def group_importance(coef) -> list[tuple[str, float]]:
     return [(g, v / tot) for g, v in vals.items()]
 
 
-def temporal(rows: DataFrame) -> DataFrame:
-    return transitions.temporal_features(rows)
+def improvement(evaluated: DataFrame) -> DataFrame:
+    """J11 + J15: hit rate before and after reranking and the gain in points."""
+    at = lambda r, c: F.max(F.when(F.col("ranking") == r, F.col(c)))
+    one = evaluated.agg(*[at(r, c).alias(f"{r}_{c}") for r in ("ensemble", "rerank") for c in ("top_1", "top_3", "top_5")])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"ensemble_{c}").alias("before"), F.col(f"rerank_{c}").alias("after"))
+                     for c in ("top_1", "top_3", "top_5")])
+    return one.select(F.inline(rows)).withColumn("points", (F.col("after") - F.col("before")) * 100.0)
+
+
+def ablation_report(ablated: DataFrame) -> DataFrame:
+    """The ablation with the relative drop in percent, ordered by drop (one
+    row per feature group)."""
+    w = Window.orderBy(F.col("top1_drop").desc(), F.col("feature_group"))
+    rel = F.when(F.col("top1_with_all") > 0, F.col("top1_drop") / F.col("top1_with_all") * 100.0)
+    return ablated.withColumn("relative_drop_pct", rel).withColumn("rank", F.row_number().over(w))
+
+
+def margin_summary(margins: DataFrame) -> DataFrame:
+    """Mean and median winning probability and mean margin."""
+    return margins.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("win_prob").alias("mean_win_prob"),
+                       F.avg("margin").alias("mean_margin")).join(
+        exact_quantiles(margins, "win_prob", [0.5], ["median_win_prob"]))

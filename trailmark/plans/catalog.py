@@ -7,15 +7,16 @@ so the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.exprs import major_group, round_to
-from trailmark.operators import clean, drift, labels, markov, reports, rules, segments, transitions
-from trailmark.plans.journey import context
-from trailmark.plans.oracle import R, sql, sql_with
+from trailmark.operators import classify, clean, drift, labels, markov, reports, rules, segments, transitions
+from trailmark.plans.journey import EVENT_KEY, context
+from trailmark.plans.oracle import CTES, R, sql, sql_with
 from trailmark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,16 +47,13 @@ SRC = list(tables.JOB_EVENT_ORDER)
       union all select 'validation', * from fx where person_id % 10 in (6, 7)
       union all select 'test', * from fx where person_id % 10 >= 8) group by split""", "fx"))
 def q_scan_union(spark, sf):
-    """A1 + D1: the fixture written as three split files (stage tables), then
+    """A1 + D1: the fixture written in one pass as three split files, then
     scanned back: existing files only, stacked by column name."""
     ctx = context(spark, sf)
     m = F.col("person_id") % 10
-    cuts = {"train": m < 6, "validation": m.isin(6, 7), "test": m >= 8}
-    paths = []
-    for name, cond in cuts.items():
-        ctx._stage(f"splits/{name}", lambda c=cond, n=name: ctx.raw.filter(c).withColumn("split", F.lit(n)))
-        paths.append(ctx.stage_path(f"splits/{name}"))
-    u = tables.load_splits(spark, paths)
+    split = F.when(m < 6, "train").when(m.isin(6, 7), "validation").otherwise("test")
+    ctx._stage("splits", lambda: ctx.raw.withColumn("split", split).withColumn("file", F.col("split")), partition_by=["file"])
+    u = tables.load_splits(spark, [f"{ctx.stage_path('splits')}/file={n}" for n in ("train", "validation", "test")])
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.countDistinct("person_id").alias("n_persons"))
 
@@ -135,9 +133,73 @@ def q_hierarchy_pairs(spark, sf):
 
 
 @query("label_check", sql("""select count(*) as coded_rows,
-      count_if(not (state is not distinct from occupation_group)) as mismatches from ce""", "ce"))
+      count_if(not (state is not distinct from occupation_group)) as mismatches from mrg where not needs_nlp""", "mrg"))
 def q_label_check(spark, sf):
-    return labels.label_check(context(spark, sf).coded_events)
+    """B12 on the merged rows (coded and accepted model labels)."""
+    ctx = context(spark, sf)
+    return labels.label_check(ctx.merged_events(_sql_scores(ctx), classify.CONFIDENCE))
+
+
+def _sql_scores(ctx):
+    """Predicted group and confidence of the uncoded events, made of their text
+    lengths: a stand-in for a model's scores that SQL can compute too."""
+    return ctx.events.filter("needs_nlp").select(
+        *EVENT_KEY, (100 + (F.length("matched_label") * 7) % 800).cast("string").alias("predicted"),
+        ((F.length("combined_text") * 37 % 101) / F.lit(100.0)).alias("confidence"))
+
+
+@query("confidence_gate", sql("""select person_id, matched_label, start_date, predicted from scu where confidence >= 0.35""", "scu"))
+def q_confidence_gate(spark, sf):
+    """I6."""
+    return classify.confidence_gate(_sql_scores(context(spark, sf))).select(*EVENT_KEY, "predicted")
+
+
+@query("score_histogram", sql(f"""select cast(least(floor(confidence * 20), 19) as integer) as bin,
+      cast(least(floor(confidence * 20), 19) as integer) / 20.0e0 as lo, count(*) as n,
+      {R('(select count_if(confidence >= 0.35) * 1.0e0 / count(*) from scu)')} as kept_share
+    from scu group by cast(least(floor(confidence * 20), 19) as integer)""", "scu"))
+def q_score_histogram(spark, sf):
+    """I7 on the uncoded events."""
+    h = classify.confidence_hist(_sql_scores(context(spark, sf)))
+    return h.withColumn("kept_share", r6("kept_share"))
+
+
+@query("label_drops", sql("""select (select count_if(not needs_nlp) from ev) as coded_rows, (select count_if(needs_nlp) from ev) as uncoded_rows,
+      (select count_if(confidence >= 0.35) from scu) as accepted_rows,
+      (select count_if(needs_nlp) from ev) - (select count_if(confidence >= 0.35) from scu) as dropped_low_confidence""", "ev", "scu"))
+def q_label_drops(spark, sf):
+    """A10, label step."""
+    ctx = context(spark, sf)
+    return labels.label_drops(ctx.events, _sql_scores(ctx), classify.CONFIDENCE)
+
+
+@query("fallback_transitions", sql("""select person_id, pos, cur, nxt, prev, label_source from (
+      select person_id, label_source, state as cur, lead(state) over w as nxt, lag(state) over w as prev,
+             cast(row_number() over w - 1 as bigint) as pos
+      from mrg window w as (partition by person_id order by yr, start_date, matched_label)) where nxt is not null""", "mrg"))
+def q_fallback_transitions(spark, sf):
+    """F1 on the merged rows: uncoded events re-enter with their accepted label."""
+    ctx = context(spark, sf)
+    t = transitions.build_transitions(ctx.merged_events(_sql_scores(ctx), classify.CONFIDENCE))
+    return t.select("person_id", "pos", "cur", "nxt", "prev", "label_source")
+
+
+@query("fallback_learned")
+def q_fallback_learned(spark, sf):
+    """I4 + I5 + I6 + D1: a classifier fitted on the coded events' texts (distinct
+    texts, weighted by their events) labels the uncoded ones; transitions of the
+    merged rows by the source of their label."""
+    ctx = context(spark, sf)
+
+    def build():
+        texts = ctx.coded_events.groupBy("combined_text", "state").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        return classify.train_classifier(texts, "combined_text", "state", weight="weight", num_features=1 << 12, max_iter=15)
+    model = _model(ctx, "event_classifier", build)
+    texts = ctx.events.filter("needs_nlp").select("combined_text").distinct()
+    scored = classify.score(model, texts, "predicted", "confidence").join(
+        ctx.events.filter("needs_nlp").select(*EVENT_KEY, "combined_text"), "combined_text")
+    t = transitions.build_transitions(ctx.merged_events(scored.select(*EVENT_KEY, "predicted", "confidence"), classify.CONFIDENCE))
+    return t.groupBy("label_source").agg(F.count(F.lit(1)).alias("transitions"), F.countDistinct("person_id").alias("persons"))
 
 
 @query("sector_distribution", sql(f"""select state, count(*) as n,
@@ -181,7 +243,7 @@ def q_sequence_stats(spark, sf):
                   and lower(matched_label) <> 'unknown', false) as ok_ from fx)
           group by person_id, matched_label, start_date, ok_)""", "fx"))
 def q_clean_report(spark, sf):
-    return clean.clean_report(tables.job_events(spark, sf))
+    return clean.clean_report(context(spark, sf).raw)
 
 
 # --------------------------------------------------------------- phase 2: transitions
@@ -403,12 +465,8 @@ def q_stratified_split(spark, sf):
 @query("split_counts", sql("""select split, count(distinct person_id) as users, count(*) as transitions
     from trs group by split""", "trs"))
 def q_split_counts(spark, sf):
-    t = context(spark, sf).transitions
-    s = context(spark, sf).split
-    parts = [t.join(s.filter(F.col("split") == nm).select("person_id"), "person_id", "left_semi")
-             .withColumn("split", F.lit(nm)) for nm in ("train", "val", "test")]   # C4
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("split").agg(F.countDistinct("person_id").alias("users"),
+    # C4: rows were joined to their entity's split once, when the stage was written
+    return context(spark, sf).split_transitions.groupBy("split").agg(F.countDistinct("person_id").alias("users"),
                                   F.count(F.lit(1)).alias("transitions"))
 
 
@@ -663,7 +721,7 @@ def q_label_disagreements(spark, sf):
 from trailmark.operators import rerank  # noqa: E402
 
 _FEATURE_SQL = {
-    "f_cos": "coalesce(list_dot_product(ce.e, ke.e) / (ce.nrm * ke.nrm), 0.0e0)",
+    "f_cos": "coalesce(sc.cosine, 0.0e0)",
     "f_log_global": "ln(c.g + 1e-9)",
     "f_log_recency": "ln(c.r + 1e-9)",
     "f_log_second": "ln(c.s + 1e-9)",
@@ -683,6 +741,20 @@ _FEATURE_SQL = {
 assert list(_FEATURE_SQL) == rerank.FEATURES
 
 
+_MD5_TOKEN = "cast(cast('0x' || substr(md5(token), 1, 7) as bigint) % 384 as integer)"
+CTES["stx"] = (("sp",), f"""select idx, lower(state || ' [SEP] ' || state || ' ' || {_MAJOR_SQL}) as low from sp""")
+CTES["sbk"] = (("stx",), f"""select idx, {_MD5_TOKEN} as bucket,
+      sum(case when substr(md5(token), 8, 1) < '8' then 1 else -1 end) as w
+    from (select idx, unnest(list_concat(
+            list_filter(regexp_split_to_array(low, '\\s+'), lambda w: w <> ''),
+            list_transform(range(1, length(low) - 1), lambda i: substr(low, i, 3)))) as token from stx)
+    group by idx, 2""")
+CTES["scos"] = (("sbk",), """select a.idx as ci, b.idx as ki, sum(a.w * b.w) / (any_value(a.nrm) * any_value(b.nrm)) as cosine
+    from (select *, sqrt(sum(w * w * 1.0e0) over (partition by idx)) as nrm from sbk) a
+    join (select *, sqrt(sum(w * w * 1.0e0) over (partition by idx)) as nrm from sbk) b on a.bucket = b.bucket
+    group by a.idx, b.idx""")
+
+
 def _score_sql(zero=()) -> str:
     terms = [f"{float(w)!r}e0 * {f}" for i, (w, f) in
              enumerate(zip(rerank.FIXED_WEIGHTS, rerank.FEATURES)) if i not in zero and w != 0.0]
@@ -694,9 +766,6 @@ RR_CTES = SCORED_CTES + f""",
               cast(least(greatest(ly - fy, 0), 50) as double) as span, cast(pos as double) as npt
             from (select *, min(yr) over (partition by person_id) as fy,
                          max(yr) over (partition by person_id) as ly from tr)),
-    semb as (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
-               sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
-             from embeddings),
     inc as (select nxt_idx as cand_idx, avg(p) as pin from gmt group by nxt_idx),
     cand as (select a.person_id, a.pos, a.cur_idx, a.nxt_idx, r.j as cand_idx, cast(r.rk - 1 as integer) as rank,
                r.g, r.r, r.s, r.h, r.p
@@ -708,13 +777,13 @@ RR_CTES = SCORED_CTES + f""",
         {", ".join(f"{v} as {k}" for k, v in _FEATURE_SQL.items())}
       from cand c join sp cs on cs.idx = c.cur_idx join sp ks on ks.idx = c.cand_idx
       join inc i on i.cand_idx = c.cand_idx
-      left join semb ce on ce.state_idx = c.cur_idx left join semb ke on ke.state_idx = c.cand_idx
+      left join scos sc on sc.ci = c.cur_idx and sc.ki = c.cand_idx
       left join tmp t on t.person_id = c.person_id and t.pos = c.pos),
     rr as (select *, cast(row_number() over (partition by person_id, pos order by score desc, rank) - 1 as integer)
              as new_rank
            from (select *, {_score_sql()} as score from feats))"""
 
-_RR_NEEDS = ("cells", "sr", "annp", "tr", "gmt", "sp")
+_RR_NEEDS = ("cells", "sr", "annp", "tr", "gmt", "sp", "scos")
 
 
 def _rr_sql(final: str) -> str:
@@ -725,15 +794,9 @@ def _test_feats(spark, sf):
     return context(spark, sf).candidate_features("test")
 
 
-@query("pairwise_cosine", sql("""select c.state as cur, n.state as nxt,
-      """ + R("coalesce(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 0.0e0)") + """ as cosine
+@query("pairwise_cosine", sql("""select p.cur, p.nxt, """ + R("coalesce(s.cosine, 0.0e0)") + """ as cosine
     from (select distinct cur, nxt from tr) p join sp c on c.state = p.cur join sp n on n.state = p.nxt
-    left join (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
-                 sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
-               from embeddings) a on a.state_idx = c.idx
-    left join (select cast(vec_id as integer) as state_idx, cast(embedding as double[]) as e,
-                 sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as nrm
-               from embeddings) b on b.state_idx = n.idx""", "tr", "sp"))
+    left join scos s on s.ci = c.idx and s.ki = n.idx""", "tr", "sp", "scos"))
 def q_pairwise_cosine(spark, sf):
     """J2 on observed state pairs: cosine of the two state embeddings."""
     ctx = context(spark, sf)
@@ -828,7 +891,6 @@ def q_win_margin(spark, sf):
 
 # --------------------------------------------------------------- phase 8: classification metrics, model pieces
 
-from trailmark.operators import classify  # noqa: E402
 from trailmark.sources import stages  # noqa: E402
 
 _GUESS_COL = f"coalesce({_GUESS}, 'none')"
@@ -908,12 +970,12 @@ def q_ensemble_prob(spark, sf):
       select archetype, dominant_sector, n_users,
              cast(row_number() over (partition by archetype order by n_users desc, dominant_sector) as integer) as rank
       from (select m.archetype, d.dominant_sector, count(*) as n_users
-            from smap m join dom d on d.person_id = m.person_id group by m.archetype, d.dominant_sector))
-    where rank <= 3""", "smap", "dom"))
+            from smapa m join dom d on d.person_id = m.person_id group by m.archetype, d.dominant_sector))
+    where rank <= 3""", "smapa", "dom"))
 def q_segment_breakdown(spark, sf):
     ctx = context(spark, sf)
     dom = drift.dominant_state(ctx.coded_events)
-    c = ctx.components.seg_map.join(dom, "person_id").groupBy("archetype", "dominant_sector") \
+    c = _scatter(spark, sf).select("person_id", "archetype").join(dom, "person_id").groupBy("archetype", "dominant_sector") \
         .agg(F.count(F.lit(1)).alias("n_users"))
     return reports.top_n_per_group(c, ["archetype"], "n_users", ["dominant_sector"], 3) \
         .select("archetype", "dominant_sector", "n_users", "rank")
@@ -927,8 +989,8 @@ from trailmark.operators import profiles  # noqa: E402
 _MODELS: dict = {}
 
 
-def _model(spark, sf, name, build):
-    key = (spark.sparkContext.applicationId, sf, name)
+def _model(ctx, name, build):
+    key = (ctx.spark.sparkContext.applicationId, ctx.sf_dir, ctx.fingerprint, name)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
@@ -945,13 +1007,13 @@ def q_drift_clusters(spark, sf):
 @query("pca_explained")
 def q_pca_explained(spark, sf):
     ctx = context(spark, sf)
-    return _model(spark, sf, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[0]
+    return _model(ctx, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[0]
 
 
 @query("pca_coordinates")
 def q_pca_coordinates(spark, sf):
     ctx = context(spark, sf)
-    return _model(spark, sf, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[1]
+    return _model(ctx, "pca", lambda: profiles.pca(ctx.transitions, ctx.space))[1]
 
 
 def _doc_split(spark, sf):
@@ -964,9 +1026,9 @@ def _doc_model(spark, sf):
     def build():
         s = _doc_split(spark, sf)
         w = classify.class_weights(s.filter("split = 'train'"), "lang").select("lang", "weight")
-        train = s.filter("split = 'train'").join(F.broadcast(w), "lang")   # one row per class
+        train = s.filter("split = 'train'").join(w, "lang")   # one row per class; AQE picks the join
         return classify.train_classifier(train, "text", "lang", weight="weight")
-    return _model(spark, sf, "doc_classifier", build)
+    return _model(context(spark, sf), f"doc_classifier-{stages.input_signature(spark, [os.path.join(sf, 'documents.parquet')])}", build)
 
 
 def _doc_scores(spark, sf):
@@ -977,7 +1039,22 @@ def _doc_scores(spark, sf):
 def q_doc_embeddings(spark, sf):
     """One unit-length vector per document."""
     d = tables.table(spark, sf, "documents").select("doc_id", "text")
-    return classify.hashed_embedding(d, "text").select("doc_id", "embedding")
+    return classify.hashed_embedding(d, "text", "doc_id")
+
+
+_TOKENS_SQL = """select {key}, unnest(list_concat(
+        list_filter(regexp_split_to_array({low}, '\\s+'), lambda w: w <> ''),
+        list_transform(range(1, length({low}) - 1), lambda i: substr({low}, i, 3)))) as token"""
+_BUCKET_SQL = """cast(cast('0x' || substr(md5(token), 1, 7) as bigint) % 384 as integer) as bucket,
+        sum(case when substr(md5(token), 8, 1) < '8' then 1 else -1 end) as w"""
+
+
+@query("doc_bucket_sums", f"""select doc_id, bucket, cast(w as bigint) as w from (
+      select doc_id, {_BUCKET_SQL} from ({_TOKENS_SQL.format(key='doc_id', low="lower(coalesce(text, ''))")} from documents)
+      group by doc_id, 2) where w <> 0""")
+def q_doc_bucket_sums(spark, sf):
+    """I1 in integers: signed token counts per document and bucket."""
+    return classify.bucket_sums(tables.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("classifier_report")
@@ -1007,7 +1084,7 @@ def _learned(spark, sf):
     """Logistic scorer on the training rows' candidates (true next
     forced in), regularisation chosen on validation top-1."""
     ctx = context(spark, sf)
-    return _model(spark, sf, "rerank_scorer", lambda: rerank.train_scorer(
+    return _model(ctx, "rerank_scorer", lambda: rerank.train_scorer(
         ctx.candidate_features("train"), ctx.candidate_features("val")))
 
 
@@ -1034,33 +1111,107 @@ def q_state_text_embeddings(spark, sf):
     """Embedding per state from ``state [SEP] display name`` (hashing
     encoder, unit length)."""
     ctx = context(spark, sf)
-    names = ctx.space.select("state", "idx", F.concat_ws(" ", "state", major_group("state")).alias("name"))
-    e = rerank.state_embeddings_from_text(names, lambda df, col: classify.hashed_embedding(df, col))
-    return e.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx") \
+    return ctx.state_embeddings.join(ctx.space.select(F.col("idx").alias("state_idx"), "state"), "state_idx") \
             .select("state", "state_idx", "emb")
 
 
 def _scatter(spark, sf):
+    """Every entity of the drift table with its segment (H3 stand-in, H4)."""
     ctx = context(spark, sf)
-    return ensemble.annotate_segment(ctx.risk, ctx.components.seg_map)
+    clustered = ctx._stage("clustered", lambda: segments.quantile_segments(ctx.risk))
+    names = drift.archetype_names(drift.cluster_summary(clustered)).select("cluster", "archetype")
+    return clustered.join(names, "cluster")
 
 
-_SCATTER_SQL = """select r.person_id, r.drift_score, r.seq_length, coalesce(m.archetype, 'Stable Specialist') as archetype
-    from risk r left join smap m on m.person_id = r.person_id"""
+_SCATTER_SQL = "select person_id, drift_score, seq_length, archetype from smapa"
 
 
 @query("user_scatter", sql(f"""select person_id, {R('drift_score')} as drift_score, seq_length, archetype
-    from ({_SCATTER_SQL})""", "risk", "smap"))
+    from ({_SCATTER_SQL})""", "smapa"))
 def q_user_scatter(spark, sf):
-    """K7: drift x sequence length per entity with its segment (default
-    segment for entities outside the training segments)."""
+    """K7: drift x sequence length per entity with its segment."""
     return _scatter(spark, sf).select("person_id", r6("drift_score").alias("drift_score"), "seq_length", "archetype")
 
 
 @query("segment_centroids", sql(f"""select archetype, count(*) as n_users, {R('avg(drift_score)')} as mean_drift,
-      {R('avg(seq_length)')} as mean_length from ({_SCATTER_SQL}) group by archetype""", "risk", "smap"))
+      {R('avg(seq_length)')} as mean_length from ({_SCATTER_SQL}) group by archetype""", "smapa"))
 def q_segment_centroids(spark, sf):
     """K7: centroid per segment."""
     return _scatter(spark, sf).groupBy("archetype").agg(
         F.count(F.lit(1)).alias("n_users"), r6(F.avg("drift_score")).alias("mean_drift"),
         r6(F.avg("seq_length")).alias("mean_length"))
+
+
+# --------------------------------------------------------------- closing reports and sinks
+
+
+@query("rerank_improvement", f"""select metric, before, after, {R('(after - before) * 100.0e0', 4)} as points from (
+      select metric, max(case when ranking = 'ensemble' then v end) as before, max(case when ranking = 'rerank' then v end) as after
+      from (unpivot (select ranking, top_1, top_3, top_5 from ({ORACLE['rerank_eval']})) on top_1, top_3, top_5 into name metric value v)
+      group by metric)""")
+def q_rerank_improvement(spark, sf):
+    """J11 + J15: hit rates before and after, gain in points."""
+    return rerank.improvement(q_rerank_eval(spark, sf)).withColumn("points", round_to("points", 4))
+
+
+@query("rerank_ablation_report", f"""select feature_group, top1_with_all, top1_zeroed_out, top1_drop,
+      {R('top1_drop / top1_with_all * 100.0e0', 4)} as relative_drop_pct,
+      cast(row_number() over (order by top1_drop desc, feature_group) as integer) as rank from ({ORACLE['rerank_ablation']})""")
+def q_rerank_ablation_report(spark, sf):
+    """J12 with the relative drop, ordered by drop."""
+    a = rerank.ablation_report(q_rerank_ablation(spark, sf))
+    return a.withColumn("relative_drop_pct", round_to("relative_drop_pct", 4))
+
+
+@query("win_margin_summary", f"""select count(*) as n_rows, {R('avg(win_prob)')} as mean_win_prob, {R('avg(margin)')} as mean_margin,
+      {R('quantile_cont(win_prob, 0.5)')} as median_win_prob from ({ORACLE['win_margin']})""")
+def q_win_margin_summary(spark, sf):
+    """J13."""
+    w = rerank.margin_summary(q_win_margin(spark, sf))
+    return w.select("n_rows", *[r6(c).alias(c) for c in ("mean_win_prob", "mean_margin", "median_win_prob")])
+
+
+def _top_rules_by(name: str, by: str) -> None:
+    @query(name, sql(f"""select antecedent, consequent, support, confidence, lift, pair_count from ({RULES_SQL})
+        where antecedent <> consequent order by {by} desc, antecedent, consequent limit 15""", "tr"))
+    def q(spark, sf):
+        """H6: the 15 best rules between different states by one measure."""
+        r = rules.top_rules(rules.association_rules(context(spark, sf).transitions), 15, by=by)
+        return r.select("antecedent", "consequent", "support", "confidence", "lift", "pair_count")
+
+
+_top_rules_by("top_rules_by_confidence", "confidence")
+_top_rules_by("top_rules_by_support", "support")
+
+
+@query("drift_export", sql(f"""select person_id, {R('drift_score')} as drift_score, total_transitions, seq_length from risk""", "risk"))
+def q_drift_export(spark, sf):
+    """A3 + F9: the whole drift table written as CSV, ordered by drift, and read back."""
+    ctx = context(spark, sf)
+    path = ctx.stage_path("exports/drift_csv")
+    out = ctx.risk.select("person_id", r6("drift_score").alias("drift_score"), "total_transitions", "seq_length")
+    stages.write_csv(out.orderBy(F.desc("drift_score"), "person_id"), path)
+    return stages.read_csv(spark, path, out.schema)
+
+
+@query("metrics_json", ORACLE["clean_report"])
+def q_metrics_json(spark, sf):
+    """A4: the drop report written as JSON and read back."""
+    ctx = context(spark, sf)
+    path = ctx.stage_path("exports/metrics_json")
+    out = clean.clean_report(ctx.raw)
+    stages.write_metrics(out, path)
+    return spark.read.schema(out.schema).json(path)
+
+
+# A long ordered rule table over codes (two-digit groups, then one-digit ones, then the rest)
+CODE_RULES = [(f"group {n}", f"^{n}") for n in range(10, 100)] + [(f"major {n}", f"^{n}") for n in range(10)] + [("other", ".")]
+
+
+@query("code_rules", sql(f"""select label, count(*) as n from (
+      select {_case_sql("coalesce(matched_code, '')", CODE_RULES, 'none')} as label from ev) group by label""", "ev"))
+def q_code_rules(spark, sf):
+    """B17."""
+    e = context(spark, sf).events
+    return e.select(rulesets.first_match(F.coalesce("matched_code", F.lit("")), CODE_RULES, "none").alias("label")) \
+            .groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -2,75 +2,64 @@
 
 ``JourneyContext`` wires the operators the way the batch pipeline runs them:
 events -> labels -> transitions -> state space -> self rates -> matrices.
-Stage frames that several queries read (events, transitions) are persisted
-(MEMORY_AND_DISK: lost blocks are recomputed from lineage); everything else
-stays a lazy plan.
+Frames that several queries read (raw and cleaned events, transitions, drift
+table, model pieces) are stage tables; everything else stays a lazy plan.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import os
 
+from trailmark.functions.exprs import major_group
 from trailmark.operators import clean, drift, labels, markov, transitions
 from trailmark.session import stage_root
 from trailmark.sources import stages, tables
 
+# An event is one (person, label, date) after deduplication.
+EVENT_KEY = ("person_id", "matched_label", "start_date")
 FIXTURE_TABLES = ("lineitem", "orders", "part", "customer")
 
 _CONTEXTS: dict = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> "JourneyContext":
-    key = (spark.sparkContext.applicationId, sf_dir)
-    ctx = _CONTEXTS.get(key)
-    if ctx is None:
-        ctx = _CONTEXTS[key] = JourneyContext(spark, sf_dir)
-    return ctx
+    ctx = JourneyContext(spark, sf_dir)
+    # changed input files give another context, also within a session
+    return _CONTEXTS.setdefault((spark.sparkContext.applicationId, sf_dir, ctx.fingerprint), ctx)
 
 
 def reset_contexts() -> None:
-    for ctx in _CONTEXTS.values():
-        ctx.release()
     _CONTEXTS.clear()
 
 
 class JourneyContext:
     """Stages of the job-journey fixture over the driver tables of one scale."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True, space_from: str = "all"):
+    def __init__(self, spark: SparkSession, sf_dir: str, space_from: str = "all",
+                 scorer_rows: int = 150_000):
         """``space_from``: "all" builds the model's state space and self-loop
         rates from every transition, test included, as the batch program does;
         "train" uses the training transitions only (evaluation rows with a
-        state outside that space then drop, C5)."""
+        state outside that space then drop, C5). ``scorer_rows`` bounds the
+        sample of labelled training rows on which the learned reranker is
+        fitted (validation and test rows are never sampled)."""
         if space_from not in ("all", "train"):
             raise ValueError("space_from must be 'all' or 'train'")
         self.space_from = space_from
+        self.scorer_rows = scorer_rows
         self.spark = spark
         self.sf_dir = sf_dir
-        self._persist = persist
-        self._held: list[DataFrame] = []
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        if self._persist:
-            df = df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._held.append(df)
-        return df
-
-    def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
 
     # --- inputs -----------------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
-        return tables.job_events(self.spark, self.sf_dir)
+        """The joined input events; a stage table."""
+        return self._stage("raw", lambda: tables.job_events(self.spark, self.sf_dir))
 
     @cached_property
     def fingerprint(self) -> str:
@@ -125,7 +114,11 @@ class JourneyContext:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return drift.drift_scores(self.logprob, self.coded_events)
+        return self._stage("risk", lambda: drift.drift_scores(self.logprob, self.coded_events))
+
+    def merged_events(self, scored: DataFrame, threshold: float) -> DataFrame:
+        """Coded events and uncoded ones labelled by ``scored``."""
+        return labels.merge_fallback(self.events, scored, EVENT_KEY, threshold)
 
     # --- split and ensemble (train-only components) ----------------------
     window_size = 2      # the fixture spans 7 years
@@ -170,9 +163,9 @@ class JourneyContext:
     def components(self):
         from trailmark.operators import ensemble
         tag = self.ens_tag
-        return ensemble.build_components(
+        return ensemble.Components(
             self.part("train"), self.model_space, self.model_rates, window_size=self.window_size, seed=self.seed,
-            keep=lambda name, df: self._stage(f"{tag}/{name}", lambda: df))
+            keep=lambda name, build: self._stage(f"{tag}/{name}", build))
 
     def annotated(self, name: str) -> DataFrame:
         from trailmark.operators import ensemble
@@ -182,35 +175,34 @@ class JourneyContext:
     def weights(self) -> DataFrame:
         from trailmark.operators import ensemble
         return self._stage(f"{self.ens_tag}/weights", lambda: ensemble.tune_weights(
-            self.annotated("val"), self.components, self.model_rates, self.seed))
+            self.annotated("val"), self.components, self.model_rates))
 
     # --- rerank data path (J2-J13) ----------------------------------------
     @cached_property
     def state_embeddings(self) -> DataFrame:
-        """Unit-length embedding per state index (embeddings.vec_id = index)."""
-        from trailmark.operators import rerank
-        return rerank.state_embeddings_from_table(self.model_space,
-                                                  tables.table(self.spark, self.sf_dir, "embeddings"))
+        """Unit-length vector per state index from the state's text."""
+        from trailmark.operators import classify, rerank
+        names = self.model_space.select("state", "idx", F.concat_ws(" ", "state", major_group("state")).alias("name"))
+        return self._stage(f"{self.ens_tag}/state-vectors", lambda: rerank.state_embeddings_from_text(
+            names, lambda df, col: classify.hashed_embedding(df, col, "state_idx")))
 
     def candidate_features(self, name: str) -> DataFrame:
         """(row, candidate) features of one split; a stage table. Training
         rows get the true next forced into the list, evaluation rows do not."""
         from trailmark.operators import rerank
-        emb_sig = stages.input_signature(self.spark, [os.path.join(self.sf_dir, "embeddings.parquet")])
-        tag = f"{self.ens_tag}/cand-{name}-{emb_sig}"
+        tag = f"{self.ens_tag}/cand-{name}-{self.scorer_rows}"
 
         def build():
             return rerank.candidate_features(lists(), self.components, self.state_embeddings,
-                                             transitions.temporal_features(self.transitions))
+                                             transitions.entity_years(self.transitions))
 
         def lists():
             # Written once: the feature plan reads the lists in two branches
             # (rows and state pairs) and would score the contexts again.
             def build_lists():
                 rows = self.annotated(name)
-                if name in ("train", "val"):
-                    cap = rerank.TRAIN_CAP if name == "train" else rerank.VAL_CAP
-                    rows = rerank.capped_rows(rows, cap, self.seed)
+                if name == "train":
+                    rows = rerank.capped_rows(rows, self.scorer_rows, self.seed)
                 return rerank.candidate_lists(rows, self.components, self.weights, force_true=(name == "train"))
             return self._stage(f"{tag}-lists", build_lists)
         return self._stage(tag, build)

@@ -162,6 +162,30 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                      quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
               from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len from clu group by cluster))"""),
     "smap": (("clu", "csum"), "select c.person_id, s.archetype from clu c join csum s on s.cluster = c.cluster"),
+    # segments of every entity of the drift table
+    "clua": (("risk",), """select r.*, cast((drift_score > q0)::int + (drift_score > q1)::int + (drift_score > q2)::int
+          + (drift_score > q3)::int as integer) as cluster
+        from risk r, (select quantile_cont(drift_score, 0.2) as q0, quantile_cont(drift_score, 0.4) as q1,
+                             quantile_cont(drift_score, 0.6) as q2, quantile_cont(drift_score, 0.8) as q3 from risk)"""),
+    "csua": (("clua",), """select s.*, case when mean_drift > q80 and mean_loop < 0.3 then 'Career Switcher'
+          when mean_drift < q20 and mean_loop > 0.5 then 'Sector Loyalist'
+          when mean_len > q75 then 'Career Veteran'
+          when mean_drift > q50 then 'Gradual Mover' else 'Stable Specialist' end as archetype
+        from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len,
+                     avg(self_loop_rate) as mean_loop from clua group by cluster) s,
+             (select quantile_cont(mean_drift, 0.8) as q80, quantile_cont(mean_drift, 0.2) as q20,
+                     quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
+              from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len from clua group by cluster))"""),
+    "smapa": (("clua", "csua"), "select c.*, s.archetype from clua c join csua s on s.cluster = c.cluster"),
+    # uncoded events with a score made in SQL, and the labels merged through the gate
+    "scu": (("ev",), """select person_id, matched_label, start_date,
+          cast(100 + (length(matched_label) * 7) % 800 as varchar) as predicted,
+          (length(combined_text) * 37 % 101) / 100.0e0 as confidence from ev where needs_nlp"""),
+    "mrg": (("ev", "scu"), """select person_id, matched_label, start_date, yr, needs_nlp, occupation_group,
+          occupation_group as state, 'code' as label_source from ev where not needs_nlp
+        union all select e.person_id, e.matched_label, e.start_date, e.yr, e.needs_nlp, e.occupation_group, s.predicted, 'model'
+        from ev e join scu s on s.person_id = e.person_id and s.matched_label = e.matched_label and s.start_date = e.start_date
+        where e.needs_nlp and s.confidence >= 0.35"""),
     "tra": (("trn", "smap", "csum"), """select t.*, coalesce(m.archetype, 'Stable Specialist') as archetype
         from trn t left join smap m on m.person_id = t.person_id
         where coalesce(m.archetype, 'Stable Specialist') in (select archetype from csum)"""),
