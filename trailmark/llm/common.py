@@ -7,6 +7,7 @@ import os
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,21 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows: whole texts travel in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that few texts are
+    Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the column as text, modulo n (null: null)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import crc_mod, materialize, text_slices
+from trailmark.llm.common import bounded_batches, crc_mod, materialize, small_parts, text_slices
 
 #: Language counts of at most so many rows are broadcast.
 BROADCAST_ROWS = 10_000
 LETTERS = re.compile(r"[^\W\d_]+")
 LONG = 64
 #: Distinct words whose counts a task remembers before it starts anew (memory only).
-REMEMBERED = 200_000
-SLICE_CHARS = 1_000_000
+REMEMBERED = 100_000
+SLICE_CHARS = 400_000
 #: Weight of a bit per letter in the score.
 SHARPNESS = 8.0
 
@@ -81,11 +81,20 @@ def suffix_automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[np.ndarray]]:
-    """Alphabet (column 0: letters that no language knows) and one automaton per
-    text; built once in a Python worker, so that only the texts are shipped."""
+def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Alphabet of all texts (0: a letter that no language knows), and per text
+    the column of each letter (0: not in this text) and the automaton over the
+    text's own letters; built once in a Python worker, so that only the texts are
+    shipped."""
     alphabet = {c: i + 1 for i, c in enumerate(sorted(set("".join(texts))))}
-    return alphabet, [suffix_automaton(t, alphabet) for t in texts]
+    out = []
+    for t in texts:
+        own = {c: i + 1 for i, c in enumerate(sorted(set(t)))}
+        column = np.zeros(len(alphabet) + 1, np.int16)
+        for c, i in own.items():
+            column[alphabet[c]] = i
+        out.append((column, suffix_automaton(t, own)))
+    return alphabet, out
 
 
 class CrossParser:
@@ -124,13 +133,14 @@ class CrossParser:
         codes[np.arange(width)[None, :] < sorted_lens[:, None]] = flat
         out = np.zeros((len(words), len(self.langs)), dtype=np.int32)
         live = [int(np.searchsorted(-sorted_lens, -j, side="left")) for j in range(width)]
-        for k, table in enumerate(tables):
+        for k, (column, table) in enumerate(tables):
             root = table[0]
+            own = column[codes]
             state = np.zeros(len(words), dtype=np.int32)
             phrases = np.zeros(len(words), dtype=np.int32)
             for j in range(width):
                 n = live[j]
-                c = codes[:n, j]
+                c = own[:n, j]
                 s = state[:n]
                 t = table[s, c]
                 stuck = np.flatnonzero(t < 0)
@@ -211,7 +221,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "n": pa.array(list(seen.values()), pa.int64())})
 
 
-def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 60_000, seed: int = 11) -> CrossParser:
+def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 40_000, seed: int = 11) -> CrossParser:
     """Learn from the (text, lang) of ``docs``. What reaches the driver is
     bounded by ``max_chars`` letters of distinct words per language."""
     rows = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"),
@@ -238,13 +248,14 @@ def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 60_000, seed:
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
     """doc_id, lang_pred and score of every row, from the text alone."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         seen = WordCounts(model)
         names = np.array([*model.langs, "und"], dtype=object)
-        for b in batches:
+        for b in small_parts(batches):
             best, share = verdicts(model, *phrase_totals(b.column("text").to_pylist(), seen))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(share)],
                                              names=["doc_id", "lang_pred", "score"])
@@ -266,11 +277,12 @@ def predict_languages(docs: DataFrame, **training) -> DataFrame:
 def keep_identified(docs: DataFrame, **training) -> DataFrame:
     """The rows (all columns) in whose text a language is found; learns like
     ``predict_languages``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(docs)), **training))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordCounts(shared.value)
-        for b in batches:
+        for b in small_parts(batches):
             best, _ = verdicts(shared.value, *phrase_totals(b.column("text").to_pylist(), seen))
             yield b.filter(pa.array(best >= 0))
 
