@@ -75,6 +75,40 @@ def test_repeated_runs_of_a_host_are_removed(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def contained_pages():
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    notice = "sign up here for our weekly letter and never miss a story again"
+    rows, want = [], {}
+    for i in range(12):
+        own = [words(30), words(25)]
+        tag = ("article", "main")[i % 2]
+        rows.append((i, "https://a.org/%d" % i, f"<{tag}><p>{own[0]}<div class=box>{notice}</div><p>{own[1]}</{tag}>"))
+        want[i] = "\n".join(own)
+    # near copies: their own text, headings too, is one version
+    body = [words(3), words(40), words(50)]
+    for i in range(20, 24):
+        mine = [*body[:2], body[2] + " " + words(2)]
+        rows.append((i, f"https://a.org/{i}", f"<article><h2>{mine[0]}</h2><p>{mine[1]}<p>{notice}<p>{mine[2]}</article>"))
+        want[i] = "\n".join(mine)
+    # the teaser of an article in another page's menu
+    rows.append((30, "https://a.org/30", f"<nav><p>{want[0].splitlines()[0]}</nav><article><p>{words(30)}</article>"))
+    # a small element named like a container beside the body
+    own = [words(5), words(60)]
+    rows.append((40, "https://a.org/40", f"<div class=story><p>{own[0]}</div><div><p>{own[1]}</div>"))
+    want[40] = "\n".join(own)
+    return rows, want
+
+
+@pytest.mark.parametrize("broadcast_rows", [html_text.BROADCAST_ROWS, 0])
+def test_repeated_runs_inside_containers_are_removed(spark, broadcast_rows):
+    rows, want = contained_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract(pages, broadcast_rows).collect()}
+    assert len(got) == len(rows)
+    assert {i: got[i] for i in want} == want
+
+
 # ---------------------------------------------------------------- archive
 
 def test_archive_round_trip(spark, scratch):

@@ -5,18 +5,23 @@ what the markup says about them: part of an article container (``MAIN``), part
 of a menu, footer, advert, form, comment section and the like (``HINTED``), or
 neither (``NEUTRAL``). Scripts, styles, the head and hidden elements are no text.
 
-The blocks outside article containers of all pages of a host, as streams of
-tokens, make the host's suffix array: every suffix that starts in a block, cut at
-``RUN`` tokens or the block's end. The array is a distributed table; suffixes
-with equal cut prefixes are neighbours in it, and a run that starts suffixes of
-at least two distinct pages is a repeated one (pages with equal text count once,
-so a copied page does not make its own text boilerplate). Equal suffixes are
-pre-aggregated before the shuffle; a host with a third of all pages is no group.
-
-A page's text is its article container's blocks; without such a container it is
-its neutral blocks that are not covered (by half or more of their tokens) by
-repeated runs. If repeats cover most of such a page, it is a near copy of
-others: then only covered blocks of fewer than ``SHORT`` words go.
+The blocks of all pages of a host, as streams of tokens, make the host's suffix
+array: every suffix that starts in a block, cut at ``RUN`` tokens or the block's
+end. The array is a distributed table, dealt out by key; suffixes with equal cut
+prefixes are neighbours in it, and a run that starts suffixes of at least two
+distinct pages is a repeated one. Blocks inside containers are compared among
+themselves and the others among themselves, so that the teaser of an article in
+another page's menu does not make the article's own words repeated ones. Equal
+suffixes are pre-aggregated before the shuffle; a host with a third of all pages is
+no group. Pages whose main text is equal or nearly equal (shared bands of minhashes
+of its word pairs and near sketches, linked to components) count as one version, so
+a copied page does not make its own text boilerplate.
+
+A page's text is its article container's blocks, or container and neutral blocks if
+more unrepeated words are outside the container than in it; without a container it
+is its neutral blocks. Blocks covered (by half or more of their tokens) by repeated
+runs go. If repeats cover most of such a page, it is a near copy of others: then
+only covered blocks of fewer than ``SHORT`` words go.
 
 Defined cases: null or empty html has the empty text; repeated rows are repeated;
 markup that never ends is dropped to the end of the page; a null url is a host of
@@ -25,19 +30,32 @@ its own; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import materialize
+from trailmark.llm import near_text
+from trailmark.llm.common import components, materialize
 
 RUN = 8
 SHORT = 10
+#: Bands of minhashes by which nearly equal main texts meet, and the sketch bits (of 64) that may differ.
+BANDS = 10
+BAND = 5
+SKETCH_ERRORS = 13
+#: Repeated runs, or linked versions, of at most so many rows are broadcast; beyond that they are joined.
+BROADCAST_ROWS = 4_000_000
+#: The array is dealt out in at least so many parts, and parts of about so many suffixes (memory only).
+PARTS = 4096
+PART_SUFFIXES = 500_000
+#: Letters of text worked on at once (memory only).
+SLICE_CHARS = 2_000_000
 MAIN, NEUTRAL, HINTED = 0, 1, 2
 
 # Element names of HTML, by their part here.
@@ -168,21 +186,41 @@ def host_of(url: str | None) -> str | None:
     return host[4:] if host.startswith("www.") else host
 
 
-def suffix_keys(text: str) -> list[int]:
-    """Keys of the suffixes of a block, cut at RUN tokens; a shorter block is one run."""
-    tokens = text.lower().split()
-    if len(tokens) < RUN:
-        return [_key(tokens + [""])]
-    return [_key(tokens[i:i + RUN]) for i in range(len(tokens) - RUN + 1)]
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _key(tokens: list[str]) -> int:
-    data = "\n".join(tokens).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) << 31) ^ (zlib.crc32(data[::-1]) & 0x7FFFFFFF)
+_PLACES = near_text.mixed(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
+_INSIDE = np.uint64(0xA24BAED4963EE407)
 
 
-READ = "row long, host string, version long, page_id long, url string, kinds array<int>, texts array<string>"
-SUFFIX = "row long, host string, version long, target boolean, block int, place int, key long"
+def suffix_keys(texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, place and key of the suffixes of the blocks, cut at RUN tokens; a
+    shorter block is one run. ``salts`` has a number per block."""
+    words, counts = near_text.word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+    counts = counts.astype(np.int64)
+    n = len(words)
+    padded = np.concatenate([words, np.zeros(RUN, np.uint64)])
+    starts = np.cumsum(counts) - counts
+    whole = np.zeros(n, np.uint64)
+    for j in range(RUN):
+        whole += padded[j:j + n] * _PLACES[j]
+    block = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(n) - starts[block]
+    full = place + RUN <= counts[block]
+    short = np.flatnonzero((counts > 0) & (counts < RUN))
+    part = near_text.mixed(counts[short].astype(np.uint64))
+    for j in range(RUN - 1):
+        part += np.where(j < counts[short], padded[starts[short] + j] * _PLACES[j], np.uint64(0))
+    block, place, keys = block[full], place[full], whole[full]
+    block, place = np.concatenate([block, short]), np.concatenate([place, np.zeros(len(short), np.int64)])
+    return block, place, near_text.mixed(np.concatenate([keys, part]) + salts[block])
+
+
+READ = "row long, host string, version long, n_words long, page_id long, url string, kinds array<int>, texts array<string>"
+PART = "part long, keys binary, versions binary"
+SUFFIX = "row long, block int, place int, key long"
+POSTING = "band long, version long, sketch long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,73 +228,205 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, b.num_rows, 500):
             part = b.slice(at, 500)
             found = [blocks(x.as_py() or "") for x in part.column("html")]
+            main = ["\n".join(t for k, t in x if k == MAIN) for x in found]
             urls = part.column("url").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array([host_of(u) for u in urls], pa.string()),
-                 pa.array([zlib.crc32("\n".join(t for _, t in x).encode("utf-8", "surrogatepass")) for x in found], pa.int64()),
+                 pa.array([_digest(m or "\n".join(t for _, t in x)) for x, m in zip(found, main, strict=True)], pa.int64()),
+                 pa.array([sum(t.count(" ") + 1 for _, t in x) for x in found], pa.int64()),
                  part.column("page_id"), part.column("url"), pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int32())),
                  pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))],
-                names=["row", "host", "version", "page_id", "url", "kinds", "texts"])
+                names=["row", "host", "version", "n_words", "page_id", "url", "kinds", "texts"])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes of the blocks outside article containers; ``target`` marks those
-    whose coverage decides."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_CHARS letters."""
     for b in batches:
-        for at in range(0, b.num_rows, 200):
-            part = b.slice(at, 200)
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for row, host, version, kinds, texts in zip(*(part.column(c).to_pylist() for c in ("row", "host", "version", "kinds", "texts")), strict=True):
-                contained = MAIN in kinds
-                for i, (kind, text) in enumerate(zip(kinds, texts, strict=True)):
-                    if kind != MAIN:
-                        for place, key in enumerate(suffix_keys(text)):
-                            for col, v in zip(cols, (row, host, version, kind == NEUTRAL and not contained, i, place, key), strict=True):
-                                col.append(v)
+        if not b.num_rows:
+            continue
+        sizes = np.array([sum(map(len, x)) for x in b.column("texts").to_pylist()], np.int64)
+        owner = (np.cumsum(sizes) - sizes) // SLICE_CHARS
+        edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for at, end in zip(edges, [*edges[1:], b.num_rows], strict=True):
+            yield b.slice(at, end - at)
+
+
+def _near_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands and sketch of the main text of each page with a container."""
+    for b in _slices(batches):
+        main = [" ".join(t for k, t in zip(kinds, texts, strict=True) if k == MAIN).encode("utf-8", "surrogatepass")
+                for kinds, texts in zip(b.column("kinds").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+        sets, sizes = near_text.shingles(*near_text.word_hashes(main))
+        some = sizes > 0
+        if not some.any():
+            continue
+        sig = near_text.signatures(sets, sizes[some])
+        _, sketch = near_text.posting_keys(sig)
+        hosts = np.array([_digest(x or "") for x in b.column("host").to_pylist()], np.int64)[some].view(np.uint64)
+        symbols = near_text.mixed((sig[:, :BANDS * BAND].astype(np.uint64) << np.uint64(8)) + np.arange(BANDS * BAND, dtype=np.uint64))
+        bands = near_text.mixed(symbols.reshape(-1, BANDS, BAND).sum(axis=2, dtype=np.uint64) + hosts[:, None])
+        versions = b.column("version").to_numpy()[some]
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(versions, BANDS)),
+                                          pa.array(np.repeat(sketch.view(np.int64), BANDS))], names=["band", "version", "sketch"])
+
+
+def near_versions(read: DataFrame) -> DataFrame:
+    """(node, root) of the versions that are linked with another one: every
+    version meets the first one of its bands."""
+    postings = read.filter(F.array_contains("kinds", MAIN)).select("host", "version", "kinds", "texts").mapInArrow(_near_postings, POSTING)
+    first = postings.groupBy("band").agg(F.min(F.struct("version", "sketch")).alias("first"))
+    met = postings.join(first, "band").filter("version <> first.version").filter(
+        F.bit_count(F.col("sketch").bitwiseXOR(F.col("first.sketch"))) <= SKETCH_ERRORS)
+    return components(met.select(F.col("first.version").alias("a"), F.col("version").alias("b")).distinct())
+
+
+def _page_suffixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Page (in the batch), block, kind, place and key of all suffixes of the batch."""
+    kinds = b.column("kinds").to_pylist()
+    hosts = np.array([_digest(x or "") for x in b.column("host").to_pylist()], np.int64).view(np.uint64)
+    page = np.repeat(np.arange(b.num_rows), [len(k) for k in kinds])
+    kind = np.array([x for k in kinds for x in k], np.int64)
+    block = np.array([i for k in kinds for i in range(len(k))], np.int64)
+    salts = hosts[page] + np.where(kind == MAIN, _INSIDE, np.uint64(0))
+    at, place, keys = suffix_keys([t for x in b.column("texts").to_pylist() for t in x], salts)
+    return page[at], block[at], kind[at], place, keys
+
+
+def _post(parts: int, linked):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct suffixes of a slice of pages by part of the array, each with
+        the least and the greatest version that has it."""
+        nodes, roots = linked.value if linked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for b in _slices(batches):
+            page, _, _, _, keys = _page_suffixes(b)
+            versions = b.column("version").to_numpy().copy()
+            if len(nodes):
+                at = np.minimum(np.searchsorted(nodes, versions), len(nodes) - 1)
+                versions = np.where(nodes[at] == versions, roots[at], versions)
+            marks = (near_text.mixed(versions.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)[page]
+            order = np.lexsort((marks, keys, keys % np.uint64(parts)))
+            keys, marks = keys[order], marks[order]
+            if not len(keys):
+                continue
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            last = np.r_[new[1:], True]
+            # of equal suffixes the first and the last stay, if they are of two versions
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            keep = new | last & (marks != marks[first])
+            keys, marks = keys[keep], marks[keep]
+            part = (keys % np.uint64(parts)).astype(np.int64)
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[edges[1:], len(part)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()),
-                 pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())],
-                names=["row", "host", "version", "target", "block", "place", "key"])
+                [pa.array(part[edges]), pa.array([keys[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary()),
+                 pa.array([marks[i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())],
+                names=["part", "keys", "versions"])
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part. Keys of the runs that several versions have."""
+    def found() -> pa.RecordBatch:
+        keys, marks = np.frombuffer(b"".join(held[0]), np.uint64), np.frombuffer(b"".join(held[1]), np.uint32)
+        order = np.lexsort((marks, keys))
+        keys, marks = keys[order], marks[order]
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(keys[1:][(keys[1:] == keys[:-1]) & (marks[1:] != marks[:-1])]).view(np.int64))],
+                                          names=["key"])
+
+    part, held = None, ([], [])
+    for b in batches:
+        for p, keys, versions in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("versions").to_pylist(), strict=True):
+            if p != part:
+                if held[0]:
+                    yield found()
+                part, held = p, ([], [])
+            held[0].append(keys)
+            held[1].append(versions)
+    if held[0]:
+        yield found()
+
+
+def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of the blocks whose coverage decides."""
+    for b in _slices(batches):
+        page, block, kind, place, keys = _page_suffixes(b)
+        own = kind != HINTED
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(b.column("row").to_numpy()[page[own]]), pa.array(block[own].astype(np.int32)), pa.array(place[own].astype(np.int32)),
+             pa.array(keys[own].view(np.int64))], names=["row", "block", "place", "key"])
 
 
 def chosen_text(kinds: list[int], texts: list[str], places: list[tuple[int, int]]) -> str:
     """The page's text, given where repeated runs start (block, place)."""
-    if MAIN in kinds:
-        return "\n".join(t for k, t in zip(kinds, texts, strict=True) if k == MAIN)
     covered: dict[int, set[int]] = {}
     for block, place in places:
         covered.setdefault(block, set()).update(range(place, place + RUN))
     sizes = [len(t.split()) for t in texts]
     hit = [sum(p < n for p in covered.get(i, ())) for i, n in enumerate(sizes)]
-    own = [i for i, k in enumerate(kinds) if k == NEUTRAL]
+    fresh = {kind: sum(sizes[i] - hit[i] for i, k in enumerate(kinds) if k == kind) for kind in (MAIN, NEUTRAL)}
+    if MAIN not in kinds:
+        own = [i for i, k in enumerate(kinds) if k == NEUTRAL]
+    elif fresh[NEUTRAL] > fresh[MAIN] > 0:  # a small element that is only named like a container
+        own = [i for i, k in enumerate(kinds) if k != HINTED]
+    else:
+        own = [i for i, k in enumerate(kinds) if k == MAIN]
     copy = 2 * sum(hit[i] for i in own) > sum(sizes[i] for i in own)
     return "\n".join(texts[i] for i in own if 2 * hit[i] < sizes[i] or copy and sizes[i] >= SHORT)
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [chosen_text(k, t, [(p["block"], p["place"]) for p in places or ()]) for k, t, places in zip(
-            *(b.column(c).to_pylist() for c in ("kinds", "texts", "places")), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
-                                          pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _rows_out(b: pa.RecordBatch, out: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
+                                       pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _rows_out(b, [chosen_text(k, t, [(p["block"], p["place"]) for p in places or ()]) for k, t, places in zip(
+            *(b.column(c).to_pylist() for c in ("kinds", "texts", "places")), strict=True)])
+
+
+def _look_up(repeated):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = repeated.value
+        for b in _slices(batches):
+            page, block, _, place, keys = _page_suffixes(b)
+            keys = keys.view(np.int64)
+            hit = np.zeros(len(keys), bool)
+            if len(known):
+                hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            places: dict[int, list[tuple[int, int]]] = {}
+            for p, i, x in zip(page[hit].tolist(), block[hit].tolist(), place[hit].tolist(), strict=True):
+                places.setdefault(p, []).append((i, x))
+            yield _rows_out(b, [chosen_text(k, t, places.get(p, [])) for p, (k, t) in enumerate(zip(
+                b.column("kinds").to_pylist(), b.column("texts").to_pylist(), strict=True))])
+    return run
+
+
+def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
     rows = rows.select(F.xxhash64("page_id", "url", "html").alias("row"), "page_id", "url", "html")
     read = materialize(rows.mapInArrow(_read, READ), "blocks")
-    array = read.select("row", "host", "version", "kinds", "texts").mapInArrow(_suffixes, SUFFIX)
-    host = F.coalesce(F.col("host"), F.lit("")).alias("host")
+    sc = pages.sparkSession.sparkContext
+    roots = near_versions(read)
+    linked = None
+    columns = ["row", "host", "version", "kinds", "texts"]
+    posted = read.select(*columns)
+    if roots.count() <= broadcast_rows:
+        table = roots.orderBy("node").toArrow()
+        linked = sc.broadcast((table["node"].to_numpy(), table["root"].to_numpy()))
+    else:
+        posted = posted.join(roots, F.col("version") == F.col("node"), "left") \
+                       .withColumn("version", F.coalesce("root", "version")).select(*columns)
+    parts = max(PARTS, (read.agg(F.sum("n_words")).first()[0] or 0) // PART_SUFFIXES)
+    array = posted.mapInArrow(_post(parts, linked), PART)
     # neighbours in the array with equal prefixes, from at least two distinct pages
-    repeated = array.groupBy(host, "key").agg(F.min("version").alias("lo"), F.max("version").alias("hi")).filter("lo <> hi")
-    targets = array.filter("target").select("row", host, "block", "place", "key")
-    places = targets.join(repeated.select("host", "key"), ["host", "key"]).groupBy("row").agg(
-        F.collect_set(F.struct("block", "place")).alias("places"))
-    # pages with an article container are decided by themselves; only the others meet the array
-    decided = F.array_contains("kinds", MAIN)
-    columns = ["page_id", "url", "kinds", "texts", "places"]
-    alone = read.filter(decided).withColumn("places", F.lit(None).cast(places.schema["places"].dataType)).select(*columns)
-    others = read.filter(~decided).join(places, "row", "left").select(*columns)
-    return alone.unionByName(others).mapInArrow(_choose, "page_id long, url string, text string, n_chars long")
+    repeated = materialize(array.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "key long"), "repeated")
+    result = "page_id long, url string, text string, n_chars long"
+    if repeated.count() <= broadcast_rows:
+        known = np.sort(repeated.toArrow()["key"].to_numpy())
+        return read.select("host", "page_id", "url", "kinds", "texts").mapInArrow(_look_up(sc.broadcast(known)), result)
+    targets = read.select(*columns).mapInArrow(_targets, SUFFIX)
+    places = targets.join(repeated, "key").groupBy("row").agg(F.collect_set(F.struct("block", "place")).alias("places"))
+    return read.join(places, "row", "left").select("page_id", "url", "kinds", "texts", "places").mapInArrow(_choose, result)
