@@ -167,6 +167,102 @@ def test_licence_forms_and_notices(spark):
     assert licenses.scan(docs_of(spark, texts).limit(0)).count() == 0
 
 
+APACHE_HEADER = """# Copyright 2019 Some Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GPL_HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+BSD_2 = """BSD 2-Clause License
+
+Copyright (c) 2021, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_3_CLAUSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+ZLIB = """Copyright (C) 1995 A and B
+
+This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+
+
+def test_standard_texts_headers_and_other_notices(spark):
+    apache = max((t for k, t in licenses.KNOWN if k == "Apache-2.0"), key=len)
+    texts = [APACHE_HEADER, GPL_HEADER, MPL_HEADER, BSD_2, BSD_2.replace("BSD 2-Clause License\n", "").replace("THIS SOFT", BSD_3_CLAUSE + "THIS SOFT", 1),
+             ZLIB, apache.upper().replace("[YYYY]", "2020"), "prose\n// SPDX-License-Identifier: MPL-2.0\nThis project is licensed under the MIT license.",
+             "Distributed under the terms of the BSD 3-Clause License", "Licensed under the moon.", ZLIB.replace("commercial", "no")]
+    got = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [g.license_id for g in got] == ["notice-Apache-2.0", "notice-GPL-3.0-or-later", "notice-MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "Zlib",
+                                           "Apache-2.0", None, "notice-BSD-3-Clause", None, None]
+    assert got[7].notices == ["notice-MIT", "notice-MPL-2.0"]
+    whole = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.KNOWN) if "License" in t and len(t) > 1000], "doc_id long, text string")
+    found = {r.doc_id: r.license_id for r in licenses.scan(whole).collect()}
+    assert found == {i: k for i, (k, t) in enumerate(licenses.KNOWN) if i in found} and len(found) == whole.count()
+
+
 def test_licence_table_is_a_parameter(spark):
     known = spark.createDataFrame([("b", "Some Terms"), ("a", "some, terms!"), ("none", "")], "license_id string, text string")
     got = licenses.scan(docs_of(spark, ["SOME TERMS", "other"]), known).orderBy("doc_id").collect()
