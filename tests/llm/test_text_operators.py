@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.llm import language_id as lid
 from trailmark.llm import licenses, near_text, toxicity
@@ -73,6 +74,23 @@ def test_cross_parse_equals_substring_search():
         assert parser.counts(asked)[:, k].tolist() == [greedy_phrases(w, text) for w in asked]
 
 
+def test_rare_or_mislabelled_language_leaves_the_others_their_words(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    first = d.filter("lang = 'en' and length(text) > 700").orderBy("doc_id").first().text
+    rare = [(10 ** 7 + 1, "the of and to", "rare", "s", 13), (10 ** 7 + 3, first[:600], "wrong", "s", 600),
+            (10 ** 7 + 4, "žluťoučký kůň úpěl ďábelské ódy příliš", "own", "s", 38)]
+    more = d.unionByName(spark.createDataFrame(rare, d.schema))  # none of them is held out
+    plain, parser = lid.train(d.filter(~lid.held_out(d))), lid.train(more.filter(~lid.held_out(more)))
+    assert len(parser.langs) == len(plain.langs) + 3
+    kept = dict(zip(parser.langs, parser.texts, strict=True))
+    assert [kept[x] for x in plain.langs] == list(plain.texts)
+    asked = d.unionByName(spark.createDataFrame([(10 ** 7 + 9, "kůň úpěl příliš žluťoučký ódy", None, "s", 30)], d.schema))
+    got = {r.doc_id: r.lang_pred for r in lid.identify(asked, parser).collect()}
+    assert got[10 ** 7 + 9] == "own"
+    want = {r.doc_id: r.lang for r in d.filter(lid.held_out(d) & F.col("lang").isNotNull()).select("doc_id", "lang").collect()}
+    assert sum(got[i] == x for i, x in want.items()) >= 0.99 * len(want)
+
+
 def test_language_of_held_out_rows(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     got = lid.predict_languages(d).join(d.select("doc_id", "lang"), "doc_id").toPandas()

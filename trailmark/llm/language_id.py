@@ -3,8 +3,9 @@
 Training keeps, per language, a suffix automaton of labelled text. A text is
 then cross-parsed with each automaton: it is cut greedily into the longest
 phrases that occur in the language's text. The number of phrases c, normalised
-as c * log2(n) / m bits per letter (n letters of training text, m of the parsed
-text), estimates the cross entropy; the language with the fewest wins.
+as c * log2(n + a) / m bits per letter (n letters of training text, m of the parsed
+text, a distinct letters of all languages: a phrase is a place in the text or a
+letter by itself), estimates the cross entropy; the language with the fewest wins.
 
 Text is lower-cased and read as words of letters, each with a blank on either
 side; phrases end at the word's end, so a word's phrase counts depend on the
@@ -13,7 +14,8 @@ word alone and each distinct word of a task is parsed once. Words of more than
 
 Training reads a bounded sample: at most ``train_docs`` labelled rows per
 language (the lowest seeded hashes), of which the most frequent distinct words
-are kept up to ``max_chars`` letters per language, as many for each language.
+are kept up to ``max_chars`` letters per language. A language with less text keeps
+what it has, and the others keep theirs.
 
 Defined cases: null text, or text without letters: ``und`` with score 0; no
 labelled rows: ``und`` for all; ties go to the first language in code point
@@ -98,12 +100,13 @@ def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[np.nda
 
 
 class CrossParser:
-    """The training texts; ``counts(words)`` gives phrases per word and language."""
+    """The training texts; ``counts(words)`` gives phrases per word and language.
+    ``even`` cuts all texts to the size of the smallest one's (not used by ``train``)."""
 
-    def __init__(self, words_by_lang: dict[str, list[tuple[str, int]]], max_chars: int):
+    def __init__(self, words_by_lang: dict[str, list[tuple[str, int]]], max_chars: int, even: bool = True):
         self.langs = sorted(words_by_lang, key=lambda s: s.encode())
         sizes = [sum(len(w) + 1 for w, _ in words_by_lang[x]) for x in self.langs]
-        room = min([max_chars, *sizes]) if sizes else 0
+        room = min([max_chars, *sizes]) if even and sizes else max_chars
         texts = []
         for x in self.langs:
             text = [" "]
@@ -115,7 +118,8 @@ class CrossParser:
                 held += len(w) + 1
             texts.append("".join(text))
         self.texts = tuple(texts)
-        self.bits = np.array([math.log2(max(2, len(t))) for t in texts])
+        letters = len(set("".join(texts)))
+        self.bits = np.array([math.log2(max(2, len(t) + letters)) for t in texts])
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Phrases of each word (with its blanks) by language: all words advance
@@ -243,7 +247,7 @@ def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 40_000, seed:
     by_lang: dict[str, list[tuple[str, int]]] = {}
     for r in kept.select("lang", "word", "n").collect():
         by_lang.setdefault(r["lang"], []).append((r["word"], r["n"]))
-    return CrossParser(by_lang, max_chars)
+    return CrossParser(by_lang, max_chars, even=False)
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
