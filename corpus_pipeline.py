@@ -39,8 +39,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group stays."""
-    return near_text.keep_one(_columns(docs)).select(*COLUMNS)
+    """MinHash near-dedup: one document of each group stays; documents are near
+    from 80% of common five-word shingles on."""
+    return near_text.keep_one(_columns(docs), percent=80, width=5).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from trailmark.llm import language_id as lid
 from trailmark.llm import licenses, near_text, toxicity
 from trailmark.llm.common import components, text_slices
@@ -349,6 +350,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
 
 
+def test_near_dedup_stage_equals_five_word_brute_force(spark):
+    rng = random.Random(12)
+    texts = [t for t in near_texts(6) if t is None or len(t) < 2000] + ["a b", "a b", "a b c", "a b c d", "a b c d e", "A b c d E", "a b c d e f"]
+    for _ in range(12):  # every 20th or every 60th word changed: near by pairs of words, or by five words too
+        base = [f"u{rng.randrange(10 ** 6)}" for _ in range(240)]
+        texts.append(" ".join(base))
+        for step in (20, 60):
+            texts.append(" ".join(f"z{rng.randrange(10 ** 6)}" if i % step == 10 else w for i, w in enumerate(base)))
+
+    def five(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    sets = [five(t) for t in texts]
+    root = list(range(len(texts)))
+    changed = True
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in near:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(5)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+    assert kept == sorted(set(root)) and len(kept) > near_text.keep_one(docs).count()
+
+
 def test_near_duplicates_repeated_rows_null_ids_and_empty(spark):
     rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b C"), (None, "a b c"), (None, None), (3, None)],
                                  "doc_id long, text string")

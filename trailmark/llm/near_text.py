@@ -1,8 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 Words are lower-cased (A-Z) runs of non-blanks; a document's set holds its
-distinct 2-word shingles (fewer words: the whole sequence as one). Documents
-are linked when 100 * |intersection| >= ``percent`` * |union| of the full sets.
+distinct shingles of ``width`` words, 2 by default (fewer words: the whole sequence
+as one). Documents are linked when 100 * |intersection| >= ``percent`` * |union| of the full sets.
 
 1. Documents with the same word sequence form a class; one represents it.
 2. A representative's signature is ``SYMBOLS`` b-bit minhashes. Signatures that
@@ -122,15 +122,24 @@ def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, counts
 
 
-def shingles(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 2-word shingles of each text as sorted hashes, and their number."""
+def shingles(words: np.ndarray, counts: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``width``-word shingles of each text as sorted hashes, and their number."""
+    counts = counts.astype(np.int64)
+    n = len(words)
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.cumsum(counts) - counts
-    pair = mixed(words[:-1] * _ODD + np.roll(words, -1)[:-1]) if len(words) else words
-    same = owner[:-1] == owner[1:] if len(words) else np.zeros(0, bool)
-    single = counts == 1
-    h = np.concatenate([pair[same], mixed(words[starts[single]] + np.uint64(1))])
-    o = np.concatenate([owner[:-1][same] if len(words) else owner, np.flatnonzero(single)])
+    left = counts[owner] - (np.arange(n) - starts[owner])  # words from here to the text's end
+    h, full, parts, owners = words, left >= width, [], []
+    for j in range(1, width + 1):
+        # a text of j words, fewer than a shingle's, is one by itself
+        short = np.flatnonzero(counts == j) if j < width else np.zeros(0, np.int64)
+        parts.append(mixed(h[starts[short]] + np.uint64(j)))
+        owners.append(short)
+        if j < width and n:
+            h = mixed(h * _ODD + np.roll(words, -j))
+    # shingles of one word are the words themselves
+    h = np.concatenate([h[full] if width > 1 else mixed(words), *parts])
+    o = np.concatenate([owner[full], *owners])
     order = np.lexsort((h, o))
     h, o = h[order], o[order]
     new = np.ones(len(h), bool)
@@ -184,22 +193,24 @@ def _byte_slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, at
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, class digest, set size and signature of each text."""
-    for b in batches:
-        ids = b.column("doc_id")
-        for start, texts in _byte_slices(b.column("text")):
-            words, counts = word_hashes(texts)
-            sets, sizes = shingles(words, counts)
-            sig = np.zeros((len(texts), SYMBOLS), np.uint32)
-            some = sizes > 0
-            if some.any():
-                sig[some] = signatures(sets, sizes[some])
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, len(texts)), pa.array(class_digests(words, counts), pa.binary()),
-                 pa.array(sizes.astype(np.int64)),
-                 pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some, strict=True)], pa.binary())],
-                names=["doc_id", "class", "n_shingles", "sig"])
+def _describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, class digest, set size and signature of each text."""
+        for b in batches:
+            ids = b.column("doc_id")
+            for start, texts in _byte_slices(b.column("text")):
+                words, counts = word_hashes(texts)
+                sets, sizes = shingles(words, counts, width)
+                sig = np.zeros((len(texts), SYMBOLS), np.uint32)
+                some = sizes > 0
+                if some.any():
+                    sig[some] = signatures(sets, sizes[some])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, len(texts)), pa.array(class_digests(words, counts), pa.binary()),
+                     pa.array(sizes.astype(np.int64)),
+                     pa.array([s.tobytes() if ok else None for s, ok in zip(sig, some, strict=True)], pa.binary())],
+                    names=["doc_id", "class", "n_shingles", "sig"])
+    return run
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,15 +328,17 @@ def _prefix_pairs(percent: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column("id")
-        for start, texts in _byte_slices(b.column("text")):
-            sets, sizes = shingles(*word_hashes(texts))
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, len(texts)), pa.array([sets[e - n:e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())],
-                names=["id", "set"])
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id")
+            for start, texts in _byte_slices(b.column("text")):
+                sets, sizes = shingles(*word_hashes(texts), width)
+                ends = np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, len(texts)), pa.array([sets[e - n:e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())],
+                    names=["id", "set"])
+    return run
 
 
 def _confirm(percent: int):
@@ -342,9 +355,9 @@ def _confirm(percent: int):
     return run
 
 
-def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+def full_sets(ids: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     """(id, set) of the given ids; ``texts`` has (id, text)."""
-    return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets, "id long, set binary"), "sets")
+    return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,10 +367,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    described = materialize(docs.mapInArrow(_describe, "doc_id long, class binary, n_shingles long, sig binary"), "signatures")
+    described = materialize(docs.mapInArrow(_describe(width), "doc_id long, class binary, n_shingles long, sig binary"), "signatures")
     # one document per class of equal word sequences stands for it
     classes = described.filter("doc_id is not null and class is not null").groupBy("class").agg(
         F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
@@ -368,7 +381,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     texts = docs.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi") \
                 .select(F.col("doc_id").alias("id"), "text")
     # sets of the rows that meet any other, once: all confirmations read them
-    sets = full_sets(met.select("id").distinct(), texts)
+    sets = full_sets(met.select("id").distinct(), texts, width)
     links = tried = roots = None
     for n in range(ROUNDS):
         rows = _open_rows(met, roots)
@@ -412,9 +425,9 @@ def _open_rows(met: DataFrame, roots: DataFrame | None) -> DataFrame:
     return materialize(rooted.join(keys, "key", "left_semi"), "open")
 
 
-def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """The rows (all columns) of one document of each group: its smallest
     doc_id, of repeated rows one; rows without doc_id stay."""
-    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
+    kept = near_duplicates(docs, percent, width).filter("kept and doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
     numbered = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return numbered.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
