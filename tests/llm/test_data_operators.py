@@ -163,6 +163,26 @@ def test_ids_are_those_of_the_json_vocabulary(spark):
         assert enc.encode_to_numpy(t, disallowed_special=()).tolist() == json_bpe.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_text_are_those_of_the_json_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    json_bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, end * 3, f"{end} a", f"a{end}b", f"x\n{end}\n", "<|endoftext", "<|endof" + end, "", "it's 12345  é€😀",
+             *[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(50).collect()]]
+    want = [json_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [packing.token_ids(t, packing.vocabulary()).tolist() for t in texts] == want
+    assert len(want[0]) == 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(docs).collect():
+        got.setdefault(r.doc_id, {})[r.start] = (r.length, r.ids_crc32)
+    for i, ids in enumerate(want):
+        ids = np.array([*ids, 0], "<u4")
+        assert sum(n for n, _ in got[i].values()) == len(ids)
+        assert all(crc == zlib.crc32(ids[at:at + n].tobytes()) for at, (n, crc) in got[i].items())
+
+
 def check_packed(rows, capacity):
     by_seq = {}
     for r in rows:

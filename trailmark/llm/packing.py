@@ -29,7 +29,9 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -53,7 +55,8 @@ def vocabulary() -> str:
 
 def encoder(path: str):
     """Byte-level BPE over the ranks file at ``path`` (one per Python worker).
-    The ids equal those of the JSON vocabulary of the same name."""
+    The ids equal those of the JSON vocabulary of the same name in text without
+    its added tokens; ``token_ids`` takes these too."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -64,6 +67,32 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the JSON vocabulary beside the ranks file (one read per
+    Python worker): found in a text as they stand, they are one id."""
+    key = path + "#added"
+    if key not in _encoders:
+        with open(os.path.splitext(path)[0] + ".json", encoding="utf-8") as f:
+            found = json.load(f).get("added_tokens") or []
+        for t in found:
+            if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+                raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+        _encoders[key] = {t["content"]: t["id"] for t in found}
+    return _encoders[key]
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """Ids of the JSON vocabulary of the ranks file at ``path``, in its default
+    setting without the special tokens of a template: the text is split at the
+    added tokens, leftmost and longest first, and the parts are encoded."""
+    enc, added = encoder(path), added_tokens(path)
+    if not any(t in text for t in added):
+        return enc.encode_to_numpy(text, disallowed_special=())
+    marks = "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))
+    return np.concatenate([np.array([added[part]], np.uint32) if part in added else enc.encode_to_numpy(part, disallowed_special=())
+                           for part in re.split(f"({marks})", text)])
+
+
 def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: all full but the first."""
     first = n_ids % capacity or capacity
@@ -76,13 +105,12 @@ def tokenized_pieces(docs: DataFrame, vocab: str, capacity: int, end_id: int = 0
     """One row per piece, without the ids themselves but for their checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab)
         end = np.array([end_id], np.uint32)
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             ids = b.column("doc_id").to_pylist()
             for doc_id, text in zip(ids, b.column("text"), strict=True):
-                tokens = np.concatenate([enc.encode_to_numpy(text.as_py() or "", disallowed_special=()), end]).astype("<u4")
+                tokens = np.concatenate([token_ids(text.as_py() or "", vocab), end]).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(tokens), capacity)):
                     for col, v in zip(out, (doc_id, k, start, length, zlib.crc32(tokens[start:start + length])), strict=True):
                         col.append(v)
