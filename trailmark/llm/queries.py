@@ -1,11 +1,12 @@
-"""The ten operators as queries over their whole tables, and their SQL."""
+"""The operators as queries over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import caps, html_text, language_id, licenses, mixing, near_text, packing, permutation_index, toxicity, warc
+from trailmark.llm import (caps, fm_decontamination, html_text, language_id, licenses, mixing, near_text, packing, permutation_index,
+                           source_divergence, toxicity, vector_codes, warc)
 from trailmark.llm.common import table
 
 
@@ -50,9 +51,21 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_best_fit_packing, op3_warc, op4_permutation_index, op5_minhash_hamming, op6_language_id, op7_license_scan,
-    op8_toxicity, op9_mixing, op10_spherical_caps)}
+    op8_toxicity, op9_mixing, op10_spherical_caps, op11_source_divergence, op12_vector_codes, op13_decontamination)}
 _BASE32_SQL = " || ".join(
     f"substr('{warc.BASE32}', ((cast('0x' || substr(hex_, {5 * i + 1}, 5) as integer) >> {shift}) & 31) + 1, 1)"
     for i in range(8) for shift in (15, 10, 5, 0))
@@ -114,4 +127,6 @@ select doc_id, size, source_size, target,
                     + case when before_ + source_size + size / 2.0e0 <= target then 1 else 0 end) as bigint) as taken
 from b"""
 
-ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op7_license_scan": LICENSE_SQL, "op9_mixing": MIX_SQL}
+ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op7_license_scan": LICENSE_SQL, "op9_mixing": MIX_SQL,
+                          "op11_source_divergence": source_divergence.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL,
+                          "op13_decontamination": fm_decontamination.ORACLE_SQL}
