@@ -50,6 +50,7 @@ BLOCK_PAIRS = 400_000
 #: Symbols of a shard: a rank and a position are 20 bits each of a sort key.
 POSITION_BITS = 20
 SHARD = 1 << POSITION_BITS
+_PLACE = SHARD - 1
 SAMPLE = 8
 #: Occurrences located at a time, bytes of text split at a time (memory only).
 LOCATED = 1 << 18
@@ -61,25 +62,13 @@ _WORDS = bytes(i if i >= 0x80 or 0x30 <= i <= 0x39 or 0x61 <= i <= 0x7A else i +
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
     """The words of a text, in parts cut between words."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE_BYTES
-        piece = text[at:end].translate(_WORDS)
-        if end < len(text):
-            # up to the last blank; a word longer than a part is read on
-            cut = piece.rfind(b" ")
-            while cut < 0 and end < len(text):
-                more = text[end:end + SLICE_BYTES].translate(_WORDS)
-                end += len(more)
-                first = more.find(b" ")
-                if first >= 0:
-                    cut = len(piece) + first
-                piece += more
-            if 0 <= cut:
-                piece = piece[:cut]
-                end = at + cut
-        yield piece.split()
-        at = end
+    rest = b""
+    for at in range(0, len(text), SLICE_BYTES):
+        part = rest + text[at:at + SLICE_BYTES].translate(_WORDS)
+        cut = part.rfind(b" ") + 1
+        yield part[:cut].split()
+        rest = part[cut:]
+    yield rest.split()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,12 +90,12 @@ def suffix_array(text: np.ndarray, symbol_bits: int) -> np.ndarray:
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for i in range(h):
         symbol = np.zeros(n, np.int64)
-        symbol[:n - i] = text[i:]
+        symbol[:max(0, n - i)] = text[i:]
         symbol[~open_] = 0  # nothing after an end mark takes part
         key = key << symbol_bits | symbol
         open_ &= symbol != 0
     key = np.sort(key << POSITION_BITS | place)
-    order = key & (SHARD - 1)
+    order = key & _PLACE
     key >>= POSITION_BITS
     new = np.ones(n, bool)
     # keys that hold an end mark are settled by place
@@ -118,7 +107,7 @@ def suffix_array(text: np.ndarray, symbol_bits: int) -> np.ndarray:
     while len(tied):
         at = order[tied]
         key = np.sort((rank[at] << POSITION_BITS | rank[at + h]) << POSITION_BITS | at)
-        at = key & (SHARD - 1)
+        at = key & _PLACE
         key >>= POSITION_BITS
         order[tied] = at
         new = np.ones(len(tied), bool)
