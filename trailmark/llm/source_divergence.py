@@ -45,7 +45,7 @@ HELD = 200_000
 #: Bytes of a text worked on at once (memory only).
 SLICE_BYTES = 4_000_000
 #: (source, term) cells of a block of the pair part.
-CELLS = 1_000_000
+CELLS = 50_000
 SCALE = 1_000_000_000
 
 #: Blank for ASCII other than letters; A-Z lowered.
