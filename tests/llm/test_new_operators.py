@@ -252,3 +252,15 @@ def test_trie_shares_prefixes_and_finds_the_nearest(monkeypatch):
         code, error = trie.nearest(entries)
         d = ((trie.leaves[:, None] - entries[None]) ** 2).sum(-1)
         assert (code == d.argmin(1)).all() and (error == d.min(1)).all()
+
+
+# ---------------------------------------------------------------- near-dedup: shared ids
+
+def test_one_doc_id_with_two_texts(spark):
+    from trailmark.llm import near_text
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text of its own"), (2, "a b c d e f g"), (None, "x y"), (None, "x y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = sorted([tuple(r) for r in near_text.keep_one(d, width=5).collect()], key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

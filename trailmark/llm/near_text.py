@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import components, materialize
+from trailmark.llm.common import components, materialize, small_batches
 
 CHUNKS = 20
 CHUNK = 5
@@ -53,8 +53,11 @@ SKETCH_ERRORS = 22
 ROUNDS = 3
 #: Shingle frequencies are counted in so many hash buckets (any order is exact, this one is selective).
 BUCKETS = 1 << 18
-#: Bytes of text worked on at once (memory only).
+#: Bytes of text worked on at once, rows of texts or sets sent to a worker at
+#: once, and pairs handed on at once (memory only).
 SLICE_BYTES = 2_000_000
+ROWS = 250
+PAIRS = 100_000
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -307,13 +310,13 @@ def _prefix_pairs(percent: int):
                 continue
             tokens, rows, roots, sizes, places = (b.column(c).to_numpy() for c in ("token", "id", "root", "n", "place"))
             edges = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (roots[1:] != roots[:-1])])
-            a_out, b_out = [], []
+            a_out, b_out, held = [], [], 0
             for s, e in zip(edges, np.r_[edges[1:], len(tokens)], strict=True):
                 if tokens[s] != token:
                     token, root, met, own = tokens[s], roots[s], none, none
                 elif roots[s] != root:
                     root, met, own = roots[s], [np.concatenate(x) for x in zip(met, own, strict=True)], none
-                step = max(1, 500_000 // max(1, len(met[0])))
+                step = max(1, PAIRS // max(1, len(met[0])))
                 for at in range(s, e, step) if len(met[0]) else ():
                     end = min(e, at + step)
                     n, o = sizes[at:end, None], met[1][None, :]
@@ -322,12 +325,20 @@ def _prefix_pairs(percent: int):
                     i, j = np.nonzero((room >= needed) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o)))
                     a_out.append(np.minimum(met[0][j], rows[at + i]))
                     b_out.append(np.maximum(met[0][j], rows[at + i]))
+                    held += len(i)
+                    if held >= PAIRS:
+                        yield _pairs(a_out, b_out)
+                        a_out, b_out, held = [], [], 0
                 own = [np.concatenate(x) for x in zip(own, (rows[s:e], sizes[s:e], places[s:e]), strict=True)]
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+            if held:
+                yield _pairs(a_out, b_out)
     return run
 
 
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,20 +368,24 @@ def _confirm(percent: int):
 
 def full_sets(ids: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     """(id, set) of the given ids; ``texts`` has (id, text)."""
-    return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"), "sets")
+    with small_batches(ids.sparkSession, ROWS):
+        return materialize(texts.join(ids.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, set binary"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets pass."""
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     rows = rows.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return materialize(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    with small_batches(pairs.sparkSession, ROWS):
+        return materialize(rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    described = materialize(docs.mapInArrow(_describe(width), "doc_id long, class binary, n_shingles long, sig binary"), "signatures")
+    spark = docs.sparkSession
+    with small_batches(spark, ROWS):
+        described = materialize(docs.mapInArrow(_describe(width), "doc_id long, class binary, n_shingles long, sig binary"), "signatures")
     # one document per class of equal word sequences stands for it
     classes = described.filter("doc_id is not null and class is not null").groupBy("class").agg(
         F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
@@ -398,11 +413,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 2) -> DataF
         roots = components(links)
     rest = materialize(_open_rows(met, roots).select("id", "root").distinct(), "rest")
     left = sets.join(rest, "id")
-    counted = left.select("set").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(BUCKETS, np.int64)
-    frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(frequency)
-    rare = left.mapInArrow(_prefixes(percent, shared), "token long, id long, root long, n long, place long")
+    with small_batches(spark, ROWS):
+        counted = left.select("set").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        frequency = np.zeros(BUCKETS, np.int64)
+        frequency[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+        shared = spark.sparkContext.broadcast(frequency)
+        rare = left.mapInArrow(_prefixes(percent, shared), "token long, id long, root long, n long, place long")
+        rare = materialize(rare, "rare")
+    shared.destroy()
     pairs = rare.repartition("token").sortWithinPartitions("token", "root").mapInArrow(_prefix_pairs(percent), "a long, b long")
     pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "across")
     more = confirmed(pairs, sets, percent)
@@ -427,7 +445,9 @@ def _open_rows(met: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     """The rows (all columns) of one document of each group: its smallest
-    doc_id, of repeated rows one; rows without doc_id stay."""
+    doc_id, of repeated rows (equal doc_id and text) one; different texts under
+    one doc_id are different documents, and each stays if that doc_id is the
+    group's; rows without doc_id stay."""
     kept = near_duplicates(docs, percent, width).filter("kept and doc_id is not null").select(F.col("doc_id").alias("doc_id")).distinct()
-    numbered = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    numbered = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return numbered.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
