@@ -60,7 +60,7 @@ def test_kmeans_labels_every_row(spark):
     risk = t.groupBy("person_id").agg(F.avg(F.length("cur")).alias("drift_score"),
                                       F.count(F.lit(1)).cast("double").alias("seq_length"),
                                       (F.col("person_id") % 3 / 3.0).alias("self_loop_rate"))
-    cl = drift.cluster_drift(risk, k=3, seeds=(1,))
+    cl = drift.cluster_drift(risk, k=3, restarts=3, seed=1)
     assert cl.filter(F.col("cluster").isNull()).count() == 0 and cl.count() == 40
     assert cl.select("cluster").distinct().count() <= 3
 

@@ -53,7 +53,7 @@ def test_tuned_weights_leave_the_rest_floor(ctx):
 def test_train_only_state_space(spark):
     from trailmark.operators import ensemble
     from trailmark.plans.journey import JourneyContext
-    c = JourneyContext(spark, SF, persist=False, space_from="train")
+    c = JourneyContext(spark, SF, space_from="train")
     train_states = {r.cur for r in c.part("train").select("cur").distinct().collect()} | \
         {r.nxt for r in c.part("train").select("nxt").distinct().collect()}
     assert {r.state for r in c.model_space.collect()} == train_states

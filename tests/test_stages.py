@@ -68,3 +68,50 @@ def test_incremental_embeddings_encodes_only_new_texts(spark, scratch):
     t2 = spark.createDataFrame([("ab",), ("xyz1",)], "text string")
     assert stages.incremental_embeddings(t2, store, encode).count() == 3
     assert seen == [2, 1]
+
+
+def test_a_lost_write_is_never_fresh(spark, scratch):
+    path = os.path.join(scratch, "stage")
+    spark.range(3).write.parquet(os.path.join(path, "v-lost"))   # data, but no commit
+    assert not stages.stage_is_fresh(spark, path, "fp")
+
+    def fails():
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        stages.stage(spark, path, fails, "fp")
+    assert stages.manifest(spark, path) is None
+    assert stages.stage(spark, path, lambda: spark.range(5), "fp").count() == 5
+    with pytest.raises(RuntimeError):                            # a failed rebuild keeps what was committed
+        stages.stage(spark, path, fails, "fp2")
+    assert stages.stage_is_fresh(spark, path, "fp") and spark.read.parquet(stages.data_path(spark, path)).count() == 5
+
+
+def test_staleness_follows_the_stages_before(spark, scratch):
+    a, b = os.path.join(scratch, "a"), os.path.join(scratch, "b")
+    stages.stage(spark, a, lambda: spark.range(5), "1")
+    stages.stage(spark, b, lambda: spark.range(6), "1", after=[a])
+    assert stages.stage_is_fresh(spark, b, "1", [a])
+    stages.stage(spark, a, lambda: spark.range(7), "2")
+    assert not stages.stage_is_fresh(spark, b, "1", [a])
+    before = stages.data_path(spark, a)
+    stages.stage(spark, a, lambda: spark.range(8), "3")
+    assert spark.read.parquet(before).count() == 7               # one version back is kept
+    stages.stage(spark, a, lambda: spark.range(9), "4")
+    assert not stages.path_exists(spark, before)
+
+
+def test_a_repeated_or_lost_batch_adds_nothing_twice(spark, scratch):
+    store = os.path.join(scratch, "emb")
+    encode = lambda df: df.withColumn("embedding", F.array(F.length("text").cast("double")))
+    t1 = spark.createDataFrame([("ab",), ("cde",), ("ab",), (None,)], "text string")
+    t2 = spark.createDataFrame([("ab",), ("xyz1",)], "text string")
+
+    def lost(df):
+        encode(df).select("key", "embedding").write.parquet(os.path.join(store, "batch-lost"))
+        raise RuntimeError("lost")
+    for t in (t1, t1, t2, t2, t1):
+        out = stages.incremental_embeddings(t, store, encode)
+    with pytest.raises(RuntimeError):
+        stages.incremental_embeddings(spark.createDataFrame([("new",)], "text string"), store, lost)
+    out = stages.incremental_embeddings(t2, store, encode)
+    assert sorted(r.batch for r in out.collect()) == [1, 1, 2]

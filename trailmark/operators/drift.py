@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.functions.exprs import LOG_FLOOR
-from trailmark.operators import markov
+from trailmark.functions.exprs import LOG_FLOOR, round_to
+from trailmark.operators import kmeans, markov
 
 DEFAULT_ARCHETYPE = "Stable Specialist"
 
@@ -51,28 +51,23 @@ def drift_scores(transitions_lp: DataFrame, events: DataFrame, entity: str = "pe
     return per.join(lengths, entity, "left").join(dom, entity, "left")
 
 
-def cluster_drift(risk: DataFrame, k: int = 5, seeds=(42, 43, 44), max_iter: int = 100,
-                  features=("drift_score", "seq_length", "self_loop_rate")) -> DataFrame:
-    """H3: standardise the features and run k-means (MLlib, k-means||) for a
-    few seeds; keep the run with the lowest training cost. Adds ``cluster``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    feats = list(features)
-    base = risk.dropna(subset=feats)
-    vec = VectorAssembler(inputCols=feats, outputCol="_raw").transform(base)
-    scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vec)
-    x = scaler.transform(vec).persist()
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=int(s), maxIter=max_iter, featuresCol="_x", predictionCol="cluster",
-                   initMode="k-means||").fit(x)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    out = best[1].transform(x).drop("_raw", "_x")
-    x.unpersist()
-    return out
+FEATURES = ("drift_score", "seq_length", "self_loop_rate")
+
+
+def cluster_drift(risk: DataFrame, k: int = 5, restarts: int = kmeans.RESTARTS, max_iter: int = kmeans.MAX_ITER,
+                  features=FEATURES, entity: str = "person_id", seed: int = 42) -> DataFrame:
+    """H3: standardise the features and run k-means with ``restarts`` restarts;
+    adds ``cluster``, numbered by the centres."""
+    x = kmeans.standardised(risk, features, "x")
+    centres, _ = kmeans.fit(x.select(entity, "x"), entity, k, restarts, max_iter, seed)
+    if not len(centres):
+        return x.drop("x").withColumn("cluster", F.lit(0))
+    return kmeans.assign(x, centres).drop("x")
+
+
+def assign_drift(risk: DataFrame, centres, features=FEATURES) -> DataFrame:
+    """H3 with given centres of the standardised features: adds ``cluster``."""
+    return kmeans.assign(kmeans.standardised(risk, features, "x"), centres).drop("x")
 
 
 def cluster_summary(clustered: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -87,14 +82,17 @@ def cluster_summary(clustered: DataFrame, cluster: str = "cluster") -> DataFrame
 def archetype_names(summary: DataFrame) -> DataFrame:
     """H4: ordered rules on the cluster means against quantiles (linear
     interpolation) of the cluster means; the first rule that holds names the
-    cluster. The quantiles are scalar subqueries over the (k-row) summary."""
-    q = summary.agg(F.struct(F.percentile("mean_drift", 0.8).alias("q80"),
-                             F.percentile("mean_drift", 0.2).alias("q20"),
-                             F.percentile("mean_drift", 0.5).alias("q50"),
-                             F.percentile("mean_len", 0.75).alias("q75"))).scalar()
+    cluster. The quantiles are scalar subqueries over the (k-row) summary. A
+    quantile may be a cluster's own mean, so means are compared to 9 decimals:
+    the order of a sum does not decide a name."""
+    drift_, len_ = round_to("mean_drift", 9), round_to("mean_len", 9)
+    q = summary.agg(F.struct(F.percentile(drift_, 0.8).alias("q80"),
+                             F.percentile(drift_, 0.2).alias("q20"),
+                             F.percentile(drift_, 0.5).alias("q50"),
+                             F.percentile(len_, 0.75).alias("q75"))).scalar()
     # Archetype names and their cut-offs.
     q80, q20, q50, q75 = q["q80"], q["q20"], q["q50"], q["q75"]
-    d, loop, ln = F.col("mean_drift"), F.col("mean_loop"), F.col("mean_len")
+    d, loop, ln = drift_, F.col("mean_loop"), len_
     name = (F.when((d > q80) & (loop < 0.3), F.lit("Career Switcher"))
              .when((d < q20) & (loop > 0.5), F.lit("Sector Loyalist"))
              .when(ln > q75, F.lit("Career Veteran"))

@@ -100,7 +100,7 @@ def train_segments(train: DataFrame, space: DataFrame, glob: DataFrame, method:
         F.avg(F.col("is_self").cast("double")).alias("self_loop_rate"))
     risk = risk.filter(F.col("seq_length") >= 2)
     if method == "kmeans":
-        clustered = drift.cluster_drift(risk, k=5, seeds=(seed, seed + 1, seed + 2))
+        clustered = drift.cluster_drift(risk, k=5, entity=entity, seed=seed)
     else:
         clustered = segments.quantile_segments(risk)
     if keep is not None:

@@ -43,12 +43,12 @@ def with_names(df: DataFrame, names: DataFrame, code: str, out: str = "name",
               .drop("_code", "_name"))
 
 
-def label_check(df: DataFrame, state: str = "state", group: str = "occupation_group",
-                needs: str = "needs_nlp") -> DataFrame:
-    """Coded rows whose final state differs from their code group."""
-    coded = df.filter(~F.col(needs))
+def label_check(df: DataFrame, state: str = "state", code: str = "matched_code", width: int = 3) -> DataFrame:
+    """Rows with a valid code whose final state differs from the group
+    derived again from the code itself, whatever steps the state came through."""
+    coded = df.filter(has_valid_code(code))
     return coded.agg(F.count(F.lit(1)).alias("coded_rows"),
-                     F.count_if(~F.col(state).eqNullSafe(F.col(group))).alias("mismatches"))
+                     F.count_if(~F.col(state).eqNullSafe(code_prefix(code, width))).alias("mismatches"))
 
 
 def pair_label(a, b, width: int = 25, sep: str = " -> "):

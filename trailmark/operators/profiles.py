@@ -1,12 +1,14 @@
 """Transition profiles and their principal components (H7).
 
 A profile is a state's outgoing count row plus 0.01, row-normalised. The
-profile table has one row per state (a dimension, not data-sized), so the
-n x n covariance MLlib's PCA builds is bounded by the state count.
+profile table has one row per state (a dimension, not data-sized): means and
+covariance are aggregates over its cells, and only the n x n eigenproblem is
+solved on the driver.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,30 +33,49 @@ def profiles(transitions: DataFrame, space: DataFrame, smoothing: float = PROFIL
     return full.select("cur_idx", prof.alias("profile"))
 
 
-def pca(transitions: DataFrame, space: DataFrame, k: int = MAX_COMPONENTS):
-    """H7: PCA of the profiles. Returns (explained, coordinates): explained
-    is (component 1..k, explained_pct to 1 decimal), padded with 0 to ``k``
-    rows; coordinates is (state, major_group, pc1..pck), missing components
-    0. Fewer than 3 states: both empty."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def centred(prof: DataFrame) -> DataFrame:
+    """(cur_idx, at, d): the profiles less the mean profile, cell by cell; n x n rows."""
+    cells = prof.select("cur_idx", F.posexplode("profile").alias("at", "v"))
+    means = cells.groupBy("at").agg(F.avg("v").alias("m"))
+    return cells.join(means, "at").select("cur_idx", "at", (F.col("v") - F.col("m")).alias("d"))
+
+
+def covariance(prof: DataFrame) -> DataFrame:
+    """(a, b, cov): covariance of the profiles' places over the states, n x n cells."""
+    d = centred(prof)
+    other = d.select("cur_idx", F.col("at").alias("b"), F.col("d").alias("w"))
+    n = prof.agg(F.count(F.lit(1))).scalar()
+    return d.withColumnRenamed("at", "a").join(other, "cur_idx").groupBy("a", "b").agg((F.sum(F.col("d") * F.col("w")) / (n - 1)).alias("cov"))
 
+
+def pca(transitions: DataFrame, space: DataFrame, k: int = MAX_COMPONENTS):
+    """H7: principal components of the centred profiles. Returns (explained,
+    coordinates): explained is (component 1..k, explained_pct to 1 decimal),
+    padded with 0 to ``k`` rows; coordinates is (state, major_group,
+    pc1..pck), each of mean 0, missing components 0. A component's sign makes
+    its largest loading positive (ties: the first). Fewer than 3 states: both
+    empty. The driver holds the n x n covariance (states, a dimension)."""
     spark = transitions.sparkSession
-    prof = profiles(transitions, space).withColumn("_v", array_to_vector("profile"))
+    prof = profiles(transitions, space)
     n = prof.count()
     cols = [f"pc{i + 1}" for i in range(k)]
     if n < MIN_STATES:
         e = spark.createDataFrame([], "component int, explained_pct double")
         c = spark.createDataFrame([], "state string, major_group string, " + ", ".join(f"{x} double" for x in cols))
         return e, c
-    kk = min(k, n - 1, len(prof.first()["profile"]))
-    model = PCA(k=kk, inputCol="_v", outputCol="_pc").fit(prof)
-    ev = [float(x) for x in model.explainedVariance] + [0.0] * (k - kk)
-    e = spark.createDataFrame([(i + 1, round(v * 100.0, 1)) for i, v in enumerate(ev)],
+    cells = covariance(prof).toArrow()
+    matrix = np.zeros((n, n))
+    matrix[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["cov"].to_numpy()
+    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    kk = min(k, n - 1)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1][:, :kk].T
+    vectors = [v * np.sign(v[np.argmax(np.abs(v))]) for v in vectors]
+    share = values[:kk] / (values.sum() or 1.0) * 100.0
+    e = spark.createDataFrame([(i + 1, round(float(v), 1)) for i, v in enumerate([*share, *[0.0] * (k - kk)])],
                               "component int, explained_pct double")
-    pcs = model.transform(prof).withColumn("_a", vector_to_array("_pc"))
     sp = space.select(F.col("idx").alias("cur_idx"), "state")
-    c = pcs.join(sp, "cur_idx").select(
-        "state", major_group(F.col("state")).alias("major_group"),
-        *[F.coalesce(F.try_element_at("_a", F.lit(i + 1)), F.lit(0.0)).alias(cols[i]) for i in range(k)])
+    loading = lambda v: F.get(F.array(*[F.lit(float(x)) for x in v]), F.col("at"))
+    c = centred(prof).groupBy("cur_idx").agg(*[F.sum(F.col("d") * loading(v)).alias(cols[i]) for i, v in enumerate(vectors)],
+                                             *[F.lit(0.0).alias(cols[i]) for i in range(kk, k)])
+    c = c.join(sp, "cur_idx").select("state", major_group(F.col("state")).alias("major_group"), *cols)
     return e, c

@@ -8,6 +8,7 @@ so the two engines can be compared value by value.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.exprs import major_group, round_to
 from trailmark.operators import classify, clean, drift, labels, markov, reports, rules, segments, transitions
+from trailmark.operators.sequence import ordered_sequence
 from trailmark.plans.journey import EVENT_KEY, context
-from trailmark.plans.oracle import CTES, R, sql, sql_with
+from trailmark.plans.oracle import CTES, GIVEN_CENTRES, R, sql, sql_with, with_scores
 from trailmark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,25 +55,25 @@ def q_scan_union(spark, sf):
     m = F.col("person_id") % 10
     split = F.when(m < 6, "train").when(m.isin(6, 7), "validation").otherwise("test")
     ctx._stage("splits", lambda: ctx.raw.withColumn("split", split).withColumn("file", F.col("split")), partition_by=["file"])
-    u = tables.load_splits(spark, [f"{ctx.stage_path('splits')}/file={n}" for n in ("train", "validation", "test")])
+    u = tables.load_splits(spark, [f"{stages.data_path(spark, ctx.stage_path('splits'))}/file={n}" for n in ("train", "validation", "test")])
     return u.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.countDistinct("person_id").alias("n_persons"))
 
 
 @query("clean_labels", sql(f"select {', '.join(KEY + SRC)} from lab", "lab"))
 def q_clean_labels(spark, sf):
-    return clean.clean_labels(tables.job_events(spark, sf)).select(*KEY, *SRC)
+    return clean.clean_labels(context(spark, sf).raw).select(*KEY, *SRC)
 
 
 @query("dedup_events", sql(f"select {', '.join(KEY + SRC)}, matched_code, matched_description from dd", "dd"))
 def q_dedup(spark, sf):
-    d = clean.dedup_events(clean.clean_labels(tables.job_events(spark, sf)), KEY, SRC)
+    d = clean.dedup_events(clean.clean_labels(context(spark, sf).raw), KEY, SRC)
     return d.select(*KEY, *SRC, "matched_code", "matched_description")
 
 
 @query("extract_year", sql("select person_id, matched_label, start_date, yr from yd", "yd"))
 def q_extract_year(spark, sf):
-    d = clean.dedup_events(clean.clean_labels(tables.job_events(spark, sf)), KEY, SRC)
+    d = clean.dedup_events(clean.clean_labels(context(spark, sf).raw), KEY, SRC)
     return clean.with_year(d).select(*KEY, "yr")
 
 
@@ -133,7 +135,8 @@ def q_hierarchy_pairs(spark, sf):
 
 
 @query("label_check", sql("""select count(*) as coded_rows,
-      count_if(not (state is not distinct from occupation_group)) as mismatches from mrg where not needs_nlp""", "mrg"))
+      count_if(not (state is not distinct from substring(split_part(matched_code, '.', 1), 1, 3))) as mismatches
+    from mrg where matched_code is not null and trim(matched_code) <> '' and lower(matched_code) <> 'unknown'""", "mrg"))
 def q_label_check(spark, sf):
     """B12 on the merged rows (coded and accepted model labels)."""
     ctx = context(spark, sf)
@@ -470,12 +473,12 @@ def q_split_counts(spark, sf):
                                   F.count(F.lit(1)).alias("transitions"))
 
 
-@query("capped_sample", sql("""select person_id, pos, cur from (
+@query("capped_sample", sql("""select person_id, pos, cur, split from (
       select *, row_number() over (partition by cur order by md5(cast(person_id as varchar) || '|' || cast(pos as varchar) || '|42'),
-                                   person_id, pos) - 1 as rk from trs where split = 'val') where rk < 100""", "trs"))
+                                   person_id, pos) - 1 as rk from trs) where rk < 100""", "trs"))
 def q_capped_sample(spark, sf):
-    v = context(spark, sf).part("val")
-    return ensemble.capped_sample(v, "cur", 100, 42, ["person_id", "pos"]).select("person_id", "pos", "cur")
+    v = context(spark, sf).split_transitions
+    return ensemble.capped_sample(v, "cur", 100, 42, ["person_id", "pos"]).select("person_id", "pos", "cur", "split")
 
 
 @query("recency_matrix", sql(f"select cur, nxt, {R('p', 9)} as p from rect", "rect"))
@@ -489,10 +492,11 @@ def q_year_windows(spark, sf):
     return context(spark, sf).components.windows
 
 
-@query("year_window_join", sql("select person_id, pos, yr, win_key from ann where split = 'val'", "ann"))
+@query("year_window_join", sql("""select t.person_id, t.pos, t.split, t.yr, coalesce(w.win_label, 'global') as win_key
+    from trs t left join wins w on t.yr between w.start_year and w.end_year""", "trs", "wins"))
 def q_year_window_join(spark, sf):
     ctx = context(spark, sf)
-    return markov.assign_window(ctx.part("val"), ctx.components.windows).select("person_id", "pos", "yr", "win_key")
+    return markov.assign_window(ctx.split_transitions, ctx.components.windows).select("person_id", "pos", "split", "yr", "win_key")
 
 
 @query("window_matrices", sql(f"""select w.win_label, m.cur, m.nxt, {R('m.p', 9)} as p
@@ -549,27 +553,26 @@ def q_segment_matrices(spark, sf):
     return _long(ctx, ctx.components.seg, ["archetype"]).select("archetype", "cur", "nxt", round_to("p", 9).alias("p"))
 
 
-@query("annotate_split", sql("select person_id, pos, split, archetype, univ_flag, win_key from ann", "ann"))
+@query("annotate_split", sql("select person_id, pos, split, archetype, univ_flag, win_key from anna", "anna"))
 def q_annotate_split(spark, sf):
     ctx = context(spark, sf)
-    a = ctx.annotated("val").unionByName(ctx.annotated("test"))
+    a = ctx.annotated("train").unionByName(ctx.annotated("val")).unionByName(ctx.annotated("test"))
     return a.select("person_id", "pos", "split", "archetype", "univ_flag", "win_key")
 
 
-@query("backoff_lookup", sql(f"""select a.person_id, a.pos, {R('coalesce(s.p, g.p)', 9)} as p,
+@query("backoff_lookup", sql(f"""select a.person_id, a.pos, a.split, {R('coalesce(s.p, g.p)', 9)} as p,
       case when s.p is null then 'global' else 'second_order' end as source
-    from ann a join gmt g on g.cur = a.cur and g.nxt = a.nxt
-    left join so2 s on s.prev = a.prev and s.cur = a.cur and s.nxt = a.nxt where a.split = 'val'""", "ann", "gmt", "so2"))
+    from trs a join gmt g on g.cur = a.cur and g.nxt = a.nxt
+    left join so2 s on s.prev = a.prev and s.cur = a.cur and s.nxt = a.nxt""", "trs", "gmt", "so2"))
 def q_backoff_lookup(spark, sf):
+    """C8 cell by cell: a row joins the one cell of each matrix that it needs."""
     ctx = context(spark, sf)
     c = ctx.components
-    a = ctx.annotated("val")
-    g = c.glob.select("cur_idx", F.col("p").alias("_g"))
-    s = c.so.select("prev_idx", "cur_idx", F.col("p").alias("_s"))
-    j = a.join(g, "cur_idx").join(s, ["prev_idx", "cur_idx"], "left")
-    ps = F.get(F.col("_s"), F.col("nxt_idx"))
-    pg = F.get(F.col("_g"), F.col("nxt_idx"))
-    return j.select("person_id", "pos", round_to(F.coalesce(ps, pg), 9).alias("p"),
+    g = _long(ctx, c.glob).withColumnRenamed("p", "_g")
+    s = _long(ctx, c.so, ["prev_idx"]).join(ctx.model_space.select(F.col("idx").alias("prev_idx"), F.col("state").alias("prev")), "prev_idx") \
+        .select("prev", "cur", "nxt", F.col("p").alias("_s"))
+    j = ctx.split_transitions.join(g, ["cur", "nxt"]).join(s, ["prev", "cur", "nxt"], "left")
+    return j.select("person_id", "pos", "split", round_to(F.coalesce("_s", "_g"), 9).alias("p"),
                     F.when(F.col("_s").isNull(), F.lit("global")).otherwise(F.lit("second_order")).alias("source"))
 
 
@@ -984,7 +987,7 @@ def q_segment_breakdown(spark, sf):
 # learned parts (MLlib): ids, signs and fitted values are not engine-portable,
 # so these are rows-only checks plus the invariants in tests/.
 
-from trailmark.operators import profiles  # noqa: E402
+from trailmark.operators import listwise, profiles  # noqa: E402
 
 _MODELS: dict = {}
 
@@ -998,12 +1001,21 @@ def _model(ctx, name, build):
 
 @query("drift_clusters")
 def q_drift_clusters(spark, sf):
-    """H3 + E13: k-means (k=5) over standardised drift, length and self-loop
-    rate of the drift table, then the per-cluster summary."""
+    """H3 + E13: k-means (k=5, 25 restarts) over standardised drift, length and
+    self-loop rate of the drift table, then the per-cluster summary."""
     clustered = drift.cluster_drift(context(spark, sf).risk, k=5)
     return drift.cluster_summary(clustered)
 
 
+@query("pca_covariance", sql(f"""select a.j as a, b.j as b, {R('sum((a.v - ma.m) * (b.v - mb.m)) / (any_value(nn.n) - 1)', 9)} as cov
+    from prf a join prf b on a.i = b.i join prm ma on ma.j = a.j join prm mb on mb.j = b.j, nn group by a.j, b.j""", "prf", "prm", "nn"))
+def q_pca_covariance(spark, sf):
+    """H7: covariance of the transition profiles."""
+    ctx = context(spark, sf)
+    c = profiles.covariance(profiles.profiles(ctx.transitions, ctx.space))
+    return c.select("a", "b", round_to("cov", 9).alias("cov"))
+
+
 @query("pca_explained")
 def q_pca_explained(spark, sf):
     ctx = context(spark, sf)
@@ -1081,29 +1093,55 @@ def q_final_labels(spark, sf):
 
 
 def _learned(spark, sf):
-    """Logistic scorer on the training rows' candidates (true next
-    forced in), regularisation chosen on validation top-1."""
+    """Conditional logit over the training rows' lists (true next forced
+    in); the penalty is chosen on the top-1 of all validation rows."""
     ctx = context(spark, sf)
-    return _model(ctx, "rerank_scorer", lambda: rerank.train_scorer(
-        ctx.candidate_features("train"), ctx.candidate_features("val")))
+    return _model(ctx, "rerank_scorer", lambda: listwise.train(ctx.ranked_lists("train"), ctx.ranked_lists("val")))
 
 
 @query("rerank_learned_eval")
 def q_rerank_learned_eval(spark, sf):
     """J9 + J11: ensemble, fixed linear and learned rankings on test."""
-    _, coef, _ = _learned(spark, sf)
+    weights, _ = _learned(spark, sf)
     f = _test_feats(spark, sf)
     fixed = rerank.rerank_eval(rerank.rerank(f, rerank.linear_score()))
-    learned = rerank.rerank_eval(rerank.rerank(f, rerank.linear_score(coef))).filter("ranking = 'rerank'") \
+    learned = rerank.rerank_eval(rerank.rerank(f, listwise.score(weights))).filter("ranking = 'rerank'") \
         .withColumn("ranking", F.lit("learned"))
     return fixed.unionByName(learned)
 
 
+@query("rerank_penalties")
+def q_rerank_penalties(spark, sf):
+    """Top-1 of every penalty and of the plain ensemble on all validation rows."""
+    _, places = _learned(spark, sf)
+    names = [f"penalty {p:g}" for p in sorted(listwise.PENALTIES)] + ["ensemble"]
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, places, strict=True)], "fit string, val_top_1 double")
+
+
+_TERM_SQL = {t: t if t in rerank.FEATURES else f"{t.removesuffix('_self')} * f_self" for t in listwise.TERMS}
+
+
+@query("rerank_gradient", _rr_sql("select term, " + R("gradient", 4) + """ as gradient from (
+      select """ + ", ".join(f"sum((case when cand_idx = nxt_idx then 1.0e0 else 0.0e0 end - w) * {x}) as {t}" for t, x in _TERM_SQL.items()) + """
+      from (select *, greatest(f_ensemble, 1e-9) / sum(greatest(f_ensemble, 1e-9)) over (partition by person_id, pos) as w
+            from feats where true_pos >= 0)) unpivot (gradient for term in (""" + ", ".join(listwise.TERMS) + "))"))
+def q_rerank_gradient(spark, sf):
+    """Gradient of the list likelihood over the test rows, where ranking is the ensemble's."""
+    return listwise.gradient(context(spark, sf).ranked_lists("test")).withColumn("gradient", round_to("gradient", 4))
+
+
 @query("rerank_importance")
 def q_rerank_importance(spark, sf):
-    """Feature-group importance of the learned scorer, sums to 1."""
-    _, coef, _ = _learned(spark, sf)
-    return spark.createDataFrame(rerank.group_importance(coef), "feature_group string, importance double")
+    """Feature-group importance of the learned ranking, sums to 1; display
+    names break after the group's letter (2.L-6)."""
+    weights, _ = _learned(spark, sf)
+    rows = listwise.group_importance(weights, listwise.spread(context(spark, sf).ranked_lists("train")))
+    return spark.createDataFrame(rows, "feature_group string, importance double").withColumn("display", _display("feature_group"))
+
+
+def _display(col: str):
+    """2.L-6: a feature group's name for a chart."""
+    return F.regexp_replace(F.regexp_replace(col, "^([^_]*)_", "$1\n"), "_", " ")
 
 
 @query("state_text_embeddings")
@@ -1156,11 +1194,12 @@ def q_rerank_improvement(spark, sf):
 
 @query("rerank_ablation_report", f"""select feature_group, top1_with_all, top1_zeroed_out, top1_drop,
       {R('top1_drop / top1_with_all * 100.0e0', 4)} as relative_drop_pct,
-      cast(row_number() over (order by top1_drop desc, feature_group) as integer) as rank from ({ORACLE['rerank_ablation']})""")
+      cast(row_number() over (order by top1_drop desc, feature_group) as integer) as rank,
+      substr(feature_group, 1, 1) || chr(10) || replace(substr(feature_group, 3), '_', ' ') as display from ({ORACLE['rerank_ablation']})""")
 def q_rerank_ablation_report(spark, sf):
     """J12 with the relative drop, ordered by drop."""
     a = rerank.ablation_report(q_rerank_ablation(spark, sf))
-    return a.withColumn("relative_drop_pct", round_to("relative_drop_pct", 4))
+    return a.withColumn("relative_drop_pct", round_to("relative_drop_pct", 4)).withColumn("display", _display("feature_group"))
 
 
 @query("win_margin_summary", f"""select count(*) as n_rows, {R('avg(win_prob)')} as mean_win_prob, {R('avg(margin)')} as mean_margin,
@@ -1184,14 +1223,33 @@ _top_rules_by("top_rules_by_confidence", "confidence")
 _top_rules_by("top_rules_by_support", "support")
 
 
-@query("drift_export", sql(f"""select person_id, {R('drift_score')} as drift_score, total_transitions, seq_length from risk""", "risk"))
+@query("drift_export", sql(f"""select *, row_number() over (order by drift_score desc, person_id) as row_number from (
+      select person_id, {R('drift_score')} as drift_score, total_transitions, seq_length from risk)""", "risk"))
 def q_drift_export(spark, sf):
-    """A3 + F9: the whole drift table written as CSV, ordered by drift, and read back."""
+    """A3 + F9: the whole drift table written as CSV, numbered and ordered by drift, and read back."""
     ctx = context(spark, sf)
-    path = ctx.stage_path("exports/drift_csv")
     out = ctx.risk.select("person_id", r6("drift_score").alias("drift_score"), "total_transitions", "seq_length")
-    stages.write_csv(out.orderBy(F.desc("drift_score"), "person_id"), path)
-    return stages.read_csv(spark, path, out.schema)
+    return _export(ctx, "drift_csv", out, [F.desc("drift_score"), F.col("person_id")])
+
+
+def _export(ctx, name: str, rows: DataFrame, order: list) -> DataFrame:
+    """Ordered CSV with row numbers from 1 (F9); the number of a row is its place
+    in the file set. One group of all rows is numbered by chunks (``sequence``)."""
+    path = ctx.stage_path(f"exports/{name}")
+    rows = ctx._stage(f"export-rows/{name}", lambda: rows.withColumn("_all", F.lit(0)))
+    placed = ordered_sequence(rows, ["_all"], order, position="_at").drop("_all")
+    placed = placed.select(*[c for c in placed.columns if c != "_at"], (F.col("_at") + 1).alias("row_number"))
+    stages.write_csv(placed.orderBy("row_number"), path)
+    return stages.read_csv(ctx.spark, path, placed.schema)
+
+
+@query("rules_export", sql(f"""select *, row_number() over (order by pair_count desc, antecedent, consequent) as row_number from (
+      select antecedent, consequent, pair_count from ({RULES_SQL}))""", "tr"))
+def q_rules_export(spark, sf):
+    """H5 + F9: all association rules, numbered, as CSV."""
+    ctx = context(spark, sf)
+    out = rules.association_rules(ctx.transitions).select("antecedent", "consequent", "pair_count")
+    return _export(ctx, "rules_csv", out, [F.desc("pair_count"), F.col("antecedent"), F.col("consequent")])
 
 
 @query("metrics_json", ORACLE["clean_report"])
@@ -1215,3 +1273,154 @@ def q_code_rules(spark, sf):
     e = context(spark, sf).events
     return e.select(rulesets.first_match(F.coalesce("matched_code", F.lit("")), CODE_RULES, "none").alias("label")) \
             .groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------- k-means segments (H3) with given centres
+
+
+def _given(ctx):
+    return ctx._stage("given-centres", lambda: drift.assign_drift(ctx.risk, GIVEN_CENTRES))
+
+
+def _given_names(ctx):
+    c = _given(ctx)
+    return c.join(drift.archetype_names(drift.cluster_summary(c)).select("cluster", "archetype"), "cluster")
+
+
+@query("kmeans_assign", sql("select person_id, cluster from kclu", "kclu"))
+def q_kmeans_assign(spark, sf):
+    """H3: nearest of the given centres for every entity."""
+    return _given(context(spark, sf)).select("person_id", "cluster")
+
+
+@query("kmeans_archetypes", sql(f"""select cluster, n_users, {R('mean_drift')} as mean_drift, {R('mean_len')} as mean_len,
+      {R('mean_loop')} as mean_loop, archetype from ksum""", "ksum"))
+def q_kmeans_archetypes(spark, sf):
+    """E13 + H4 on k-means clusters."""
+    s = drift.archetype_names(drift.cluster_summary(_given(context(spark, sf))))
+    return s.select("cluster", "n_users", *[r6(c).alias(c) for c in ("mean_drift", "mean_len", "mean_loop")], "archetype")
+
+
+@query("kmeans_breakdown", sql("""select archetype, dominant_sector, n_users, rank from (
+      select archetype, dominant_sector, n_users,
+             cast(row_number() over (partition by archetype order by n_users desc, dominant_sector) as integer) as rank
+      from (select s.archetype, k.dominant_sector, count(*) as n_users from kclu k join ksum s on s.cluster = k.cluster
+            group by s.archetype, k.dominant_sector)) where rank <= 3""", "kclu", "ksum"))
+def q_kmeans_breakdown(spark, sf):
+    """H8 on k-means clusters."""
+    c = _given_names(context(spark, sf)).groupBy("archetype", "dominant_sector").agg(F.count(F.lit(1)).alias("n_users"))
+    return reports.top_n_per_group(c, ["archetype"], "n_users", ["dominant_sector"], 3).select("archetype", "dominant_sector", "n_users", "rank")
+
+
+@query("kmeans_centroids", sql(f"""select s.archetype, count(*) as n_users, {R('avg(k.drift_score)')} as mean_drift,
+      {R('avg(k.seq_length)')} as mean_length from kclu k join ksum s on s.cluster = k.cluster group by s.archetype""", "kclu", "ksum"))
+def q_kmeans_centroids(spark, sf):
+    """K7 on k-means clusters."""
+    return _given_names(context(spark, sf)).groupBy("archetype").agg(
+        F.count(F.lit(1)).alias("n_users"), r6(F.avg("drift_score")).alias("mean_drift"), r6(F.avg("seq_length")).alias("mean_length"))
+
+
+@query("kmeans_segment_matrices")
+def q_kmeans_segment_matrices(spark, sf):
+    """G8 with the segments of a fitted k-means (25 restarts) of the training entities."""
+    ctx = context(spark, sf, segment_method="kmeans")
+    return _long(ctx, ctx.components.seg, ["archetype"]).select("archetype", "cur", "nxt", round_to("p", 9).alias("p"))
+
+
+# --------------------------------------------------------------- the journey with labelled uncoded events
+
+
+def _merged(spark, sf):
+    """The branch whose uncoded events carry the accepted SQL-made labels."""
+    return context(spark, sf, labels_from="scores", scores=_sql_scores)
+
+
+def _merged_query(name: str, oracle: str, fn) -> None:
+    query(f"merged_{name}", with_scores(oracle))(fn)
+
+
+def q_merged_transitions(spark, sf):
+    return _merged(spark, sf).transitions.select("person_id", "pos", "cur", "nxt", "prev", "univ_flag")
+
+
+def q_merged_space(spark, sf):
+    return _merged(spark, sf).space.select("state", "idx")
+
+
+def q_merged_matrix(spark, sf):
+    ctx = _merged(spark, sf)
+    return markov.long_form(ctx.global_matrix, ctx.space).select("cur", "nxt", round_to("p", 9).alias("p"))
+
+
+def q_merged_drift(spark, sf):
+    return _merged(spark, sf).risk.select("person_id", r6("drift_score").alias("drift_score"), "total_transitions",
+                                          r6("self_loop_rate").alias("self_loop_rate"), "seq_length", "dominant_sector")
+
+
+def q_merged_split(spark, sf):
+    return _merged(spark, sf).split.select("person_id", "dominant", "split")
+
+
+def q_merged_windows(spark, sf):
+    ctx = _merged(spark, sf)
+    return ctx.components.market.select("win_label", r6("drift").alias("drift"))
+
+
+def q_merged_ensemble_eval(spark, sf):
+    ctx = _merged(spark, sf)
+    e = ensemble.evaluate(ctx.annotated("test"), ctx.components, ctx.weights)
+    return e.select("n_rows", *[r6(c).alias(c) for c in ["persistence_top1", "top_1", "top_3", "top_5"]])
+
+
+_merged_query("transitions", sql("select person_id, pos, cur, nxt, prev, univ_flag from tr", "tr"), q_merged_transitions)
+_merged_query("space", sql("select state, idx from sp", "sp"), q_merged_space)
+_merged_query("matrix", sql(f"select cur, nxt, {R('p', 9)} as p from gm", "gm"), q_merged_matrix)
+_merged_query("drift", sql(f"""select person_id, {R('drift_score')} as drift_score, total_transitions, {R('self_loop_rate')} as self_loop_rate,
+    seq_length, dominant_sector from risk""", "risk"), q_merged_drift)
+_merged_query("split", sql("select person_id, dominant, split from spl", "spl"), q_merged_split)
+_merged_query("market_drift", ORACLE["market_drift"], q_merged_windows)
+_merged_query("ensemble_eval", ORACLE["ensemble_eval"], q_merged_ensemble_eval)
+
+
+# --------------------------------------------------------------- stages and the embedding store
+
+
+@query("stage_chain", sql("""select step, a_rows, b_rows, a_built, b_built from (select count(*) as n, count(distinct person_id) as u from ev),
+    lateral (select * from (values (1, n, u, 1, 1), (2, n, u, 1, 1), (3, n, u, 2, 2), (4, n, u, 2, 3)) t(step, a_rows, b_rows, a_built, b_built))""", "ev"))
+def q_stage_chain(spark, sf):
+    """A2 + A6: a stage and one after it, 1 built, 2 reused, 3 rebuilt when the
+    first one's input changes (the second follows), 4 the second rebuilt after a
+    write of it was lost. Rows of both and how often each was built."""
+    ctx = context(spark, sf)
+    root = os.path.join(ctx.stage_path("chain"), uuid.uuid4().hex)
+    a, b, built, out = f"{root}/a", f"{root}/b", {"a": 0, "b": 0}, []
+
+    def run(step, fingerprint):
+        def build(name, df):
+            built[name] += 1
+            return df
+        first = stages.stage(spark, a, lambda: build("a", ctx.events), fingerprint, "a")
+        second = stages.stage(spark, b, lambda: build("b", first.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))), "same", "b", after=[a])
+        # counted now: a later step drops versions that no one should read any more
+        out.append((step, first.count(), second.count(), built["a"], built["b"]))
+        return second
+    run(1, "first")
+    run(2, "first")
+    second = run(3, "second")
+    stages.discard(spark, b)
+    second.limit(0).write.parquet(f"{b}/v-lost")  # data of a write that never committed
+    run(4, "second")
+    return spark.createDataFrame(out, "step int, a_rows long, b_rows long, a_built int, b_built int")
+
+
+@query("embedding_store", """with b as (select 1 as run, md5(text) as k from documents where text is not null and doc_id % 3 <> 0
+      union all select 2, md5(text) from documents where text is not null and doc_id % 3 <> 1)
+    select batch, count(*) as n_keys, min(k) as first_key, max(k) as last_key from (select k, min(run) as batch from b group by k) group by batch""")
+def q_embedding_store(spark, sf):
+    """Two overlapping batches of documents, the second run twice; keys by the batch that added them."""
+    store = os.path.join(context(spark, sf).stage_path("embeddings"), uuid.uuid4().hex)
+    d = tables.table(spark, sf, "documents").select("doc_id", "text")
+    encode = lambda df: classify.hashed_embedding(df, "text", "key")
+    for part in ("doc_id % 3 <> 0", "doc_id % 3 <> 1", "doc_id % 3 <> 1"):
+        out = stages.incremental_embeddings(d.filter(part), store, encode)
+    return out.groupBy("batch").agg(F.count(F.lit(1)).alias("n_keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import os
 
 from trailmark.functions.exprs import major_group
-from trailmark.operators import clean, drift, labels, markov, transitions
+from trailmark.operators import classify, clean, drift, labels, markov, transitions
 from trailmark.session import stage_root
 from trailmark.sources import stages, tables
 
@@ -27,10 +27,15 @@ FIXTURE_TABLES = ("lineitem", "orders", "part", "customer")
 _CONTEXTS: dict = {}
 
 
-def context(spark: SparkSession, sf_dir: str) -> "JourneyContext":
-    ctx = JourneyContext(spark, sf_dir)
-    # changed input files give another context, also within a session
-    return _CONTEXTS.setdefault((spark.sparkContext.applicationId, sf_dir, ctx.fingerprint), ctx)
+def context(spark: SparkSession, sf_dir: str, **options) -> "JourneyContext":
+    """The session's context of one input and options. Inputs are listed once
+    per session; ``reset_contexts`` lists them anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(options.items())))
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = JourneyContext(spark, sf_dir, **options)
+        first = _CONTEXTS.setdefault(key[:2], _CONTEXTS[key])
+        _CONTEXTS[key].__dict__["fingerprint"] = first.fingerprint
+    return _CONTEXTS[key]
 
 
 def reset_contexts() -> None:
@@ -41,16 +46,25 @@ class JourneyContext:
     """Stages of the job-journey fixture over the driver tables of one scale."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, space_from: str = "all",
-                 scorer_rows: int = 150_000):
+                 scorer_rows: int = 150_000, labels_from: str = "code", scores=None, threshold: float = classify.CONFIDENCE,
+                 segment_method: str = "quantile"):
         """``space_from``: "all" builds the model's state space and self-loop
         rates from every transition, test included, as the batch program does;
         "train" uses the training transitions only (evaluation rows with a
         state outside that space then drop, C5). ``scorer_rows`` bounds the
         sample of labelled training rows on which the learned reranker is
-        fitted (validation and test rows are never sampled)."""
+        fitted (validation and test rows are never sampled). ``labels_from``
+        (D1, I5): "code" builds the journey from events with a valid code;
+        another name adds the uncoded events whose label in ``scores(context)``
+        (key, predicted, confidence) reaches ``threshold``, and names the
+        stages of that branch. ``segment_method``: "quantile" or "kmeans" (H3)."""
         if space_from not in ("all", "train"):
             raise ValueError("space_from must be 'all' or 'train'")
+        if labels_from != "code" and scores is None:
+            raise ValueError("labels from scores need scores")
         self.space_from = space_from
+        self.labels_from, self.scores, self.threshold = labels_from, scores, threshold
+        self.segment_method = segment_method
         self.scorer_rows = scorer_rows
         self.spark = spark
         self.sf_dir = sf_dir
@@ -67,23 +81,32 @@ class JourneyContext:
             self.spark, [os.path.join(self.sf_dir, f"{t}.parquet") for t in FIXTURE_TABLES])
         return f"{data}-{stages.code_signature()}"
 
+    #: Stages before the labels, the same in every branch.
+    SHARED = ("raw", "events", "splits")
+
     def stage_path(self, name: str) -> str:
-        return os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", name)
+        branch = "" if self.labels_from == "code" or name in self.SHARED else f"labels-{self.labels_from}"
+        return os.path.join(stage_root(self.spark), f"jobs-{self.fingerprint}", branch, name)
 
-    def _stage(self, name: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    def _stage(self, name: str, build, partition_by: list[str] | None = None, after: tuple[str, ...] = ()) -> DataFrame:
+        """The stage, rebuilt if its inputs, the code or a stage it comes ``after`` changed."""
         return stages.stage(self.spark, self.stage_path(name), build, self.fingerprint, name,
-                            partition_by=partition_by)
+                            partition_by=partition_by, after=[self.stage_path(n) for n in after])
 
     @cached_property
     def events(self) -> DataFrame:
         """Cleaned and labelled events (B1-B8), all rows; a stage table."""
         return self._stage("events", lambda: labels.assign_labels(
-            clean.clean_events(self.raw, order=tables.JOB_EVENT_ORDER)))
+            clean.clean_events(self.raw, order=tables.JOB_EVENT_ORDER)), after=("raw",))
 
     @cached_property
     def coded_events(self) -> DataFrame:
-        """Events with a valid code; their code group is the final state."""
-        return self.events.filter(~F.col("needs_nlp")).withColumn("state", F.col("occupation_group"))
+        """The events the journey is built from, with their final state: those
+        with a valid code (their code group) and, in a branch with scores, the
+        uncoded ones whose label was accepted."""
+        if self.labels_from == "code":
+            return self.events.filter(~F.col("needs_nlp")).withColumn("state", F.col("occupation_group"))
+        return self._stage("labelled", lambda: self.merged_events(self.scores(self), self.threshold), after=("events",))
 
     @cached_property
     def univ_flags(self) -> DataFrame:
@@ -93,16 +116,16 @@ class JourneyContext:
     def transitions(self) -> DataFrame:
         """Transitions of the coded events with the entity flag; a stage table."""
         return self._stage("transitions", lambda: transitions.attach_flag(
-            transitions.build_transitions(self.coded_events), self.univ_flags))
+            transitions.build_transitions(self.coded_events), self.univ_flags), after=("events",))
 
     # --- model pieces over all transitions --------------------------------
     @cached_property
     def space(self) -> DataFrame:
-        return self._stage("space", lambda: transitions.state_space(self.transitions))
+        return self._stage("space", lambda: transitions.state_space(self.transitions), after=("transitions",))
 
     @cached_property
     def rates(self) -> DataFrame:
-        return self._stage("rates", lambda: transitions.self_rates(self.transitions, self.space))
+        return self._stage("rates", lambda: transitions.self_rates(self.transitions, self.space), after=("transitions",))
 
     @cached_property
     def global_matrix(self) -> DataFrame:
@@ -114,7 +137,7 @@ class JourneyContext:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return self._stage("risk", lambda: drift.drift_scores(self.logprob, self.coded_events))
+        return self._stage("risk", lambda: drift.drift_scores(self.logprob, self.coded_events), after=("transitions",))
 
     def merged_events(self, scored: DataFrame, threshold: float) -> DataFrame:
         """Coded events and uncoded ones labelled by ``scored``."""
@@ -144,6 +167,8 @@ class JourneyContext:
     @property
     def ens_tag(self) -> str:
         base = f"ens-w{self.window_size}-s{self.seed}"
+        if self.segment_method != "quantile":
+            base += f"-{self.segment_method}"
         return base if self.space_from == "all" else f"{base}-trainspace"
 
     @cached_property
@@ -165,7 +190,7 @@ class JourneyContext:
         tag = self.ens_tag
         return ensemble.Components(
             self.part("train"), self.model_space, self.model_rates, window_size=self.window_size, seed=self.seed,
-            keep=lambda name, build: self._stage(f"{tag}/{name}", build))
+            segment_method=self.segment_method, keep=lambda name, build: self._stage(f"{tag}/{name}", build))
 
     def annotated(self, name: str) -> DataFrame:
         from trailmark.operators import ensemble
@@ -206,3 +231,8 @@ class JourneyContext:
                 return rerank.candidate_lists(rows, self.components, self.weights, force_true=(name == "train"))
             return self._stage(f"{tag}-lists", build_lists)
         return self._stage(tag, build)
+
+    def ranked_lists(self, name: str) -> DataFrame:
+        """One row per row of the split: its candidates' offsets and terms (J9); a stage table."""
+        from trailmark.operators import listwise
+        return self._stage(f"{self.ens_tag}/ranked-{name}-{self.scorer_rows}", lambda: listwise.lists(self.candidate_features(name)))

@@ -22,6 +22,9 @@ join orders o on l.l_orderkey = o.o_orderkey
 join part p on l.l_partkey = p.p_partkey
 join customer c on o.o_custkey = c.c_custkey"""
 
+# Centres given to the assignment queries, on standardised drift, length and self-loop rate.
+GIVEN_CENTRES = [(-1.25, -0.5, 1.5), (-0.25, 1.25, 0.25), (0.0, -0.75, -0.25), (0.75, 0.5, -0.5), (1.5, -1.0, -0.75)]
+
 # name -> (dependencies, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx": ((), FIXTURE),
@@ -70,6 +73,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                           left join (select cur, nxt, count(*) * 1.0e0 as v from tr group by cur, nxt) c
                             on c.cur = g.cur and c.nxt = g.nxt
                           join sr s on s.state = g.cur))), nn"""),
+    # transition profiles (state i, place j) and the mean profile
+    "prf": (("grid", "tr", "nn"), """select cur_idx as i, nxt_idx as j, (c + 0.01e0) / (sum(c) over (partition by cur_idx) + n * 0.01e0) as v
+        from (select g.cur_idx, g.nxt_idx, coalesce(t.c, 0.0e0) as c from grid g
+              left join (select cur, nxt, count(*) * 1.0e0 as c from tr group by cur, nxt) t on t.cur = g.cur and t.nxt = g.nxt), nn"""),
+    "prm": (("prf",), "select j, avg(v) as m from prf group by j"),
     "lp": (("tr", "gm"), """select t.*, ln(greatest(coalesce(g.p, 0), 1e-9)) as log_prob,
         t.cur = t.nxt as is_self
         from tr t left join gm g on g.cur = t.cur and g.nxt = t.nxt"""),
@@ -156,11 +164,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           when mean_drift < q20 and mean_loop > 0.5 then 'Sector Loyalist'
           when mean_len > q75 then 'Career Veteran'
           when mean_drift > q50 then 'Gradual Mover' else 'Stable Specialist' end as archetype
-        from (select cluster, count(*) as n_users, avg(drift_score) as mean_drift, avg(seq_length) as mean_len,
+        from (select cluster, count(*) as n_users, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len,
                      avg(self_loop_rate) as mean_loop from clu group by cluster) s,
              (select quantile_cont(mean_drift, 0.8) as q80, quantile_cont(mean_drift, 0.2) as q20,
                      quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
-              from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len from clu group by cluster))"""),
+              from (select cluster, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len from clu group by cluster))"""),
     "smap": (("clu", "csum"), "select c.person_id, s.archetype from clu c join csum s on s.cluster = c.cluster"),
     # segments of every entity of the drift table
     "clua": (("risk",), """select r.*, cast((drift_score > q0)::int + (drift_score > q1)::int + (drift_score > q2)::int
@@ -171,21 +179,37 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
           when mean_drift < q20 and mean_loop > 0.5 then 'Sector Loyalist'
           when mean_len > q75 then 'Career Veteran'
           when mean_drift > q50 then 'Gradual Mover' else 'Stable Specialist' end as archetype
-        from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len,
+        from (select cluster, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len,
                      avg(self_loop_rate) as mean_loop from clua group by cluster) s,
              (select quantile_cont(mean_drift, 0.8) as q80, quantile_cont(mean_drift, 0.2) as q20,
                      quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
-              from (select cluster, avg(drift_score) as mean_drift, avg(seq_length) as mean_len from clua group by cluster))"""),
+              from (select cluster, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len from clua group by cluster))"""),
     "smapa": (("clua", "csua"), "select c.*, s.archetype from clua c join csua s on s.cluster = c.cluster"),
     # uncoded events with a score made in SQL, and the labels merged through the gate
     "scu": (("ev",), """select person_id, matched_label, start_date,
           cast(100 + (length(matched_label) * 7) % 800 as varchar) as predicted,
           (length(combined_text) * 37 % 101) / 100.0e0 as confidence from ev where needs_nlp"""),
-    "mrg": (("ev", "scu"), """select person_id, matched_label, start_date, yr, needs_nlp, occupation_group,
+    "mrg": (("ev", "scu"), """select person_id, matched_label, start_date, yr, needs_nlp, matched_code, occupation_group,
           occupation_group as state, 'code' as label_source from ev where not needs_nlp
-        union all select e.person_id, e.matched_label, e.start_date, e.yr, e.needs_nlp, e.occupation_group, s.predicted, 'model'
+        union all select e.person_id, e.matched_label, e.start_date, e.yr, e.needs_nlp, e.matched_code, e.occupation_group, s.predicted, 'model'
         from ev e join scu s on s.person_id = e.person_id and s.matched_label = e.matched_label and s.start_date = e.start_date
         where e.needs_nlp and s.confidence >= 0.35"""),
+    # segments from given centres of the standardised features
+    "kx": (("risk",), """select r.*, (drift_score - m1) / s1 as x1, (seq_length - m2) / s2 as x2, (self_loop_rate - m3) / s3 as x3
+        from risk r, (select avg(drift_score) as m1, stddev_pop(drift_score) as s1, avg(seq_length) as m2, stddev_pop(seq_length) as s2,
+                             avg(self_loop_rate) as m3, stddev_pop(self_loop_rate) as s3 from risk)"""),
+    "kclu": (("kx",), f"""select * exclude (r_, c_) from (select x.*, k.c_, cast(k.c_ as integer) as cluster, row_number() over (partition by person_id order by
+            (x1 - y1) * (x1 - y1) + (x2 - y2) * (x2 - y2) + (x3 - y3) * (x3 - y3), c_) as r_
+        from kx x, (values {", ".join(f"({i}, {a!r}e0, {b!r}e0, {c!r}e0)" for i, (a, b, c) in enumerate(GIVEN_CENTRES))}) k(c_, y1, y2, y3)) where r_ = 1"""),
+    "ksum": (("kclu",), """select s.*, case when mean_drift > q80 and mean_loop < 0.3 then 'Career Switcher'
+          when mean_drift < q20 and mean_loop > 0.5 then 'Sector Loyalist'
+          when mean_len > q75 then 'Career Veteran'
+          when mean_drift > q50 then 'Gradual Mover' else 'Stable Specialist' end as archetype
+        from (select cluster, count(*) as n_users, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len,
+                     avg(self_loop_rate) as mean_loop from kclu group by cluster) s,
+             (select quantile_cont(mean_drift, 0.8) as q80, quantile_cont(mean_drift, 0.2) as q20,
+                     quantile_cont(mean_drift, 0.5) as q50, quantile_cont(mean_len, 0.75) as q75
+              from (select cluster, floor(avg(drift_score) * 1e9 + 0.5) / 1e9 as mean_drift, floor(avg(seq_length) * 1e9 + 0.5) / 1e9 as mean_len from kclu group by cluster))"""),
     "tra": (("trn", "smap", "csum"), """select t.*, coalesce(m.archetype, 'Stable Specialist') as archetype
         from trn t left join smap m on m.person_id = t.person_id
         where coalesce(m.archetype, 'Stable Specialist') in (select archetype from csum)"""),
@@ -200,14 +224,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         union all
         select a.archetype, g.cur, g.nxt, g.cur_idx, g.nxt_idx, g.p
         from (select archetype from tra group by archetype having count(*) < 50) a cross join gmt g"""),
-    # annotated evaluation rows (validation and test)
-    "ann": (("trs", "smap", "wins", "sp"), """select t.person_id, t.pos, t.split, t.yr, t.cur, t.nxt, t.prev, t.univ_flag,
+    # annotated rows of every split, and the evaluation ones
+    "anna": (("trs", "smap", "wins", "sp"), """select t.person_id, t.pos, t.split, t.yr, t.cur, t.nxt, t.prev, t.univ_flag,
           coalesce(m.archetype, 'Stable Specialist') as archetype, coalesce(w.win, -1) as win,
           coalesce(w.win_label, 'global') as win_key, c.idx as cur_idx, n.idx as nxt_idx, p.idx as prev_idx
         from trs t left join smap m on m.person_id = t.person_id
         left join wins w on t.yr between w.start_year and w.end_year
-        join sp c on c.state = t.cur join sp n on n.state = t.nxt left join sp p on p.state = t.prev
-        where t.split in ('val', 'test')"""),
+        join sp c on c.state = t.cur join sp n on n.state = t.nxt left join sp p on p.state = t.prev"""),
+    "ann": (("anna",), "select * from anna where split in ('val', 'test')"),
     "annp": (("ann", "pri"), """select a.*, case when a.person_id in (select person_id from pri) then a.person_id end
         as prior_entity from ann a"""),
     # component cells for every evaluation context (back-off to global)
@@ -256,3 +280,18 @@ def sql_with(extra: str, final: str, *needs: str) -> str:
 def R(x: str, d: int = 6) -> str:
     """Same half-up rounding as ``round_to`` on the Spark side."""
     return f"floor(({x}) * 1e{d} + 0.5) / 1e{d}"
+
+
+#: The journey's events when accepted scores label uncoded events too.
+_CODED = CTES["ce"][1]
+
+
+def with_scores(text: str) -> str:
+    """The same query over the journey whose uncoded events carry accepted
+    labels: only the events it starts from change."""
+    merged = f"""{_CODED}
+        union all select e.*, s.predicted as state from ev e join ({CTES['scu'][1]}) s
+          on s.person_id = e.person_id and s.matched_label = e.matched_label and s.start_date = e.start_date
+        where e.needs_nlp and s.confidence >= 0.35"""
+    assert _CODED in text
+    return text.replace(_CODED, merged)
