@@ -264,3 +264,82 @@ def test_one_doc_id_with_two_texts(spark):
     kept = sorted([tuple(r) for r in near_text.keep_one(d, width=5).collect()], key=repr)
     assert kept == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+# ---------------------------------------------------------------- extraction: what stays in an article
+
+def page_text(page):
+    from trailmark.llm import html_text
+    found = html_text.blocks(page)
+    return html_text.chosen_text([k for k, _ in found], [t for _, t in found], [])
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article class="post type-post category-social"><p>a b</article>', "a b"),
+    ('<article class="post ad-free"><p>a b</article>', "a b"),
+    ('<div class="content sidebar-right"><p>a b</div><div class="sidebar-right">c</div>', "a b"),
+    ('<form id=aspnet><nav>x</nav><article><p>a b<form>q</form></article><p>other</form>', "a b"),
+    ('<form><p>only here</form>', "only here"),
+    ('<article><section id="social-effects"><p>a b</section></article>', "a b"),
+    ('<article><div class="article-header"><h1>T</h1></div><p>a b</article>', "T\na b"),
+    ('<main><h1>T</h1><article><p>a b</article><div>More stories</div></main>', "T\na b"),
+    ('<main><p>a b</p><p>c</p></main>', "a b\nc"),
+    ('<body><div class="site-header">x</div><div class="cookie-banner top">y</div><div class="share-buttons">z</div><p>a b</body>', "a b"),
+    ('<article><p>a<div class="related-posts">x</div><div class="comment-list">y</div><div id="ad-slot-3">z</div></article>', "a"),
+])
+def test_names_and_containers(page, text):
+    assert page_text(page) == text
+
+
+def test_headings_and_quotes_stay_in_articles(spark):
+    from trailmark.llm import html_text
+    rng = random.Random(2)
+    own = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30))
+    quote = "the committee said on monday that nothing at all had been decided yet"
+    notice = "sign up here for our weekly letter and never miss a story again"
+    rows, want = [], {}
+    for i in range(6):
+        x = [own(), own()]
+        cited = f"<p>{quote}</p>" if i < 2 else ""
+        rows.append((i, f"https://a.org/{i}", f"<article><h2>Introduction</h2><p>{x[0]}</p><p>Yes.</p>{cited}<p>{notice}</p><h2>Conclusion</h2><p>{x[1]}</p></article>"))
+        want[i] = "\n".join(["Introduction", x[0], "Yes.", *([quote] if i < 2 else []), "Conclusion", x[1]])
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_repeated_runs_against_brute_force(spark, monkeypatch, seed):
+    """Runs of RUN tokens on enough versions of a host, counted in a dictionary."""
+    from trailmark.llm import html_text
+    monkeypatch.setattr(html_text, "near_versions", lambda read: spark.createDataFrame([], "node long, root long"))
+    rng = random.Random(seed)
+    shared = [" ".join(rng.choice("abcdefghijklm") * 3 for _ in range(rng.randint(8, 20))) for _ in range(6)]
+    pages = {}
+    for i in range(40):
+        blocks = [" ".join(rng.choice("nopqrstuvwxyz") * rng.randint(1, 4) for _ in range(rng.randint(1, 25))) for _ in range(4)]
+        blocks += rng.sample(shared, rng.randint(0, 2))
+        rng.shuffle(blocks)
+        pages[i] = (("article", "div")[i % 2], blocks)
+    versions = defaultdict(set)
+    for i, (tag, blocks) in pages.items():
+        for b in blocks:
+            w = b.split()
+            runs = [tuple(w[k:k + 8]) for k in range(len(w) - 7)] if len(w) >= 8 else [tuple(w)] if tag == "div" else []
+            for r in runs:
+                versions[tag, r].add("\n".join(blocks))
+    want = {}
+    for i, (tag, blocks) in pages.items():
+        hits, sizes = [], []
+        for b in blocks:
+            w = b.split()
+            sizes.append(len(w))
+            cover = set()
+            for k in range(max(1, len(w) - 7)):
+                if len(versions[tag, tuple(w[k:k + 8])]) >= (3 if tag == "article" else 2):
+                    cover.update(range(k, min(len(w), k + 8)))
+            hits.append(len(cover))
+        copy = 2 * sum(hits) > sum(sizes)
+        want[i] = "\n".join(b for b, h, n in zip(blocks, hits, sizes) if 2 * h < n or copy and n >= html_text.SHORT)
+    df = spark.createDataFrame([(i, "https://h.org/x", f"<{t}>" + "".join(f"<p>{b}</p>" for b in bs) + f"</{t}>") for i, (t, bs) in pages.items()],
+                               "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want

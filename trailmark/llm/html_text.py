@@ -19,10 +19,19 @@ a copied page does not make its own text boilerplate.
 
 A page's text is its article container's blocks, or container and neutral blocks if
 more unrepeated words are outside the container than in it; without a container it
-is its neutral blocks. Blocks covered (by half or more of their tokens) by repeated
-runs go. If repeats cover most of such a page, it is a near copy of others: then
+is its neutral blocks. Runs have at least ``RUN`` tokens. Blocks covered (by half or more of
+their tokens) by repeated runs go; a block inside a container goes only if its runs stand
+on ``VERSIONS`` or more distinct versions, and a shorter one only outside containers (such a
+block is a run by itself). So a heading that many articles use, or a
+sentence that two articles quote, stays. If repeats cover most of such a page, it is a near copy of others: then
 only covered blocks of fewer than ``SHORT`` words go.
 
+What the markup says: class and id names count as whole names or as compounds of known
+words only (``site-header``, not ``article-header`` or ``category-social``); they do not
+decide on ``article`` and ``main`` themselves or on an element that is also
+named as content. An article inside a page-wide form is a container. Inside ``main``,
+what follows its last article is no text of the article.
+
 Defined cases: null or empty html has the empty text; repeated rows are repeated;
 markup that never ends is dropped to the end of the page; a null url is a host of
 its own; other columns are ignored; an empty table gives no rows.
@@ -56,7 +65,11 @@ PARTS = 4096
 PART_SUFFIXES = 500_000
 #: Letters of text worked on at once (memory only).
 SLICE_CHARS = 2_000_000
+#: Distinct versions of which a run inside containers must be to be a repeated one (outside: 2).
+VERSIONS = 3
 MAIN, NEUTRAL, HINTED = 0, 1, 2
+#: While a page is read: inside ``main`` but no article, and inside a form but no container.
+OUTER, FORM = 3, 4
 
 # Element names of HTML, by their part here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,6 +90,12 @@ JUNK_NAMES = frozenset(
     "replies reply respond search share sharing sidebar signin signup social sponsor sponsored subscribe subscription toolbar "
     "widget widgets".split())
 NOT_NAMES = frozenset("has is no not with without".split())
+#: Words that make a compound with junk names, and names of content beside which junk names do not decide.
+JUNK_WITH = frozenset(
+    "area bar block bottom box btn button buttons card cards container content form global group head icons inner items left link "
+    "links list main message mobile outer page panel popular post posts primary right secondary section site slot stories text top "
+    "unit wrap wrapper".split())
+CONTENT_NAMES = frozenset("article content entry hentry post".split())
 MAIN_NAMES = frozenset(
     "article article-body article-content article-text articlebody entry-content main-content mainbody page-content post-body "
     "post-content story story-body story-content".split())
@@ -101,15 +120,22 @@ def _kind(tag: str, attributes: str, kind: int) -> tuple[int, bool]:
         return HINTED, True
     names = f"{at.get('class', '')} {at.get('id', '')}".lower().split()
     role = at.get("role", "").lower()
-    if kind == HINTED or tag in JUNK_TAGS or role in JUNK_ROLES or tag == "header" and kind != MAIN:
+    if kind == HINTED or role in JUNK_ROLES or tag in JUNK_TAGS and tag != "form" or tag == "header" and kind not in (MAIN, OUTER):
         return HINTED, False
-    if tag not in ("html", "body", "main"):
+    if tag == "article" or role == "article" or at.get("itemprop", "").lower() == "articlebody":
+        return MAIN, False
+    if tag == "main" or role == "main":
+        return (MAIN if kind == MAIN else OUTER), False
+    if tag == "form":
+        return (HINTED if kind in (MAIN, OUTER) else FORM), False
+    if tag not in ("html", "body") and CONTENT_NAMES.isdisjoint(names) and MAIN_NAMES.isdisjoint(names):
         for name in names:
             parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-            if parts and parts[0] not in NOT_NAMES and name not in MAIN_NAMES and not JUNK_NAMES.isdisjoint(parts):
+            if not parts or parts[0] in NOT_NAMES or JUNK_NAMES.isdisjoint(parts):
+                continue
+            if all(x in JUNK_NAMES or x in JUNK_WITH or x.isdigit() for x in parts):
                 return HINTED, False
-    if tag in ("article", "main") or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody" \
-            or not MAIN_NAMES.isdisjoint(names):
+    if not MAIN_NAMES.isdisjoint(names):
         return MAIN, False
     return kind, False
 
@@ -174,7 +200,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
             close()
         stack.append((tag, kind, hidden or stack[-1][2]))
     close()
-    return out
+    return _settled(out)
+
+
+def _settled(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Blocks of ``main`` are text if no article is in it or one still follows;
+    blocks of a form are neutral on a page that has no others."""
+    last = max((i for i, (k, _) in enumerate(found) if k == MAIN), default=-1)
+    any_ = any(k in (MAIN, OUTER, NEUTRAL) for k, _ in found)
+    return [(MAIN if k == OUTER and (last < 0 or i < last) else HINTED if k == OUTER else (HINTED if any_ else NEUTRAL) if k == FORM else k, t)
+            for i, (k, t) in enumerate(found)]
 
 
 def host_of(url: str | None) -> str | None:
@@ -194,9 +229,10 @@ _PLACES = near_text.mixed(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
 _INSIDE = np.uint64(0xA24BAED4963EE407)
 
 
-def suffix_keys(texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_keys(texts: list[str], salts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Block, place and key of the suffixes of the blocks, cut at RUN tokens; a
-    shorter block is one run. ``salts`` has a number per block."""
+    shorter block outside a container is one run. ``salts`` has a number per
+    block, ``inside`` whether it is in a container: the key's lowest bit."""
     words, counts = near_text.word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts])
     counts = counts.astype(np.int64)
     n = len(words)
@@ -208,13 +244,14 @@ def suffix_keys(texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.nda
     block = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - starts[block]
     full = place + RUN <= counts[block]
-    short = np.flatnonzero((counts > 0) & (counts < RUN))
+    short = np.flatnonzero((counts > 0) & (counts < RUN) & ~inside)
     part = near_text.mixed(counts[short].astype(np.uint64))
     for j in range(RUN - 1):
         part += np.where(j < counts[short], padded[starts[short] + j] * _PLACES[j], np.uint64(0))
     block, place, keys = block[full], place[full], whole[full]
     block, place = np.concatenate([block, short]), np.concatenate([place, np.zeros(len(short), np.int64)])
-    return block, place, near_text.mixed(np.concatenate([keys, part]) + salts[block])
+    keys = near_text.mixed(np.concatenate([keys, part]) + salts[block])
+    return block, place, keys >> np.uint64(1) << np.uint64(1) | inside[block].astype(np.uint64)
 
 
 READ = "row long, host string, version long, n_words long, page_id long, url string, kinds array<int>, texts array<string>"
@@ -288,7 +325,7 @@ def _page_suffixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     kind = np.array([x for k in kinds for x in k], np.int64)
     block = np.array([i for k in kinds for i in range(len(k))], np.int64)
     salts = hosts[page] + np.where(kind == MAIN, _INSIDE, np.uint64(0))
-    at, place, keys = suffix_keys([t for x in b.column("texts").to_pylist() for t in x], salts)
+    at, place, keys = suffix_keys([t for x in b.column("texts").to_pylist() for t in x], salts, kind == MAIN)
     return page[at], block[at], kind[at], place, keys
 
 
@@ -310,9 +347,12 @@ def _post(parts: int, linked):
                 continue
             new = np.r_[True, keys[1:] != keys[:-1]]
             last = np.r_[new[1:], True]
-            # of equal suffixes the first and the last stay, if they are of two versions
+            # of equal suffixes the first and the last stay, if they are of two versions, and one between
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            keep = new | last & (marks != marks[first])
+            end = len(new) - 1 - np.maximum.accumulate(np.where(last[::-1], np.arange(len(new)), 0))[::-1]
+            other = (marks != marks[first]) & (marks != marks[end]) & ~new
+            third = other & ~np.append(False, other[:-1] & ~new[1:])
+            keep = new | last & (marks != marks[first]) | third
             keys, marks = keys[keep], marks[keep]
             part = (keys % np.uint64(parts)).astype(np.int64)
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -330,8 +370,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, marks = np.frombuffer(b"".join(held[0]), np.uint64), np.frombuffer(b"".join(held[1]), np.uint32)
         order = np.lexsort((marks, keys))
         keys, marks = keys[order], marks[order]
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(keys[1:][(keys[1:] == keys[:-1]) & (marks[1:] != marks[:-1])]).view(np.int64))],
-                                          names=["key"])
+        new = np.append(True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]))
+        keys, n = np.unique(keys[new], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys[n >= np.where(keys & np.uint64(1), VERSIONS, 2)].view(np.int64))], names=["key"])
 
     part, held = None, ([], [])
     for b in batches:
