@@ -343,3 +343,30 @@ def test_repeated_runs_against_brute_force(spark, monkeypatch, seed):
     df = spark.createDataFrame([(i, "https://h.org/x", f"<{t}>" + "".join(f"<p>{b}</p>" for b in bs) + f"</{t}>") for i, (t, bs) in pages.items()],
                                "page_id long, url string, html string").repartition(4)
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == want
+
+
+# ---------------------------------------------------------------- embedding near-dedup: copies and hot filters
+
+@pytest.mark.parametrize("hot", [8_192, 20])
+def test_caps_of_copies_and_hot_filters(spark, monkeypatch, hot):
+    from trailmark.llm import caps
+    monkeypatch.setattr(caps, "HOT_ROWS", hot)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((260, 32))
+    x[40:160] = x[40] + rng.normal(scale=0.05, size=(120, 32))   # one dense group
+    x[160:220] = x[160]                                          # copies
+    x[220] = x[160] * 2
+    x[221:230] = x[40]
+    rows = [(i, [float(c) for c in v], 1 if i < 250 else None) for i, v in enumerate(x)] + [(5, [float(c) for c in x[5]], 1), (None, [1.0] * 32, 1), (None, None, None)]
+    got = {r.vec_id: r for r in caps.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect() if r.vec_id is not None}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.93
+    link[250:] = link[:, 250:] = False
+    np.fill_diagonal(link, False)
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.minimum(root, np.where(link, root[None, :], len(x)).min(axis=1))
+        if (new == root).all():
+            break
+        root = new
+    assert {i: (got[i].n_links, got[i].component_id) for i in range(len(x))} == {i: (link[i].sum(), root[i]) for i in range(len(x))}
