@@ -158,3 +158,23 @@ def test_a_branch_with_scores_keeps_the_coded_one(spark):
     assert added > 0 and n < m <= n + added
     with pytest.raises(ValueError):
         JourneyContext(spark, SF, labels_from="scores")
+
+
+def test_forest_beats_the_majority(spark):
+    from trailmark.operators import classify
+    rows = [(i, ("eins zwei drei " if i % 3 == 0 else "one two three ") + f"w{i % 7}", "de" if i % 3 == 0 else "en") for i in range(120)] + [(500, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = classify.train_classifier(df.filter("doc_id % 4 <> 0"), "text", "lang", num_features=64, kind="forest", trees=5, depth=4)
+    assert sorted(m.labels) == ["de", "en"]
+    got = classify.score(m, df.filter("doc_id % 4 = 0 and lang is not null")).collect()
+    assert sum(r.predicted == r.lang for r in got) / len(got) > 2 / 3
+    with pytest.raises(ValueError):
+        classify.train_classifier(df, "text", "lang", kind="other")
+
+
+def test_bucket_sums_shuffle_no_tokens(spark, capsys):
+    from trailmark.operators import classify
+    df = spark.createDataFrame([(1, "a bb a"), (2, None)], "doc_id long, text string")
+    classify.bucket_sums(df, "doc_id", "text").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(doc_id" in plan and "token" not in [a for line in plan.splitlines() if line.startswith("Arguments: hashpartitioning") for a in line.split()]

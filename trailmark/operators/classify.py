@@ -59,7 +59,8 @@ def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Per label precision, recall, F1 and support over the labels
     seen on either side, then the support-weighted average and accuracy
     (accuracy in the f1 column, as a classification report prints it)."""
-    cm = confusion_matrix(df, actual, predicted)
+    # labels x labels rows, computed once: every part below reads the small table
+    cm = confusion_matrix(df, actual, predicted).checkpoint()
     tp = cm.filter(F.col(actual) == F.col(predicted)).select(F.col(actual).alias("label"), F.col("n").alias("tp"))
     sup = cm.groupBy(F.col(actual).alias("label")).agg(F.sum("n").alias("support"))
     pred = cm.groupBy(F.col(predicted).alias("label")).agg(F.sum("n").alias("n_pred"))
@@ -110,23 +111,23 @@ class TextClassifier:
     pipeline: object
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): words and character trigrams of the lower-cased text."""
+def tokens(text: str):
+    """Words and character trigrams of the lower-cased text, as one array."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
-    grams = F.regexp_extract_all(low, F.lit(r"(?s)(?=(...))"), F.lit(1))
-    return df.select(F.col(key), F.explode(F.concat(words, grams)).alias("token")) \
-             .groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    return F.concat(words, F.regexp_extract_all(low, F.lit(r"(?s)(?=(...))"), F.lit(1)))
 
 
 def bucket_sums(df: DataFrame, key: str, text: str, dim: int = EMBED_DIM) -> DataFrame:
     """I1 encoder, long form: signed feature hashing of words and trigrams into
-    ``dim`` buckets. (key, bucket, w) with integer sums; native."""
+    ``dim`` buckets. (key, bucket, w) with integer sums; native. Tokens are
+    summed into buckets where they are read: at most ``dim`` rows of a text are
+    shuffled, whatever its length."""
     h = F.md5(F.col("token"))
     bucket = (F.conv(F.substring(h, 1, 7), 16, 10).cast("long") % dim).cast("int")
     sign = F.when(F.substring(h, 8, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
-    return token_counts(df, key, text).groupBy(F.col(key), bucket.alias("bucket")) \
-        .agg(F.sum(sign * F.col("n")).alias("w")).filter("w <> 0")
+    signed = df.select(F.col(key), F.explode(tokens(text)).alias("token")).select(F.col(key), bucket.alias("bucket"), sign.cast("long").alias("s"))
+    return signed.groupBy(key, "bucket").agg(F.sum("s").alias("w")).filter("w <> 0")
 
 
 def hashed_embedding(df: DataFrame, text: str, key: str, out: str = "embedding", dim: int = EMBED_DIM) -> DataFrame:
@@ -141,21 +142,30 @@ def hashed_embedding(df: DataFrame, text: str, key: str, out: str = "embedding",
 
 
 def train_classifier(train: DataFrame, text: str, label: str, weight: str | None = None,
-                     num_features: int = 1 << 16, reg: float = 0.01, max_iter: int = 50) -> TextClassifier:
+                     num_features: int = 1 << 16, reg: float = 0.01, max_iter: int = 50, kind: str = "logistic",
+                     trees: int = 30, depth: int = 10, seed: int = 42) -> TextClassifier:
     """I4: tokenizer -> hashing TF -> IDF -> multinomial logistic regression
-    (MLlib), labels indexed by frequency; rows without a label are left out, so
-    there are exactly as many classes as labels."""
+    or, with ``kind="forest"``, a random forest (MLlib), labels indexed by
+    frequency; rows without a label are left out, so there are exactly as many
+    classes as labels. A forest splits on at most 2**12 hashed features: its
+    statistics grow with features x nodes, not with rows."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 
     known = train.filter(F.col(label).isNotNull())
     indexer = StringIndexer(inputCol=label, outputCol="_y").fit(known)
+    weighted = {"weightCol": weight} if weight else {}
+    if kind == "logistic":
+        fitted = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg, maxIter=max_iter, family="multinomial", **weighted)
+    elif kind == "forest":
+        num_features = min(num_features, 1 << 12)
+        fitted = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, **weighted)
+    else:
+        raise ValueError("kind must be 'logistic' or 'forest'")
     stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True),
               HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-              IDF(inputCol="_tf", outputCol="_x"),
-              LogisticRegression(featuresCol="_x", labelCol="_y", regParam=reg, maxIter=max_iter,
-                                 family="multinomial", **({"weightCol": weight} if weight else {}))]
+              IDF(inputCol="_tf", outputCol="_x"), fitted]
     return TextClassifier(list(indexer.labels), Pipeline(stages=stages).fit(indexer.transform(known)))
 
 

@@ -38,7 +38,7 @@ FEATURE_GROUPS = {
     "J_ensemble_score": [14],
 }
 # A fixed linear scorer (our own weights): it makes the rerank path
-# deterministic and checkable; a learned scorer replaces it (``train_scorer``).
+# deterministic and checkable; ``listwise`` learns one.
 FIXED_WEIGHTS = [0.5, 1.0, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.1, 0.1, 0.0, 0.2, 0.1, 5.0]
 SCORE_DIGITS = 9
 ROW = ["person_id", "pos"]
@@ -90,17 +90,6 @@ def candidate_lists(rows: DataFrame, comp, weights: DataFrame, k: int = TOP_K,
              .drop("topk", "g", "r", "s", "h", "p"))
 
 
-def state_embeddings_from_table(space: DataFrame, emb: DataFrame, id_col: str = "vec_id",
-                                vec_col: str = "embedding") -> DataFrame:
-    """(state_idx, emb) taking the table's vector with id == state index;
-    unit length is enforced."""
-    e = emb.select(F.col(id_col).cast("int").alias("state_idx"),
-                   F.transform(vec_col, lambda x: x.cast("double")).alias("_e"))
-    e = e.withColumn("_nrm", F.sqrt(dot("_e", "_e")))
-    e = e.select("state_idx", F.transform("_e", lambda x: x / F.col("_nrm")).alias("emb"))
-    return e.join(space.select(F.col("idx").alias("state_idx")), "state_idx", "left_semi")
-
-
 def state_embeddings_from_text(names: DataFrame, encode, state: str = "state", name: str = "name",
                                idx: str = "idx") -> DataFrame:
     """One unit vector per state from its canonical text
@@ -226,29 +215,6 @@ def win_margin(ranked: DataFrame) -> DataFrame:
                       .alias("margin"))
 
 
-def train_scorer(train_feats: DataFrame, val_feats: DataFrame, reg_params=(0.0, 0.01, 0.1)):
-    """J9, re-aimed: pointwise logistic regression over (row, candidate)
-    rows (label = candidate is the true next); the regParam with the best
-    validation top-1 wins. Returns (model, weights per feature, val top-1)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    va = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    lab = (F.col("cand_idx") == F.col("nxt_idx")).cast("double").alias("label")
-    tr = va.transform(train_feats.select("*", lab)).select("features", "label").persist()
-    best = None
-    for rp in reg_params:
-        m = LogisticRegression(regParam=rp, maxIter=50).fit(tr)
-        coef = [float(c) for c in m.coefficients]
-        ranked = rerank(val_feats, linear_score(coef))
-        top1 = ranked.filter((F.col("new_rank") == 0) & (F.col("cand_idx") == F.col("nxt_idx"))).count() \
-            / max(val_feats.select(*ROW).distinct().count(), 1)
-        if best is None or top1 > best[2]:
-            best = (m, coef, top1)
-    tr.unpersist()
-    return best
-
-
 def group_importance(coef) -> list[tuple[str, float]]:
     """J14 for a linear scorer: mean |coefficient| per group, normalised to 1."""
     vals = {g: sum(abs(coef[i]) for i in idx) / len(idx) for g, idx in FEATURE_GROUPS.items()}

@@ -341,9 +341,9 @@ def q_sequence_length_hist(spark, sf):
 def q_dense_matrix(spark, sf):
     ctx = context(spark, sf)
     counts = markov.indexed_counts(ctx.transitions, ctx.space)
-    m = markov.transition_matrix(ctx.transitions, ctx.space) \
-        .select("cur_idx", F.posexplode("p").alias("nxt_idx", "_p")).drop("_p")
-    cells = m.join(counts, ["cur_idx", "nxt_idx"], "left")
+    last = markov.n_states(ctx.space) - 1
+    grid = ctx.space.select(F.col("idx").alias("cur_idx"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("nxt_idx"))
+    cells = grid.join(counts, ["cur_idx", "nxt_idx"], "left")
     sp = ctx.space
     return (cells.join(sp.select(F.col("idx").alias("cur_idx"), F.col("state").alias("cur")), "cur_idx")
                  .join(sp.select(F.col("idx").alias("nxt_idx"), F.col("state").alias("nxt")), "nxt_idx")
@@ -823,6 +823,23 @@ def q_candidate_lists(spark, sf):
                                      lambda s: s["cand_idx"].cast("string"))).alias("cands"))
 
 
+_ALL_SPLITS = ("select * from anna where split in ('val', 'test')", "select * from anna")
+
+
+@query("candidate_lists_forced", sql_with(SCORED_CTES.replace("c.split = 'test'", "c.split = 'train'") + f""",
+    lst as (select a.person_id, a.pos, a.nxt_idx, list(r.j order by r.rk) as l from annp a join ranked r on {JOIN_KEYS.format(a='a', b='r')}
+            where a.split = 'train' and r.split = 'train' and r.rk <= {rerank.TOP_K} group by a.person_id, a.pos, a.nxt_idx),
+    frc as (select *, case when list_contains(l, nxt_idx) then l else list_append(l[1:{rerank.TOP_K - 1}], nxt_idx) end as c from lst)""",
+    """select person_id, pos, nxt_idx, list_position(c, nxt_idx) - 1 as true_pos, array_to_string(c, ',') as cands from frc""",
+    *("cells", "sr", "annp")).replace(*_ALL_SPLITS))
+def q_candidate_lists_forced(spark, sf):
+    """J8 as the learned ranking is trained: all training rows, the true next forced into the list."""
+    ctx = context(spark, sf)
+    c = rerank.candidate_lists(ctx.annotated("train"), ctx.components, ctx.weights, force_true=True)
+    return c.select("person_id", "pos", "nxt_idx", F.col("true_pos").cast("long").alias("true_pos"),
+                    F.concat_ws(",", F.transform("cands", lambda i: i.cast("string"))).alias("cands"))
+
+
 @query("candidate_features", _rr_sql(f"""select person_id, pos, cur_idx, nxt_idx, true_pos, rank, cand_idx,
       {", ".join(f"{R(k)} as {k}" for k in rerank.FEATURES)} from feats"""))
 def q_candidate_features(spark, sf):
@@ -1075,6 +1092,17 @@ def q_classifier_report(spark, sf):
     return classify.class_report(_doc_scores(spark, sf), "lang", "predicted")
 
 
+@query("classifier_report_forest")
+def q_classifier_report_forest(spark, sf):
+    """I4 with the random forest: class report on the held-out split."""
+    def build():
+        s = _doc_split(spark, sf)
+        w = classify.class_weights(s.filter("split = 'train'"), "lang").select("lang", "weight")
+        return classify.train_classifier(s.filter("split = 'train'").join(w, "lang"), "text", "lang", weight="weight", kind="forest")
+    model = _model(context(spark, sf), "doc_forest", build)
+    return classify.class_report(classify.score(model, _doc_split(spark, sf).filter("split = 'test'")), "lang", "predicted")
+
+
 @query("confidence_hist")
 def q_confidence_hist(spark, sf):
     """I7."""
