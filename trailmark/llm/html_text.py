@@ -9,7 +9,11 @@ The blocks of all pages of a host, as streams of tokens, make the host's suffix
 array: every suffix that starts in a block, cut at ``RUN`` tokens or the block's
 end. The array is a distributed table, dealt out by key; suffixes with equal cut
 prefixes are neighbours in it, and a run that starts suffixes of at least two
-distinct pages is a repeated one. Blocks inside containers are compared among
+distinct pages is a repeated one. Before that the array's sparse form is dealt out:
+of every suffix only its anchor, the least hash of the ``GRAM``-token pieces of its
+run. Neighbouring suffixes mostly share it, and equal runs have equal anchors, so a
+run whose anchor is not on enough versions is on too few itself; only the other
+suffixes are dealt out in full. Blocks inside containers are compared among
 themselves and the others among themselves, so that the teaser of an article in
 another page's menu does not make the article's own words repeated ones. Equal
 suffixes are pre-aggregated before the shuffle; a host with a third of all pages is
@@ -53,16 +57,21 @@ from trailmark.llm import near_text
 from trailmark.llm.common import components, materialize
 
 RUN = 8
+#: Tokens of the pieces of a run of which one is its anchor.
+GRAM = 4
 SHORT = 10
 #: Bands of minhashes by which nearly equal main texts meet, and the sketch bits (of 64) that may differ.
 BANDS = 10
 BAND = 5
 SKETCH_ERRORS = 13
 #: Repeated runs, or linked versions, of at most so many rows are broadcast; beyond that they are joined.
+#: Of more repeated anchors none are used: all suffixes are dealt out in full, with the same result.
 BROADCAST_ROWS = 4_000_000
-#: The array is dealt out in at least so many parts, and parts of about so many suffixes (memory only).
-PARTS = 4096
-PART_SUFFIXES = 500_000
+#: The array is dealt out in at least so many parts (an even number), and parts of about so many suffixes; its
+#: sparse form, with a third of the entries, in larger ones (memory only).
+PARTS = 512
+PART_SUFFIXES = 1_000_000
+SPARSE_SUFFIXES = 4_000_000
 #: Letters of text worked on at once (memory only).
 SLICE_CHARS = 2_000_000
 #: Distinct versions of which a run inside containers must be to be a repeated one (outside: 2).
@@ -229,9 +238,9 @@ _PLACES = near_text.mixed(np.arange(1, RUN + 1, dtype=np.uint64)) | np.uint64(1)
 _INSIDE = np.uint64(0xA24BAED4963EE407)
 
 
-def suffix_keys(texts: list[str], salts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Block, place and key of the suffixes of the blocks, cut at RUN tokens; a
-    shorter block outside a container is one run. ``salts`` has a number per
+def suffix_keys(texts: list[str], salts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Block, place, key and anchor of the suffixes of the blocks, cut at RUN tokens; a
+    shorter block outside a container is one run, its own anchor. ``salts`` has a number per
     block, ``inside`` whether it is in a container: the key's lowest bit."""
     words, counts = near_text.word_hashes([t.lower().encode("utf-8", "surrogatepass") for t in texts])
     counts = counts.astype(np.int64)
@@ -244,14 +253,35 @@ def suffix_keys(texts: list[str], salts: np.ndarray, inside: np.ndarray) -> tupl
     block = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(n) - starts[block]
     full = place + RUN <= counts[block]
+    grams = near_text.mixed(sum(padded[j:n + RUN - GRAM + j] * _PLACES[j] for j in range(GRAM)) + np.append(salts[block], np.zeros(RUN - GRAM, np.uint64)))
+    least = grams[:n].copy()
+    for j in range(1, RUN - GRAM + 1):
+        np.minimum(least, grams[j:n + j], out=least)
     short = np.flatnonzero((counts > 0) & (counts < RUN) & ~inside)
     part = near_text.mixed(counts[short].astype(np.uint64))
     for j in range(RUN - 1):
         part += np.where(j < counts[short], padded[starts[short] + j] * _PLACES[j], np.uint64(0))
-    block, place, keys = block[full], place[full], whole[full]
+    block, place, keys, least = block[full], place[full], whole[full], least[full]
     block, place = np.concatenate([block, short]), np.concatenate([place, np.zeros(len(short), np.int64)])
     keys = near_text.mixed(np.concatenate([keys, part]) + salts[block])
-    return block, place, keys >> np.uint64(1) << np.uint64(1) | inside[block].astype(np.uint64)
+    anchors = np.concatenate([least, keys[len(least):]])
+    return block, place, _marked(keys, inside[block]), _marked(anchors, inside[block])
+
+
+def _marked(keys: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(1) << np.uint64(1) | inside.astype(np.uint64)
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _sieve_keys(anchors: np.ndarray, parts: int) -> np.ndarray:
+    """Part (its lowest bit tells whether inside containers) and 32 more bits of the anchors."""
+    return anchors % np.uint64(parts) << np.uint64(32) | anchors >> np.uint64(32)
 
 
 READ = "row long, host string, version long, n_words long, page_id long, url string, kinds array<int>, texts array<string>"
@@ -303,48 +333,58 @@ def _near_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         symbols = near_text.mixed((sig[:, :BANDS * BAND].astype(np.uint64) << np.uint64(8)) + np.arange(BANDS * BAND, dtype=np.uint64))
         bands = near_text.mixed(symbols.reshape(-1, BANDS, BAND).sum(axis=2, dtype=np.uint64) + hosts[:, None])
         versions = b.column("version").to_numpy()[some]
-        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel().view(np.int64)), pa.array(np.repeat(versions, BANDS)),
-                                          pa.array(np.repeat(sketch.view(np.int64), BANDS))], names=["band", "version", "sketch"])
+        # copies of a host in the slice are posted once
+        _, one = np.unique(np.stack([versions, hosts.view(np.int64)]), axis=1, return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(bands[one].ravel().view(np.int64)), pa.array(np.repeat(versions[one], BANDS)),
+                                          pa.array(np.repeat(sketch[one].view(np.int64), BANDS))], names=["band", "version", "sketch"])
 
 
 def near_versions(read: DataFrame) -> DataFrame:
     """(node, root) of the versions that are linked with another one: every
-    version meets the first one of its bands."""
+    version meets the first one of its bands, in a stream sorted by band."""
     postings = read.filter(F.array_contains("kinds", MAIN)).select("host", "version", "kinds", "texts").mapInArrow(_near_postings, POSTING)
-    first = postings.groupBy("band").agg(F.min(F.struct("version", "sketch")).alias("first"))
-    met = postings.join(first, "band").filter("version <> first.version").filter(
-        F.bit_count(F.col("sketch").bitwiseXOR(F.col("first.sketch"))) <= SKETCH_ERRORS)
-    return components(met.select(F.col("first.version").alias("a"), F.col("version").alias("b")).distinct())
+    rows = postings.select(F.col("band").alias("key"), F.col("version").alias("id"), F.col("version").alias("root"), "sketch")
+    met = rows.repartition("key").sortWithinPartitions("key", "root").mapInArrow(near_text._to_first, "id long, first long, apart int")
+    met = met.filter(F.col("apart") <= SKETCH_ERRORS)
+    return components(met.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
 
 
-def _page_suffixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Page (in the batch), block, kind, place and key of all suffixes of the batch."""
+def _page_suffixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Page (in the batch), block, kind, place, key and anchor of all suffixes of the batch."""
     kinds = b.column("kinds").to_pylist()
     hosts = np.array([_digest(x or "") for x in b.column("host").to_pylist()], np.int64).view(np.uint64)
     page = np.repeat(np.arange(b.num_rows), [len(k) for k in kinds])
     kind = np.array([x for k in kinds for x in k], np.int64)
     block = np.array([i for k in kinds for i in range(len(k))], np.int64)
     salts = hosts[page] + np.where(kind == MAIN, _INSIDE, np.uint64(0))
-    at, place, keys = suffix_keys([t for x in b.column("texts").to_pylist() for t in x], salts, kind == MAIN)
-    return page[at], block[at], kind[at], place, keys
+    at, place, keys, anchors = suffix_keys([t for x in b.column("texts").to_pylist() for t in x], salts, kind == MAIN)
+    return page[at], block[at], kind[at], place, keys, anchors
 
 
-def _post(parts: int, linked):
+def _post(parts: int, linked, sieve=None, sieve_parts: int = 0, sparse: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct suffixes of a slice of pages by part of the array, each with
-        the least and the greatest version that has it."""
+        """Distinct suffixes of a slice of pages (``sparse``: the sieve keys of their
+        anchors) by part of the array, each with up to three versions that have it.
+        With a sieve only those whose anchor is in it."""
         nodes, roots = linked.value if linked else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for b in _slices(batches):
-            page, _, _, _, keys = _page_suffixes(b)
+            page, _, _, _, keys, anchors = _page_suffixes(b)
+            if sparse:
+                change = np.append(True, (anchors[1:] != anchors[:-1]) | (page[1:] != page[:-1]))[:len(anchors)]
+                page, keys = page[change], _sieve_keys(anchors[change], parts)
+            elif sieve is not None:
+                some = _among(_sieve_keys(anchors, sieve_parts).view(np.int64), sieve.value)
+                page, keys = page[some], keys[some]
+            if not len(keys):
+                continue
             versions = b.column("version").to_numpy().copy()
             if len(nodes):
                 at = np.minimum(np.searchsorted(nodes, versions), len(nodes) - 1)
                 versions = np.where(nodes[at] == versions, roots[at], versions)
             marks = (near_text.mixed(versions.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)[page]
-            order = np.lexsort((marks, keys, keys % np.uint64(parts)))
-            keys, marks = keys[order], marks[order]
-            if not len(keys):
-                continue
+            part = keys >> np.uint64(32) if sparse else keys % np.uint64(parts)
+            order = np.lexsort((marks, keys) if sparse else (marks, keys, part))
+            keys, marks, part = keys[order], marks[order], part[order].astype(np.int64)
             new = np.r_[True, keys[1:] != keys[:-1]]
             last = np.r_[new[1:], True]
             # of equal suffixes the first and the last stay, if they are of two versions, and one between
@@ -353,8 +393,7 @@ def _post(parts: int, linked):
             other = (marks != marks[first]) & (marks != marks[end]) & ~new
             third = other & ~np.append(False, other[:-1] & ~new[1:])
             keep = new | last & (marks != marks[first]) | third
-            keys, marks = keys[keep], marks[keep]
-            part = (keys % np.uint64(parts)).astype(np.int64)
+            keys, marks, part = keys[keep].astype(np.uint32 if sparse else np.uint64), marks[keep], part[keep]
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             ends = np.r_[edges[1:], len(part)]
             yield pa.RecordBatch.from_arrays(
@@ -364,33 +403,37 @@ def _post(parts: int, linked):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part. Keys of the runs that several versions have."""
-    def found() -> pa.RecordBatch:
-        keys, marks = np.frombuffer(b"".join(held[0]), np.uint64), np.frombuffer(b"".join(held[1]), np.uint32)
-        order = np.lexsort((marks, keys))
-        keys, marks = keys[order], marks[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]))
-        keys, n = np.unique(keys[new], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys[n >= np.where(keys & np.uint64(1), VERSIONS, 2)].view(np.int64))], names=["key"])
-
-    part, held = None, ([], [])
-    for b in batches:
-        for p, keys, versions in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("versions").to_pylist(), strict=True):
-            if p != part:
-                if held[0]:
-                    yield found()
-                part, held = p, ([], [])
-            held[0].append(keys)
-            held[1].append(versions)
-    if held[0]:
-        yield found()
+def _repeated(sparse: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part. Keys that enough versions have."""
+        def found() -> pa.RecordBatch:
+            keys, marks = np.frombuffer(b"".join(held[0]), np.uint32 if sparse else np.uint64), np.frombuffer(b"".join(held[1]), np.uint32)
+            order = np.lexsort((marks, keys))
+            keys, marks = keys[order], marks[order]
+            new = np.append(True, (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1]))
+            keys, n = np.unique(keys[new].astype(np.uint64), return_counts=True)
+            keys = np.uint64(part << 32) | keys if sparse else keys
+            keys = keys[n >= np.where((keys >> np.uint64(32) if sparse else keys) & np.uint64(1), VERSIONS, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+        part, held = None, ([], [])
+        for b in batches:
+            for p, keys, versions in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("versions").to_pylist(), strict=True):
+                if p != part:
+                    if held[0]:
+                        yield found()
+                    part, held = p, ([], [])
+                held[0].append(keys)
+                held[1].append(versions)
+        if held[0]:
+            yield found()
+    return run
 
 
 def _targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes of the blocks whose coverage decides."""
     for b in _slices(batches):
-        page, block, kind, place, keys = _page_suffixes(b)
+        page, block, kind, place, keys, _ = _page_suffixes(b)
         own = kind != HINTED
         yield pa.RecordBatch.from_arrays(
             [pa.array(b.column("row").to_numpy()[page[own]]), pa.array(block[own].astype(np.int32)), pa.array(place[own].astype(np.int32)),
@@ -430,11 +473,8 @@ def _look_up(repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = repeated.value
         for b in _slices(batches):
-            page, block, _, place, keys = _page_suffixes(b)
-            keys = keys.view(np.int64)
-            hit = np.zeros(len(keys), bool)
-            if len(known):
-                hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            page, block, _, place, keys, _ = _page_suffixes(b)
+            hit = _among(keys.view(np.int64), known)
             places: dict[int, list[tuple[int, int]]] = {}
             for p, i, x in zip(page[hit].tolist(), block[hit].tolist(), place[hit].tolist(), strict=True):
                 places.setdefault(p, []).append((i, x))
@@ -460,14 +500,23 @@ def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     else:
         posted = posted.join(roots, F.col("version") == F.col("node"), "left") \
                        .withColumn("version", F.coalesce("root", "version")).select(*columns)
-    parts = max(PARTS, (read.agg(F.sum("n_words")).first()[0] or 0) // PART_SUFFIXES)
-    array = posted.mapInArrow(_post(parts, linked), PART)
-    # neighbours in the array with equal prefixes, from at least two distinct pages
-    repeated = materialize(array.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "key long"), "repeated")
+    n_words = read.agg(F.sum("n_words")).first()[0] or 0
+    parts, sparse_parts = (max(PARTS, n_words // n // 2 * 2) for n in (PART_SUFFIXES, SPARSE_SUFFIXES))
+
+    def neighbours(array: DataFrame, sparse: bool) -> DataFrame:
+        rows = array.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated(sparse), "key long")
+        return materialize(rows, "anchors" if sparse else "repeated")
+
+    def shared(table: DataFrame):
+        return sc.broadcast(np.sort(table.toArrow()["key"].to_numpy()))
+
+    # neighbours in the array with equal prefixes, from at least two distinct pages: anchors first
+    anchors = neighbours(posted.mapInArrow(_post(sparse_parts, linked, sparse=True), PART), True)
+    sieve = shared(anchors) if anchors.count() <= broadcast_rows else None
+    repeated = neighbours(posted.mapInArrow(_post(parts, linked, sieve, sparse_parts), PART), False)
     result = "page_id long, url string, text string, n_chars long"
     if repeated.count() <= broadcast_rows:
-        known = np.sort(repeated.toArrow()["key"].to_numpy())
-        return read.select("host", "page_id", "url", "kinds", "texts").mapInArrow(_look_up(sc.broadcast(known)), result)
+        return read.select("host", "page_id", "url", "kinds", "texts").mapInArrow(_look_up(shared(repeated)), result)
     targets = read.select(*columns).mapInArrow(_targets, SUFFIX)
     places = targets.join(repeated, "key").groupBy("row").agg(F.collect_set(F.struct("block", "place")).alias("places"))
     return read.join(places, "row", "left").select("page_id", "url", "kinds", "texts", "places").mapInArrow(_choose, result)
