@@ -51,10 +51,14 @@ def test_components_of_chains_stars_and_nothing(spark):
 
 def greedy_phrases(word, text):
     """Longest-match phrases of the word with its blanks, by substring search."""
-    word, n, at = f" {word} ", 0, 0
-    while at < len(word):
+    return greedy_pieces(f" {word} ", text)
+
+
+def greedy_pieces(piece, text):
+    n = at = 0
+    while at < len(piece):
         end = at + 1
-        while end < len(word) and word[at:end + 1] in text:
+        while end < len(piece) and piece[at:end + 1] in text:
             end += 1
         n, at = n + 1, end
     return n
@@ -75,13 +79,38 @@ def test_cross_parse_equals_substring_search():
         assert parser.counts(asked)[:, k].tolist() == [greedy_phrases(w, text) for w in asked]
 
 
+def test_running_parse_equals_substring_search(monkeypatch):
+    monkeypatch.setattr(lid, "PIECE", 40)
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    texts = {"x": f" {own(60)} ", "y": f" {own(30)} "}
+    parser = lid.CrossParser.of_texts(texts)
+    asked = [own(1), own(40), None, "", "12!", "zz " + own(3), own(9).replace(" ", " 7 ").upper()]
+    total, letters = lid.running_totals(asked, parser)
+    for i, t in enumerate(asked):
+        words = re.findall("[a-z]+", (t or "").lower())
+        stream = f" {' '.join(words)} " if words else ""
+        assert letters[i] == max(0, len(stream) - 1)
+        for k, x in enumerate("xy"):
+            assert total[i, k] == sum(greedy_pieces(stream[at:at + 40], texts[x]) for at in range(0, len(stream), 40))
+    # phrases run over words
+    assert lid.running_totals([texts["y"][:39]], parser)[0][0, 1] == 1
+
+
+def test_training_text_takes_passages_of_all_rows_in_turn(spark):
+    long_ = " ".join(["walrus"] * 3000)
+    d = docs_of(spark, [long_, *[f"row number {x} of the sample" for x in "abcdefgh"]])
+    text = lid.train_running(d, max_chars=1000).texts[0]
+    assert all(f"row number {x} of the sample" in text for x in "abcdefgh") and 1000 <= len(text) <= 1000 + lid.PASSAGE + 10
+
+
 def test_rare_or_mislabelled_language_leaves_the_others_their_words(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     first = d.filter("lang = 'en' and length(text) > 700").orderBy("doc_id").first().text
     rare = [(10 ** 7 + 1, "the of and to", "rare", "s", 13), (10 ** 7 + 3, first[:600], "wrong", "s", 600),
             (10 ** 7 + 4, "žluťoučký kůň úpěl ďábelské ódy příliš", "own", "s", 38)]
     more = d.unionByName(spark.createDataFrame(rare, d.schema))  # none of them is held out
-    plain, parser = lid.train(d.filter(~lid.held_out(d))), lid.train(more.filter(~lid.held_out(more)))
+    plain, parser = lid.train_running(d.filter(~lid.held_out(d))), lid.train_running(more.filter(~lid.held_out(more)))
     assert len(parser.langs) == len(plain.langs) + 3
     kept = dict(zip(parser.langs, parser.texts, strict=True))
     assert [kept[x] for x in plain.langs] == list(plain.texts)

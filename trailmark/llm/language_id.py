@@ -7,15 +7,20 @@ as c * log2(n + a) / m bits per letter (n letters of training text, m of the par
 text, a distinct letters of all languages: a phrase is a place in the text or a
 letter by itself), estimates the cross entropy; the language with the fewest wins.
 
-Text is lower-cased and read as words of letters, each with a blank on either
-side; phrases end at the word's end, so a word's phrase counts depend on the
-word alone and each distinct word of a task is parsed once. Words of more than
-``LONG`` letters are parsed in consecutive pieces of that length.
+Text is lower-cased and read as a stream of words of letters with one blank between
+them. Phrases run over as many words as they match; streams are parsed in
+consecutive pieces of ``PIECE`` letters, all pieces of a slice one letter at a time.
 
-Training reads a bounded sample: at most ``train_docs`` labelled rows per
-language (the lowest seeded hashes), of which the most frequent distinct words
-are kept up to ``max_chars`` letters per language. A language with less text keeps
-what it has, and the others keep theirs.
+Training reads a bounded sample: at most ``train_docs`` labelled rows per language (the
+lowest seeded hashes). Their running text is cut into passages of about ``PASSAGE``
+letters, and the first passages of all rows, then the second ones and so on make the
+language's text, up to ``max_chars`` letters. A language with less text keeps what it
+has, and the others keep theirs.
+
+``train`` makes another text, of the sample's most frequent distinct words, with which
+``WordCounts`` parses word by word, each distinct word once: the toxicity operator finds
+a text's language so, for its thresholds only. Words of more than ``LONG`` letters are
+parsed in pieces there.
 
 Defined cases: null text, or text without letters: ``und`` with score 0; no
 labelled rows: ``und`` for all; ties go to the first language in code point
@@ -43,6 +48,9 @@ LONG = 64
 #: Distinct words whose counts a task remembers before it starts anew (memory only).
 REMEMBERED = 100_000
 SLICE_CHARS = 400_000
+#: Letters of a piece of running text, and of a passage of the training sample.
+PIECE = 512
+PASSAGE = 200
 #: Weight of a bit per letter in the score.
 SHARPNESS = 8.0
 
@@ -83,8 +91,8 @@ def suffix_automaton(text: str, alphabet: dict[str, int]) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
-    """Alphabet of all texts (0: a letter that no language knows), and per text
+def _automata(texts: tuple[str, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Code of every code point (0: a letter that no language knows), and per text
     the column of each letter (0: not in this text) and the automaton over the
     text's own letters; built once in a Python worker, so that only the texts are
     shipped."""
@@ -96,7 +104,10 @@ def _automata(texts: tuple[str, ...]) -> tuple[dict[str, int], list[tuple[np.nda
         for c, i in own.items():
             column[alphabet[c]] = i
         out.append((column, suffix_automaton(t, own)))
-    return alphabet, out
+    codes = np.zeros(0x110000, np.int16)
+    for c, i in alphabet.items():
+        codes[ord(c)] = i
+    return codes, out
 
 
 class CrossParser:
@@ -117,34 +128,48 @@ class CrossParser:
                 text.append(w + " ")
                 held += len(w) + 1
             texts.append("".join(text))
+        self._learn(texts)
+
+    @classmethod
+    def of_texts(cls, text_by_lang: dict[str, str]) -> CrossParser:
+        """A parser over running text."""
+        parser = cls({}, 0)
+        parser.langs = sorted(text_by_lang, key=lambda s: s.encode())
+        parser._learn([text_by_lang[x] for x in parser.langs])
+        return parser
+
+    def _learn(self, texts: list[str]) -> None:
         self.texts = tuple(texts)
         letters = len(set("".join(texts)))
         self.bits = np.array([math.log2(max(2, len(t) + letters)) for t in texts])
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """Phrases of each word (with its blanks) by language: all words advance
-        one letter at a time, longest words first so that the live ones are a
-        prefix."""
+        """Phrases of each word (with its blanks) by language."""
         lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        return self.pieces("".join([" " + w + " " for w in words]), lens)
+
+    def pieces(self, joined: str, lens: np.ndarray) -> np.ndarray:
+        """Phrases by language of the consecutive pieces of ``joined`` with these
+        lengths: all advance one letter at a time, longest first so that the live
+        ones are a prefix."""
+        codes, tables = _automata(self.texts)
+        flat = codes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
         order = np.argsort(-lens, kind="stable")
         sorted_lens = lens[order]
-        width = int(sorted_lens[0]) if len(words) else 0
-        alphabet, tables = _automata(self.texts)
-        get = alphabet.get
-        codes = np.zeros((len(words), width), dtype=np.int16)
-        joined = "".join([" " + words[i] + " " for i in order])
-        flat = np.fromiter([get(c, 0) for c in joined], np.int16, len(joined))
-        codes[np.arange(width)[None, :] < sorted_lens[:, None]] = flat
-        out = np.zeros((len(words), len(self.langs)), dtype=np.int32)
+        width = int(sorted_lens[0]) if len(lens) else 0
+        places = (np.cumsum(lens) - lens)[order].astype(np.int32)[None, :] + np.arange(width, dtype=np.int32)[:, None]
+        np.minimum(places, max(0, len(flat) - 1), out=places)
+        letters = flat[places]
+        out = np.zeros((len(lens), len(self.langs)), dtype=np.int32)
         live = [int(np.searchsorted(-sorted_lens, -j, side="left")) for j in range(width)]
         for k, (column, table) in enumerate(tables):
             root = table[0]
-            own = column[codes]
-            state = np.zeros(len(words), dtype=np.int32)
-            phrases = np.zeros(len(words), dtype=np.int32)
+            own = column[letters]
+            state = np.zeros(len(lens), dtype=np.int32)
+            phrases = np.zeros(len(lens), dtype=np.int32)
             for j in range(width):
                 n = live[j]
-                c = own[:n, j]
+                c = own[j, :n]
                 s = state[:n]
                 t = table[s, c]
                 stuck = np.flatnonzero(t < 0)
@@ -203,6 +228,25 @@ def phrase_totals(texts: list[str | None], seen: WordCounts) -> tuple[np.ndarray
     return total, letters
 
 
+def running_totals(texts: list[str | None], parser: CrossParser) -> tuple[np.ndarray, np.ndarray]:
+    """As ``phrase_totals``, with phrases that run over words."""
+    total = np.zeros((len(texts), len(parser.langs)), dtype=np.int64)
+    letters = np.zeros(len(texts), dtype=np.int64)
+    for rows, parts in text_slices(texts, SLICE_CHARS):
+        words = [LETTERS.findall(p.lower()) for p in parts]
+        some = [i for i, ws in enumerate(words) if ws]
+        if not some:
+            continue
+        streams = [" " + " ".join(words[i]) + " " for i in some]
+        sizes = np.fromiter(map(len, streams), np.int64, len(streams))
+        np.add.at(letters, np.array(rows)[some], sizes - 1)
+        n = -(-sizes // PIECE)
+        lens = np.full(n.sum(), PIECE)
+        lens[np.cumsum(n) - 1] = sizes - (n - 1) * PIECE
+        np.add.at(total, np.repeat(np.array(rows)[some], n), parser.pieces("".join(streams), lens))
+    return total, letters
+
+
 def verdicts(parser: CrossParser, total: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the winning language (-1: undecided) and its score in 0..1."""
     if not parser.langs:
@@ -225,9 +269,64 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "n": pa.array(list(seen.values()), pa.int64())})
 
 
+def _passages(max_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts' passages with their number; those beyond ``max_chars`` letters
+        of a text could not be kept."""
+        for b in batches:
+            out = {"lang": [], "_h": [], "n": [], "passage": []}
+            for lang, h, text in zip(*(b.column(c).to_pylist() for c in ("lang", "_h", "text")), strict=True):
+                held, size, done = [], 0, 0
+                found = []
+                for w in LETTERS.findall(text.lower()):
+                    held.append(w)
+                    size += len(w) + 1
+                    if size >= PASSAGE:
+                        found.append(" ".join(held))
+                        done += size
+                        held, size = [], 0
+                        if done >= max_chars:
+                            break
+                if held:
+                    found.append(" ".join(held))
+                out["lang"].extend([lang] * len(found))
+                out["_h"].extend([h] * len(found))
+                out["n"].extend(range(len(found)))
+                out["passage"].extend(found)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(out["lang"], pa.string()), "_h": pa.array(out["_h"], pa.int64()),
+                                              "n": pa.array(out["n"], pa.int32()), "passage": pa.array(out["passage"], pa.string())})
+    return run
+
+
+def train_running(docs: DataFrame, train_docs: int = 300, max_chars: int = 40_000, seed: int = 11) -> CrossParser:
+    """Learn from the running text of a sample of ``docs``. What reaches the driver is
+    bounded by ``max_chars`` letters, and the passage across them, per language."""
+    passages = _sample(docs, train_docs, seed).mapInArrow(_passages(max_chars), "lang string, _h long, n int, passage string")
+    before = Window.partitionBy("lang").orderBy("n", "_h", "passage").rowsBetween(Window.unboundedPreceding, -1)
+    kept = passages.withColumn("_c", F.coalesce(F.sum(F.length("passage") + 1).over(before), F.lit(0))).filter(F.col("_c") < max_chars)
+    by_lang: dict[str, list[str]] = {}
+    for r in sorted(kept.select("lang", "_c", "passage").collect(), key=lambda r: r["_c"]):
+        by_lang.setdefault(r["lang"], []).append(r["passage"][:max_chars])
+    return CrossParser.of_texts({x: " " + " ".join(found) + " " for x, found in by_lang.items()})
+
+
 def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 40_000, seed: int = 11) -> CrossParser:
     """Learn from the (text, lang) of ``docs``. What reaches the driver is
     bounded by ``max_chars`` letters of distinct words per language."""
+    words = _sample(docs, train_docs, seed).select("lang", "text").mapInArrow(word_counts, "lang string, word string, n long") \
+                                           .groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    running = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    kept = words.withColumn("_c", F.coalesce(F.sum(F.length("word") + 1).over(running), F.lit(0))) \
+                .filter(F.col("_c") < max_chars)
+    by_lang: dict[str, list[tuple[str, int]]] = {}
+    for r in kept.select("lang", "word", "n").collect():
+        by_lang.setdefault(r["lang"], []).append((r["word"], r["n"]))
+    return CrossParser(by_lang, max_chars, even=False)
+
+
+def _sample(docs: DataFrame, train_docs: int, seed: int) -> DataFrame:
+    """(lang, text, _h) of the ``train_docs`` labelled rows of each language with the
+    lowest seeded hashes, written."""
     rows = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text"),
                        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -239,15 +338,8 @@ def train(docs: DataFrame, train_docs: int = 300, max_chars: int = 40_000, seed:
     at = F.col("_h") / F.lit(2.0 ** 64) + 0.5
     near = rows.join(counts, "lang").filter(at * F.col("_n") <= 2 * train_docs + 10)
     lowest = Window.partitionBy("lang").orderBy("_h", "text")
-    picked = near.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= train_docs).select("lang", "text")
-    words = materialize(picked, "language-sample").mapInArrow(word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    running = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, -1)
-    kept = words.withColumn("_c", F.coalesce(F.sum(F.length("word") + 1).over(running), F.lit(0))) \
-                .filter(F.col("_c") < max_chars)
-    by_lang: dict[str, list[tuple[str, int]]] = {}
-    for r in kept.select("lang", "word", "n").collect():
-        by_lang.setdefault(r["lang"], []).append((r["word"], r["n"]))
-    return CrossParser(by_lang, max_chars, even=False)
+    picked = near.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= train_docs).select("lang", "text", "_h")
+    return materialize(picked, "language-sample")
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
@@ -257,10 +349,9 @@ def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        seen = WordCounts(model)
         names = np.array([*model.langs, "und"], dtype=object)
         for b in small_parts(batches):
-            best, share = verdicts(model, *phrase_totals(b.column("text").to_pylist(), seen))
+            best, share = verdicts(model, *running_totals(b.column("text").to_pylist(), model))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best], pa.string()), pa.array(share)],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -274,7 +365,7 @@ def held_out(docs: DataFrame):
 
 def predict_languages(docs: DataFrame, **training) -> DataFrame:
     """Learn from the rows that are not held out, predict every row."""
-    parser = train(docs.filter(~held_out(docs)), **training)
+    parser = train_running(docs.filter(~held_out(docs)), **training)
     return identify(docs, parser).select("doc_id", held_out(docs).alias("held_out"), "lang_pred", "score")
 
 
@@ -282,12 +373,11 @@ def keep_identified(docs: DataFrame, **training) -> DataFrame:
     """The rows (all columns) in whose text a language is found; learns like
     ``predict_languages``."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~held_out(docs)), **training))
+    shared = docs.sparkSession.sparkContext.broadcast(train_running(docs.filter(~held_out(docs)), **training))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordCounts(shared.value)
         for b in small_parts(batches):
-            best, _ = verdicts(shared.value, *phrase_totals(b.column("text").to_pylist(), seen))
+            best, _ = verdicts(shared.value, *running_totals(b.column("text").to_pylist(), shared.value))
             yield b.filter(pa.array(best >= 0))
 
     return docs.mapInArrow(keep, docs.schema)
