@@ -225,6 +225,14 @@ def test_packing_edge_cases(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_hot_length_gets_more_chunks(spark):
+    """Most pieces equally long, one doc_id null on many rows: chunks of about ten rows pack the same number of sequences."""
+    pieces = spark.range(4000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "0 as piece", "0L as start",
+                                          "if(id % 4 = 0, 1 + id % 60, 64L) as length", "id as ids_crc32")
+    got = {rows: packing.place(pieces, capacity=64, chunk_rows=rows).collect() for rows in (10, 10 ** 6)}
+    assert check_packed(got[10], 64) == check_packed(got[10 ** 6], 64) and len(got[10]) == 4000
+
+
 def best_fit(hist, capacity):
     rooms, bins = np.zeros(capacity + 1, int), 0
     for n in range(capacity, 0, -1):

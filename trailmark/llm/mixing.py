@@ -9,9 +9,11 @@ and the total budget is spent at virtual time 1, where the order is cut. The
 copy that stands across the cut is taken when at least half of it lies before.
 
 Prefix sums never see a whole source in one task: the digest order is cut into
-``slices`` fixed ranges, words are summed per (source, range), the running sums
-over these few rows are joined back, and only the rows of one range are ordered
-together.
+equal ranges, words are summed per (source, range), the running sums over these
+few rows are joined back, and only the rows of one range are ordered together.
+There are ``SLICES`` ranges, or one per ``SLICE_ROWS`` rows if that is more, so a
+source with most of the rows has about ``SLICE_ROWS`` rows in a range at any
+size. The number of ranges does not change the result.
 
 Defined cases: null or empty text has size 0 (its document is taken when its
 point in the order lies before the cut); null source is a source of its own,
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import WORD
 
 WEIGHTS = (3, 1, 2)
+SLICES = 1024
+SLICE_ROWS = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -61,13 +65,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs
     return per.select("source", "source_size", target.alias("target"))
 
 
-def _queued(docs: DataFrame, keep: list[str], seed: str, slices: int, share: float, epochs: int, weights) -> DataFrame:
+def _queued(docs: DataFrame, keep: list[str], seed: str, slices: int | None, share: float, epochs: int, weights) -> DataFrame:
     """``keep`` columns with size, source_size, target and the words of the
     source before the document in its shuffled order (``_before``)."""
+    slices = slices or max(SLICES, -(-docs.count() // SLICE_ROWS))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_id"),
                        F.col("source").alias("source"), n_words(F.col("text")).alias("size"), key.alias("_key"))
-    rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * slices / 65536).cast("int"))
+    rows = rows.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 7), 16, 10).cast("long") * slices / (1 << 28)).cast("int"))
     # null-safe equality everywhere: a null source is a source
     rows = rows.withColumn("_src", F.struct("source"))
     sums = rows.groupBy("_src", "_slice").agg(F.sum("size").alias("_words"))
@@ -95,7 +100,7 @@ def _copies(epochs: int) -> Column:
     return out
 
 
-def mix(docs: DataFrame, seed: str = "mix", slices: int = 1024, share: float = 1.5, epochs: int = 2,
+def mix(docs: DataFrame, seed: str = "mix", slices: int | None = None, share: float = 1.5, epochs: int = 2,
         weights=WEIGHTS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words,
     repeats counted), copies and the virtual finish time of the first copy."""
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, seed: str = "mix", slices: int = 1024, share: float = 1
         .alias("finish")))
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix", slices: int = 1024, share: float = 1.5, epochs: int = 2,
+def mixed_documents(docs: DataFrame, seed: str = "mix", slices: int | None = None, share: float = 1.5, epochs: int = 2,
                     weights=WEIGHTS) -> DataFrame:
     """The mix itself: the input's rows, each as often as it is taken, in the
     order of virtual finish times (a global range sort)."""

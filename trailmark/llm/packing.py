@@ -18,8 +18,11 @@ piece lengths, at most ``capacity`` numbers whatever the corpus:
 Plans are run lengths: ``n`` equal sequences are one row. The plan says for each
 length which ranks (0, 1, ... within the length) go to which sequences and
 offset; tasks look their pieces up in it. The rank of a piece is its chunk's
-start (counts by length and chunk, at most capacity x chunks numbers) plus its
-place in the chunk, so no task sees all pieces of one length.
+start (counts by length and chunk) plus its place in the chunk, so no task sees
+all pieces of one length: a length has ``CHUNKS`` chunks, or one per
+``CHUNK_ROWS`` pieces if that is more (the full pieces of a large corpus are
+many and equally long). The driver holds capacity x ``CHUNKS`` numbers and one
+for every ``CHUNK_ROWS`` pieces.
 
 Defined cases: null or empty text is the end mark alone, one piece of 1 token;
 repeated rows are packed each; doc_id may be null; an empty table gives no rows;
@@ -43,6 +46,8 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import materialize
 
 CAPACITY = 2048
+CHUNKS = 64
+CHUNK_ROWS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict[str, object] = {}
@@ -259,34 +264,39 @@ def grouped_plan(hist: np.ndarray, capacity: int, groups: int, small: int | None
     return out[np.lexsort((out[:, 1], out[:, 0]))], n_seq
 
 
-def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunks: int = 64,
+def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunk_rows: int = CHUNK_ROWS,
          end_id: int = 0) -> DataFrame:
     """All pieces with sequence_id and offset."""
     pieces = materialize(tokenized_pieces(docs, vocab or vocabulary(), capacity, end_id), "pieces")
-    return place(pieces, capacity, groups, chunks)
+    return place(pieces, capacity, groups, chunk_rows)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunks: int = 64) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Pack pieces (doc_id, piece, start, length, ids_crc32). Read three times: give a written table."""
-    chunk = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int")
-    rows = pieces.withColumn("_chunk", chunk)
-    counted = rows.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("n")).collect()
-    grid = np.zeros((capacity + 1, chunks), np.int64)
-    for r in counted:
-        grid[r["length"], r["_chunk"]] = r["n"]
-    starts = np.cumsum(grid, axis=1) - grid
-    table, _ = plan(grid.sum(axis=1), capacity, groups)
-    shared = pieces.sparkSession.sparkContext.broadcast((starts, table))
+    hist = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
+        hist[r["length"]] = r["n"]
+    chunks = np.maximum(CHUNKS, -(-hist // chunk_rows))
+    first = np.cumsum(chunks) - chunks  # of each length, among the chunks of all
+    own = F.get(F.array(*[F.lit(int(n)) for n in chunks]), F.col("length").cast("int"))
+    rows = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own).cast("int"))
+    counted = rows.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sizes = np.zeros(int(chunks.sum()), np.int64)
+    sizes[first[counted["length"].to_numpy()] + counted["_chunk"].to_numpy()] = counted["n"].to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    starts -= np.repeat(starts[first], chunks)
+    table, _ = plan(hist, capacity, groups)
+    shared = pieces.sparkSession.sparkContext.broadcast((first, starts, table))
     place_in_chunk = Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")
     rows = rows.withColumn("_r", F.row_number().over(place_in_chunk) - 1)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, table = shared.value
+        first, starts, table = shared.value
         wide = 1 << 44
         keys = table[:, 0] * wide + table[:, 1]
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = starts[length, b.column("_chunk").to_numpy()] + b.column("_r").to_numpy()
+            rank = starts[first[length] + b.column("_chunk").to_numpy()] + b.column("_r").to_numpy()
             row = table[np.searchsorted(keys, length * wide + rank, side="right") - 1]
             place = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays(
