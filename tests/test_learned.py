@@ -119,6 +119,19 @@ def test_restarts_reach_a_fixed_point_with_the_lowest_cost(spark):
     assert np.allclose(centres, again)
 
 
+def test_iterations_do_not_run_the_input_again(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    _, df = _points(spark)
+    n = df.count()
+    got = drift.cluster_drift(df.mapInArrow(counted, df.schema), k=4, restarts=6).select("person_id", "cluster").collect()
+    assert len(got) == n and seen.value <= 3 * n
+
+
 def test_constant_features_and_few_rows(spark):
     df = spark.createDataFrame([(1, 2.0, 3, 0.5), (2, 2.0, 3, 0.5), (3, None, 1, 0.5)], "person_id long, drift_score double, seq_length long, self_loop_rate double")
     assert [r.cluster for r in drift.cluster_drift(df, k=2, restarts=2).collect()] == [0, 0]
