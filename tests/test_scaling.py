@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from trailmark.operators import classify, rerank
+from trailmark.operators import classify, listwise, rerank
 from trailmark.plans import catalog
 from trailmark.plans.journey import JourneyContext
 from trailmark.sources import stages, tables
@@ -109,3 +110,39 @@ def test_features_are_not_written(spark, capsys):
     assert f.count() > 0 and not stages.manifest(spark, ctx.stage_path(f"{ctx.ens_tag}/cand-test-{ctx.scorer_rows}"))
     plan, _ = _exchanged(rerank.ablation(f), capsys)
     assert "SortAggregate" not in plan
+
+
+def test_lists_of_contexts_against_a_list_per_row(spark):
+    ctx = JourneyContext(spark, SF, scorer_rows=149_998)
+    w = np.random.default_rng(1).normal(size=(2, len(listwise.TERMS))) * 0.2
+    for name in ("val", "train"):
+        once, each = ctx.ranked_lists(name), listwise.lists(ctx.candidate_features(name)).persist()
+        assert once.select(F.inline("rows")).agg(F.sum("n")).first()[0] == each.count()
+        assert np.allclose(listwise.likelihood(once, w), listwise.likelihood(each, w), rtol=1e-9, atol=1e-7)
+        assert (listwise.top1(once, w) == listwise.top1(each, w)).all()
+    # evaluation lists come once per context, not once per row
+    assert ctx.ranked_lists("val").count() < ctx.ranked_lists("val").select(F.inline("rows")).agg(F.sum("n")).first()[0]
+
+
+def test_a_list_with_many_rows_is_expanded_in_parts(spark, monkeypatch):
+    ctx = JourneyContext(spark, SF, scorer_rows=149_998)
+    b = pa.RecordBatch.from_pandas(ctx.ranked_lists("val").limit(40).toPandas(), schema=None, preserve_index=False)
+    w = np.random.default_rng(2).normal(size=(1, len(listwise.TERMS))) * 0.2
+    whole = [r.column("v").to_numpy() for r in listwise._sums(w)(iter([b]))][0]
+    monkeypatch.setattr(listwise, "EXPANDED", 3)
+    parts = [r.column("v").to_numpy() for r in listwise._sums(w)(iter([b]))][0]
+    assert whole[0] > 3 and np.allclose(whole, parts)
+
+
+def test_ranking_lists_shuffles_no_candidates(spark, capsys):
+    ctx = JourneyContext(spark, SF)
+    f, each = ctx.feature_lists("test"), ctx.candidate_features("test")
+    ranked = rerank.rerank(f, lambda col: rerank.linear_score(col=col))
+    _, moved = _exchanged(rerank.rerank_eval(ranked), capsys)
+    assert not [c for c in moved if "f_cos" in c or "feats" in c or "cv#" in c]
+    want = rerank.rerank(each, rerank.linear_score())
+    key = lambda r: (r.person_id, r.pos, r.new_rank)
+    a = sorted(ranked.select("person_id", "pos", F.inline("ranked")).collect(), key=key)
+    b = sorted(want.select("person_id", "pos", "score", "new_rank", "rank", "cand_idx").collect(), key=key)
+    assert len(a) == len(b) > 0 and all(x[:2] + x[3:] == y[:2] + y[3:] and abs(x.score - y.score) < 1e-8 for x, y in zip(a, b, strict=True))
+    assert sorted(rerank.rerank_eval(ranked).collect()) == sorted(rerank.rerank_eval(want).collect())
