@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import ensemble, rerank, transitions
+from trailmark.operators import ensemble, listwise, rerank, transitions
+from trailmark.plans.journey import JourneyContext
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +73,33 @@ def test_batches_are_scored_in_parts(journey, monkeypatch):
 def test_no_rows(journey):
     rows, comp, weights = journey
     assert rerank.candidate_lists(rows.limit(0), comp, weights, force_true=True).collect() == []
+
+
+def test_training_takes_all_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(p, i, 2000 + i) for p in range(5) for i in range(4)], "person_id long, pos long, yr int")
+    monkeypatch.setattr(rerank, "capped_rows", lambda rows, cap, seed: rows.limit(3))
+    for options, n in (({}, 20), ({"scorer_rows": 3}, 3)):
+        ctx = JourneyContext(spark, "none", **options)
+        ctx.annotated, ctx.__dict__["transitions"] = (lambda name: df), df
+        assert ctx._ranked_rows("train").count() == n and ctx._ranked_rows("val").count() == 20
+
+
+def test_short_lists_need_their_terms(journey):
+    rows, comp, weights = journey
+    years = rows.withColumn("yr", F.lit(2001)).withColumn("_fy", F.lit(2000)).withColumn("_ly", F.lit(2003))
+    with pytest.raises(ValueError):
+        listwise.likelihood(listwise.row_lists(years, comp, weights), np.zeros((1, len(listwise.TERMS))))
+
+
+def test_terms_of_short_lists_against_their_features(spark, journey):
+    rows, comp, weights = journey
+    # one row per (person, pos), as the table of features has it
+    rows = rows.withColumn("person_id", F.coalesce("person_id", F.lit(901))).dropDuplicates(["person_id", "pos"])
+    rows = rows.withColumn("yr", (2000 + F.col("pos")).cast("int")).withColumn("_fy", F.lit(2000)).withColumn("_ly", F.lit(2007))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    emb = spark.createDataFrame([(i, [float(i % 4), 1.0, float(i % 7)]) for i in range(29)], "state_idx int, emb array<double>")
+    short = listwise.with_terms(listwise.row_lists(rows, comp, weights), listwise.Terms(ensemble.Arrays(comp, weights), comp, emb))
+    long = listwise.lists(rerank.candidate_features(rerank.candidate_lists(rows, comp, weights, force_true=True), comp, emb, None))
+    w = np.random.default_rng(3).normal(size=(2, len(listwise.TERMS))) * 0.3
+    assert np.allclose(listwise.likelihood(short, w), listwise.likelihood(long, w), rtol=1e-9, atol=1e-7)
+    assert (listwise.top1(short, w) == listwise.top1(long, w)).all() and np.allclose(listwise.spread(short), listwise.spread(long))
