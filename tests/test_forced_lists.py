@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailmark.operators import ensemble, listwise, rerank, transitions
+from trailmark.plans import catalog
 from trailmark.plans.journey import JourneyContext
 
 
@@ -103,3 +104,46 @@ def test_terms_of_short_lists_against_their_features(spark, journey):
     w = np.random.default_rng(3).normal(size=(2, len(listwise.TERMS))) * 0.3
     assert np.allclose(listwise.likelihood(short, w), listwise.likelihood(long, w), rtol=1e-9, atol=1e-7)
     assert (listwise.top1(short, w) == listwise.top1(long, w)).all() and np.allclose(listwise.spread(short), listwise.spread(long))
+
+
+def _test_lists(spark, journey):
+    """(context lists, table of features) of evaluation rows; one list is short of candidates, rows of a list differ in their years."""
+    rows, comp, weights = journey
+    # one row per (person, pos), as the table of features has it
+    rows = rows.filter("person_id < 9").dropDuplicates(["person_id", "pos"]).withColumn("yr", (2000 + F.col("pos")).cast("int")).withColumn("_fy", F.lit(2000)).withColumn("_ly", F.lit(2007))
+    rows = rows.withColumn("person_id", F.col("person_id") + 500)   # not in training: no prior
+    rows = rows.unionByName(rows.withColumn("person_id", F.col("person_id") + 100).withColumn("_fy", F.lit(1990)).filter("pos % 2 = 0"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    made = rerank.context_candidates(rows, comp, weights)
+    made = spark.createDataFrame(made.collect(), made.schema)
+    cut = F.when(F.col("cur_idx") % 5 == 0, 3).otherwise(20)
+    made = made.withColumn("cands", F.slice("cands", 1, cut)).withColumn("cv", F.slice("cv", 1, cut))
+    emb = spark.createDataFrame([(i, [float(i % 4), 1.0, float(i % 7)]) for i in range(30)], "state_idx int, emb array<double>")
+    once = listwise.context_lists(rows, comp, made, emb)
+    each = rerank.candidate_features(rerank.candidate_lists(rows, comp, weights, made=made), comp, emb, None)
+    return once, spark.createDataFrame(each.collect(), each.schema)
+
+
+def test_ranking_once_per_list_against_each_row(spark, journey, monkeypatch):
+    once, each = _test_lists(spark, journey)
+    once = spark.createDataFrame(once.collect(), once.schema)
+    monkeypatch.setattr(listwise, "EXPANDED", 5)
+    w = np.random.default_rng(5).normal(size=len(listwise.TERMS)) * 3
+    for by_numbers, by_column in ((listwise.FIXED, rerank.linear_score()), (listwise.Scorer(w), listwise.score(w))):
+        got, want = rerank.rerank(once, by_numbers), rerank.rerank(each, by_column)
+        assert sorted(rerank.rerank_eval(got).collect()) == sorted(rerank.rerank_eval(want).collect())
+        full = want.groupBy("person_id", "pos").agg(F.max(F.when(F.col("cand_idx") == F.col("nxt_idx"), F.col("rank"))).alias("t"),
+                                                    F.array_sort(F.collect_list(F.struct("new_rank", "rank"))).alias("o"))
+        assert sorted((r.truth, r.order) for r in got.collect() for _ in range(r.n)) == \
+            sorted((-1 if r.t is None else r.t, [c["rank"] for c in r.o]) for r in full.collect())
+
+
+def test_learned_evaluation_scores_no_row_by_expressions(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_learned", lambda *a: ([0.1] * len(listwise.TERMS), None))
+    seen = []
+    monkeypatch.setattr(JourneyContext, "feature_lists", lambda self, name: seen.append(name))
+    monkeypatch.setattr(JourneyContext, "ranked_lists", lambda self, name: spark.createDataFrame(
+        [([0.0, -1.0], [0.5] * 2 * len(listwise.TERMS), -1, [(1, 3, 0.0, 0.0, 0.0, 0.0), (-1, 1, 0.0, 0.0, 0.0, 0.0)])],
+        "o array<double>, x array<double>, self_at int, rows array<struct<truth int, n long, f_ysf double, f_span double, f_npt double, f_vel double>>"))
+    got = {r.ranking: r[1:] for r in catalog.QUERIES["rerank_learned_eval"](spark, "none").collect()}
+    assert not seen and got == {k: (0.0, 0.75, 0.75, 0.75) for k in ("ensemble", "rerank", "learned")}
